@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, mixing, sharding
+from strandlake.llm import decontamination, minhash, mixing, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     pairs = decontamination.contained(docs.select("doc_id", "text"), items.select("item_id", "text"))
@@ -35,6 +39,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontaminate": op9_decontaminate,
     "op10_shard": op10_shard,
 }
@@ -42,7 +47,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _GRAMS = "case when len(ws) = 0 then []::varchar[] when len(ws) <= 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' ')) end"
 
+_ASCII_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+#: From links l(a, b) in both directions, the smallest id reachable from each a.
+_REACH = "r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, min(least(a, b)) m from r group by a)"
+
 ORACLES: dict[str, str] = {
+    "op8_minhash_neardup": f"""
+        with recursive g as (select doc_id, {_GRAMS} sh from (select doc_id, {_ASCII_WORDS} ws from documents)),
+             d as (select distinct doc_id, unnest(sh) s from g),
+             n as (select doc_id, count(*) n from d group by doc_id),
+             i as (select x.doc_id a, y.doc_id b, count(*) i from d x join d y on x.s = y.s and x.doc_id <> y.doc_id group by all),
+             l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 85 * (na.n + nb.n - i)),
+             {_REACH}
+        select doc_id, coalesce(n.n, 0) n_shingles, coalesce(least(doc_id, m), doc_id) component_id, coalesce(least(doc_id, m), doc_id) = doc_id kept
+        from documents left join n using (doc_id) left join c on c.a = doc_id""",
     "op9_decontaminate": f"""
         with d as (select distinct doc_id, unnest({_GRAMS}) sh from (select doc_id, {_WORDS} ws from documents)),
              b as (select distinct item_id, unnest({_GRAMS}) sh from (select item_id, {_WORDS} ws from benchmark)),
