@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, lm, minhash, mixing, sharding
+from strandlake.llm import decontamination, lm, minhash, mixing, sharding, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -43,6 +48,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_warc": op5_warc,
     "op7_lm_score": op7_lm_score,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontaminate": op9_decontaminate,
@@ -58,6 +64,16 @@ _ASCII_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'A
 _REACH = "r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, min(least(a, b)) m from r group by a)"
 
 ORACLES: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, coalesce(html, '') h from pages),
+             d as (select page_id, strlen(h) payload_bytes, sha1(h) x from p),
+             f as (select *, min(page_id) over (partition by payload_bytes, x) as first_id from d),
+             q as (select *, list_transform(range(0, 8), lambda i: ('0x' || substr(x, (5 * i + 1)::int, 5))::bigint) v from f)
+        select page_id, payload_bytes::bigint payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v[1 + i // 4] >> (5 * (3 - i % 4)))::int & 31), 1)), '') payload_digest,
+               case when page_id = first_id then 'response' else 'revisit' end record_type,
+               case when page_id <> first_id then first_id end refers_to
+        from q""",
     "op8_minhash_neardup": f"""
         with recursive g as (select doc_id, {_GRAMS} sh from (select doc_id, {_ASCII_WORDS} ws from documents)),
              d as (select distinct doc_id, unnest(sh) s from g),
