@@ -26,7 +26,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: st
     while True:
         now = e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 20))).first()
         if now == seen or not now[0]:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
         seen = now
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

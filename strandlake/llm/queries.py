@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, lm, minhash, mixing, sharding, warc
+from strandlake.llm import decontamination, lm, minhash, mixing, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -48,6 +52,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_embedding_neardup": op3_embedding_neardup,
     "op5_warc": op5_warc,
     "op7_lm_score": op7_lm_score,
     "op8_minhash_neardup": op8_minhash_neardup,
@@ -64,6 +69,13 @@ _ASCII_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'A
 _REACH = "r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, min(least(a, b)) m from r group by a)"
 
 ORACLES: dict[str, str] = {
+    "op3_embedding_neardup": f"""
+        with recursive v as (select vec_id, label, embedding::double[] e from embeddings
+                             where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+             l as (select x.vec_id a, y.vec_id b from v x join v y on x.label = y.label and len(x.e) = len(y.e) and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.93),
+             {_REACH}, n as (select a, count(*) n from l group by a)
+        select vec_id, coalesce(n.n, 0) n_links, coalesce(least(vec_id, m), vec_id) component_id, coalesce(least(vec_id, m), vec_id) = vec_id kept
+        from embeddings left join n on n.a = vec_id left join c on c.a = vec_id""",
     "op5_warc": """
         with p as (select page_id, coalesce(html, '') h from pages),
              d as (select page_id, strlen(h) payload_bytes, sha1(h) x from p),
