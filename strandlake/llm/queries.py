@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, lm, minhash, mixing, sharding, vectors, warc
+from strandlake.llm import decontamination, language, lm, minhash, mixing, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = language.fit(docs, folds=3, held=1)
+    out = language.predict(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", (language.remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op5_warc": op5_warc,
+    "op6_language_id": op6_language_id,
     "op7_lm_score": op7_lm_score,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontaminate": op9_decontaminate,
