@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, language, lm, minhash, mixing, sharding, vectors, warc
+from strandlake.llm import decontamination, html, language, lm, minhash, mixing, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
 
 
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
 
@@ -59,6 +63,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_extract_html": op2_extract_html,
     "op3_embedding_neardup": op3_embedding_neardup,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
