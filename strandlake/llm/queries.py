@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, html, language, lm, minhash, mixing, sharding, vectors, warc
+from strandlake.llm import decontamination, html, language, lines, lm, minhash, mixing, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).withColumnRenamed("id", "vec_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("doc").alias("doc_id"), "line_no", "n_links", "class_doc", "class_line", "kept")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.archive(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_html": op2_extract_html,
     "op3_embedding_neardup": op3_embedding_neardup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_lm_score": op7_lm_score,
