@@ -4,7 +4,7 @@ Writing: each task appends WARC/1.1 records to archives of its own and puts one
 file, offset, length, URL and digest. Only archives that the index names are ever read, so what a
 failed or repeated task left behind does no harm. Reading: the wanted index rows are sorted by file and
 offset, neighbouring ranges are merged into one read as long as the gap and the merged length are small, and
-records are cut from it. No reader scans an archive.
+records are cut from it. No reader scans an archive. Each record is a gzip member of its own.
 
 Archives may lie in any store that pyarrow's file systems reach (file, s3, gs, hdfs, ...); the folder
 must be one that all executors share.
@@ -13,8 +13,10 @@ must be one that all executors share.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -70,7 +72,7 @@ def parse(raw: bytes) -> dict:
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    fields = _fields(head)
     size = int(fields["content-length"])
     if rest[size:] != b"\r\n\r\n":
         raise ValueError("the record's length is wrong")
@@ -78,6 +80,11 @@ def parse(raw: bytes) -> dict:
     return {"warc": fields, "http": {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode().split("\r\n")[1:])}, "payload": payload}
 
 
+def plain(raw: bytes) -> bytes:
+    """A record without its gzip, if it has one."""
+    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+
+
 def plan_records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """(key, url, html, refers_to, revisit) for every row: of equal payloads of ``least`` bytes or more, that of the smallest key is the response.
 
@@ -106,10 +113,10 @@ def write(planned: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
                 if stream is None or at >= _FILE:
                     if stream is not None:
                         stream.close()
-                    name, at, n = f"part-{who}-{n:04d}.warc", 0, n + 1
-                    stream = fs.open_output_stream(f"{base}/{name}")
+                    name, at, n = f"part-{who}-{n:04d}.warc.gz", 0, n + 1
+                    stream = fs.open_output_stream(f"{base}/{name}", compression=None)
                 payload = html.encode()
-                raw = record(key, url, payload, refers_to, revisit)
+                raw = gzip.compress(record(key, url, payload, refers_to, revisit), mtime=0)
                 stream.write(raw)
                 out.append({"key": key, "url": url, "record_type": "revisit" if revisit else "response", "file": name, "offset": at, "length": len(raw), "digest": digest(payload)})
                 at += len(raw)
@@ -159,7 +166,7 @@ def read(index: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
                 raw = source.read_at(end - start, start)
                 out = []
                 for i in inside:
-                    x = parse(raw[rows[i][1] - start : rows[i][1] - start + rows[i][2]])
+                    x = parse(plain(raw[rows[i][1] - start : rows[i][1] - start + rows[i][2]]))
                     w = x["warc"]
                     kind, stated = w["warc-type"], w["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and (digest(x["payload"]) != stated or len(x["payload"]) != int(x["http"]["content-length"])):
@@ -174,29 +181,44 @@ def read(index: DataFrame, folder: str, keep_payload: bool = True) -> DataFrame:
     return wanted.mapInArrow(run, "key bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
+def _walk(f: pa.NativeFile) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, header) of each record of an archive, plain or with a gzip member a record."""
+    size, at = f.size(), 0
+    zipped = f.read_at(2, 0) == b"\x1f\x8b"
+    while at < size:
+        raw, end = b"", at
+        unzip = zlib.decompressobj(31)
+        while b"\r\n\r\n" not in raw or zipped and not unzip.eof:
+            more = f.read_at(64 << 10 if zipped else 4096, end)
+            if not more:
+                raise ValueError(f"cut off at {at}")
+            end += len(more)
+            more = unzip.decompress(more) if zipped else more
+            raw = raw if b"\r\n\r\n" in raw else raw + more
+        head = raw[: raw.index(b"\r\n\r\n")]
+        length = end - len(unzip.unused_data) - at if zipped else len(head) + int(_fields(head)["content-length"]) + 8
+        yield at, length, head
+        at += length
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    return {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+
+
 def index_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """The index of uncompressed archives that came without one: one task walks one archive, reading headers only."""
+    """The index of archives that came without one: one task walks one archive and keeps the headers only."""
     fs, base = pafs.FileSystem.from_uri(folder)
-    names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith(".warc")]
+    names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(base)) if i.base_name.endswith((".warc", ".warc.gz"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 with fs.open_input_file(f"{base}/{name}") as f:
-                    at, size, out = 0, f.size(), []
-                    while at < size:
-                        head = b""
-                        while b"\r\n\r\n" not in head:
-                            more = f.read_at(4096, at + len(head))
-                            if not more:
-                                raise ValueError(f"{name}: cut off at {at}")
-                            head += more
-                        head = head[: head.index(b"\r\n\r\n")]
-                        w = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
-                        length = len(head) + 4 + int(w["content-length"]) + 4
+                    out = []
+                    for at, length, head in _walk(f):
+                        w = _fields(head)
                         out.append({"key": int(w["x-page-id"]) if "x-page-id" in w else None, "url": w.get("warc-target-uri"), "record_type": w["warc-type"], "file": name, "offset": at, "length": length, "digest": w.get("warc-payload-digest", "").removeprefix("sha1:")})
-                        at += length
                 yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     files = spark.createDataFrame([(n,) for n in names], "file string")
