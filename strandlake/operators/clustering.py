@@ -1,0 +1,133 @@
+"""Hierarchical clustering of one group's distances and the tables of its tree.
+
+Clustering needs all distances of a group at once, which is a matrix of the square of its members: groups
+are genomes or samples, hundreds at most. Many groups are clustered side by side.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+METHODS = ("single", "complete", "average", "weighted", "centroid", "median", "ward")
+
+
+def linkage(d: np.ndarray, method: str = "complete") -> np.ndarray:
+    """Merges as rows (left id, right id, height, size) from a square distance matrix, by the Lance-Williams update.
+
+    Of equal distances the pair with the smaller ids merges first; the smaller id is left.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    n = len(d)
+    d = np.array(d, float)
+    squared = method in ("centroid", "median", "ward")
+    if squared:
+        d = d**2
+    np.fill_diagonal(d, np.inf)
+    ids, size, out = list(range(n)), [1] * n, []
+    for step in range(n - 1):
+        low = d.min()
+        at = np.argwhere(d == low)
+        i, j = min(((a, b) for a, b in at if a != b), key=lambda p: tuple(sorted((ids[p[0]], ids[p[1]]))))
+        if ids[i] > ids[j]:
+            i, j = j, i
+        a, b, h = size[i], size[j], d[i, j]
+        out.append((ids[i], ids[j], float(np.sqrt(max(h, 0)) if squared else h), a + b))
+        x, y, c = d[i], d[j], np.array(size)
+        if method == "single":
+            new = np.minimum(x, y)
+        elif method == "complete":
+            new = np.maximum(x, y)
+        elif method == "average":
+            new = (a * x + b * y) / (a + b)
+        elif method == "weighted":
+            new = (x + y) / 2
+        elif method == "centroid":
+            new = (a * x + b * y) / (a + b) - a * b * h / (a + b) ** 2
+        elif method == "median":
+            new = (x + y) / 2 - h / 4
+        else:
+            new = ((a + c) * x + (b + c) * y - c * h) / (a + b + c)
+        keep = [k for k in range(len(ids)) if k != j]
+        d[i], d[:, i] = new, new
+        d[i, i] = np.inf
+        d = d[np.ix_(keep, keep)]
+        size[i], ids[i] = a + b, n + step
+        size, ids = [size[k] for k in keep], [ids[k] for k in keep]
+    return np.array(out).reshape(-1, 4)
+
+
+def tree(merges: np.ndarray, n: int) -> pd.DataFrame:
+    """One row a node: node_id, left_id, right_id, parent_id, x, y, is_leaf, pre_pos, in_pos, post_pos, leaf_pos.
+
+    Leaves stand at 0, 1, ... from left to right at height 0; a parent stands midway between its children.
+    """
+    left = {n + i: int(m[0]) for i, m in enumerate(merges)}
+    right = {n + i: int(m[1]) for i, m in enumerate(merges)}
+    y = {n + i: float(m[2]) for i, m in enumerate(merges)}
+    parent = {c: p for side in (left, right) for p, c in side.items()}
+    root = n + len(merges) - 1 if len(merges) else 0
+    pre, ino, post, leaf, x = {}, {}, {}, {}, {}
+    todo = [(root, 0)]
+    while todo:
+        v, stage = todo.pop()
+        if stage == 0:
+            pre[v] = len(pre)
+            if v < n:
+                leaf[v] = len(leaf)
+                x[v], ino[v], post[v] = float(leaf[v]), len(ino), len(post)
+            else:
+                todo += [(v, 2), (right[v], 0), (v, 1), (left[v], 0)]
+        elif stage == 1:
+            ino[v] = len(ino)
+        else:
+            post[v] = len(post)
+            x[v] = (x[left[v]] + x[right[v]]) / 2
+    rows = [(v, left.get(v), right.get(v), parent.get(v), x[v], y.get(v, 0.0), v < n, pre[v], ino[v], post[v], leaf.get(v)) for v in sorted(pre)]
+    return pd.DataFrame(rows, columns=["node_id", "left_id", "right_id", "parent_id", "x", "y", "is_leaf", "pre_pos", "in_pos", "post_pos", "leaf_pos"]).astype({c: "Int64" for c in ("left_id", "right_id", "parent_id", "leaf_pos")})
+
+
+NODES = "node_id bigint, left_id bigint, right_id bigint, parent_id bigint, x double, y double, is_leaf boolean, pre_pos bigint, in_pos bigint, post_pos bigint, leaf_pos bigint, label string"
+
+
+def dendrograms(pairs: DataFrame, members: DataFrame, group: str, method: str = "complete", default: float = 1.0) -> DataFrame:
+    """(group, node columns, label) for every group of members (group, label) with pairs (group, a, b, distance).
+
+    Pairs that are not listed are ``default`` apart. Members are numbered by label.
+    """
+
+    def run(key: tuple, m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        labels = sorted(m["label"])
+        at = {v: i for i, v in enumerate(labels)}
+        d = np.full((len(labels), len(labels)), default)
+        np.fill_diagonal(d, 0)
+        for a, b, v in zip(p["a"], p["b"], p["distance"], strict=True):
+            d[at[a], at[b]] = d[at[b], at[a]] = v
+        t = tree(linkage(d, method), len(labels))
+        t["label"] = [labels[v] if v < len(labels) else None for v in t["node_id"]]
+        t.insert(0, "grp", key[0])
+        return t
+
+    out = members.select(F.col(group).cast("string").alias("grp"), F.col("label").cast("string").alias("label")).groupBy("grp").cogroup(
+        pairs.select(F.col(group).cast("string").alias("grp"), F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "distance").groupBy("grp")
+    )
+    return out.applyInPandas(run, f"grp string, {NODES}").withColumnRenamed("grp", group)
+
+
+def sorted_by(nodes: pd.DataFrame, position: dict[int, float]) -> pd.DataFrame:
+    """A tree whose nodes stand at the mean position of their leaves, the smaller child to the left; x is scaled to 0 to 1, y too."""
+    t = nodes.set_index("node_id")
+    below: dict[int, list[float]] = {}
+    for v in t.sort_values("post_pos").index:
+        row = t.loc[v]
+        below[v] = [position[v]] if row["is_leaf"] else below[int(row["left_id"])] + below[int(row["right_id"])]
+        t.loc[v, "x"] = float(np.mean(below[v]))
+    swap = [v for v in t.index if not t.loc[v, "is_leaf"] and t.loc[int(t.loc[v, "left_id"]), "x"] > t.loc[int(t.loc[v, "right_id"]), "x"]]
+    t.loc[swap, ["left_id", "right_id"]] = t.loc[swap, ["right_id", "left_id"]].to_numpy()
+    for c in "xy":
+        span = t[c].max() - t[c].min()
+        t[c] = (t[c] - t[c].min()) / span if span else 0.0
+    return t.reset_index()
