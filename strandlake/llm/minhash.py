@@ -3,9 +3,12 @@
 Equal shingle sets are one class from the start, found by a digest of the whole set, so exact
 copies cost one row. Classes meet in the buckets of their bands. A bucket compares each member
 with two leaders only (pairs grow with the bucket, not with its square); verified links
-give components, and only members of a bucket that are still in different components are
-then paired with each other. So every pair that shares a bucket is either verified or already in one
-component. Verification is exact, on the full sets.
+give components, and only members of a bucket that are still in different components
+matter further. For those, the shingles that no other of them has are counted: a document with s
+shared shingles of n has at most min(s, s') in common with another, which rules out most pairs from two
+numbers each. The member with the largest shared part leads a second round. What is then left
+apart and not ruled out is verified inside a join on the bucket, which gives no row but for a link. So every pair that shares a bucket is verified, ruled out
+by an exact bound, or in one component already. Verification is exact, on the full sets.
 """
 
 from __future__ import annotations
@@ -96,13 +99,33 @@ def near_duplicates(
 
     links = scratch.table(linked(pairs), "links")
     comp = connected_components(scratch, links)
-    placed = members.select("bucket", "node", "n").join(comp, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("comp"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    placed = scratch.table(placed.join(split, "bucket", "left_semi"), "apart")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.node") > F.col("y.node")) & near(F.col("x.n"), F.col("y.n")))
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = scratch.table(linked(scratch.table(rest, "rest")), "more")
+
+    def apart(filed: DataFrame) -> DataFrame:
+        """The buckets whose members are in more than one component."""
+        x = filed.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        split = x.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
+        return scratch.table(x.join(split, "bucket", "left_semi"), "apart")
+
+    left = apart(members.select("bucket", "node", "n"))
+    each = left.select("node").distinct().join(sets, "node").select("node", F.explode("sh").alias("sh"))
+    often = each.groupBy("sh").agg(F.count("*").alias("c")).where("c > 1").select("sh")
+    shared = each.join(often, "sh", "left_semi").groupBy("node").agg(F.count("*").alias("s"))
+    left = scratch.table(left.join(shared, "node"), "shared")
+    may = lambda x, y: near(F.col(f"{x}.n"), F.col(f"{y}.n")) & ((100 + percent) * F.least(f"{x}.s", f"{y}.s") >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & (F.col(f"{x}.comp") != F.col(f"{y}.comp"))
+
+    lead = left.groupBy("bucket").agg(F.max(F.struct((F.col("s") / F.col("n")).alias("part"), "node", "n", "s", "comp")).alias("y"))
+    second = left.select("bucket", F.struct("node", "n", "s", "comp").alias("x")).join(lead, "bucket").where(may("x", "y"))
+    second = second.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    second = scratch.table(second, "second")
+    links = links.union(scratch.table(linked(second), "links"))
+    comp = connected_components(scratch, links)
+
+    left = apart(left.drop("comp")).join(sets, "node")
+    x, y = left.select("bucket", F.struct("node", "n", "s", "comp", "sh").alias("x")), left.select("bucket", F.struct("node", "n", "s", "comp", "sh").alias("y"))
+    same = F.size(F.array_intersect("x.sh", "y.sh"))
+    true = same * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))  # checked by the join, which so makes links only
+    more = x.join(y, "bucket").where((F.col("x.node") > F.col("y.node")) & may("x", "y") & true).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = scratch.table(more.distinct(), "more")
     if more.limit(1).count():
         comp = connected_components(scratch, links.union(more))
     group = classes.select("d1", "d2", "rep").join(comp.withColumnRenamed("node", "d1"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
@@ -111,3 +134,11 @@ def near_duplicates(
     out = sig.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs without the rows that are not kept. Rows that repeat an id stay or go together."""
+    found = near_duplicates(docs, key=key, text=text, **how)
+    gone = Scratch(docs.sparkSession, "dedup").table(found.where("not kept").select(F.col("id").alias("__gone")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= _FEW else gone
+    return docs.join(gone, F.col(f"`{key}`").cast("bigint").eqNullSafe(F.col("__gone")), "left_anti")
