@@ -113,8 +113,9 @@ def contained(
     return full.select(F.col("d").alias(doc), F.col("item").alias(item), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", few: int = 500_000, **how) -> DataFrame:
     """docs without the rows whose id is in a pair of ``contained``; a null id is matched too."""
-    doc = how.get("doc", "doc_id")
-    bad = contained(docs, items, **how).select(F.col(doc).alias("__contaminated")).distinct()
-    return docs.join(bad, docs[doc].eqNullSafe(bad["__contaminated"]), "left_anti")
+    bad = contained(docs, items, doc=doc, **how).select(F.col(doc).alias("__bad")).distinct()
+    bad = Scratch(docs.sparkSession, "clean").table(bad, "bad")
+    bad = F.broadcast(bad) if bad.count() <= few else bad
+    return docs.join(bad, F.col(f"`{doc}`").eqNullSafe(F.col("__bad")), "left_anti")

@@ -217,3 +217,14 @@ def predict(docs: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name in names]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*(F.col(f"`{c}`") for c in names)).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, net: Net, *, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of docs whose text has letters and looks like a learned language with a probability of ``least`` or more.
+
+    Columns of docs named lang_pred or score are kept as they are.
+    """
+    names = docs.columns
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text}`").alias("text"))
+    good = predict(row, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return good.select(*(F.col("row").getField(c).alias(c) for c in names))
