@@ -262,9 +262,10 @@ def test_edit_distance(spark, t):
         assert r["e"] == d if d <= t else r["e"] > t
 
 
-@pytest.mark.parametrize("few", [10**6, 0])
-def test_line_classes(spark, few, monkeypatch):
+@pytest.mark.parametrize("few,often", [(10**6, 1000), (0, 1000), (10**6, 1), (0, 1)])
+def test_line_classes(spark, few, often, monkeypatch):
     monkeypatch.setattr(lines, "_FEW", few)
+    monkeypatch.setattr(lines, "_OFTEN", often)
     rng = random.Random(6)
     base = ["".join(rng.choice("abcdefgh é") for _ in range(rng.randrange(20, 60))).strip() for _ in range(40)]
     rows = []
