@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, sketches
+from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.planner import Item, Planner
 from strandlake.plans.types import standard
@@ -328,6 +328,43 @@ def fraction_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("fraction_mapped", F.round("fraction_mapped", 6))
 
 
+@query(f"""
+with {_FLAGS}, s as (select {_DNA} seq from benchmark), x as (select length(seq) len, {_GC.format('seq')} gc from s), hh as (select len, count(*) n from x group by len),
+cu as (select *, sum(len * n) over (order by len desc rows unbounded preceding) cum, sum(len * n) over () total from hh)
+select (select round(max(passed) filter (where category = 'mapped') / max(passed) filter (where category = 'total'), 6) from n) fraction_reads_mapped,
+(select sum(len)::bigint from x) length, (select max(len) from cu where 2 * cum >= total) N50, (select round(sum(gc) * 100.0e0 / sum(len), 6) from x) GC, (select count(*) from x) number_of_contigs""")
+def assembly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = reports.assembly_stats(sequences(spark, sf_dir, "benchmark"), "seq", _flags(spark, sf_dir))
+    return x.withColumn("fraction_reads_mapped", F.round("fraction_reads_mapped", 6)).withColumn("GC", F.round("GC", 6))
+
+
+@query(f"""
+with x as (select source, length({_DNA}) len, {_GC.format(_DNA)} gc, doc_id % 41 q from documents), h as (select source, len, count(*) n from x group by all),
+c as (select *, sum(len * n) over (partition by source order by len desc rows unbounded preceding) cum, sum(len * n) over (partition by source) total from h), n as (select source, max(len) n50 from c where 2 * cum >= total group by source)
+select source, count(*) reads, sum(len)::bigint bases, round(avg(q), 6) mean_quality, 'sanger' phred_encoding, any_value(n50) N50, round(sum(gc) * 100.0e0 / sum(len), 6) GC from x join n using (source) group by source""")
+def read_qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = reports.read_qc_stats(sequences(spark, sf_dir).withColumn("q", F.col("doc_id") % 41), "seq", "q", "source")
+    return x.withColumn("GC", F.round("GC", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
+
+
+_MEDIAN = """
+with p as (select l_returnflag, l_quantity, count(*) w from lineitem group by all),
+c as (select *, sum(w) over (partition by l_returnflag order by l_quantity rows unbounded preceding) cum, sum(w) over (partition by l_returnflag) total from p)
+select l_returnflag, {}(l_quantity) as median from c where 2 * cum >= total group by l_returnflag"""
+
+
+@query(_MEDIAN.format("min"))
+def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.lit(1).alias("w"))
+    return reports.weighted_median(li, "l_quantity", "w", "l_returnflag")
+
+
+@query(_MEDIAN.format("max"))
+def weighted_median_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", F.lit(1).alias("w"))
+    return reports.weighted_median(li, "l_quantity", "w", "l_returnflag", compat=True)
+
+
 # ---- centroids and groups ---------------------------------------------------------------------------------------
 
 _HITS = "h as (select l_orderkey query, l_suppkey subject, l_shipdate, l_partkey from lineitem where l_quantity >= 25)"
@@ -559,6 +596,24 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), long("rank"))
 
 
+@query(f"""
+with r as (select item_id as "read", length(s) len, s from (select item_id, substr({_DNA}, 11, 60) s from benchmark)), c as (select item_id contig, {_DNA} seq from benchmark),
+q as (select "read", len, unnest(range(0, greatest(len - 14, 0))) qp, substr(s, qp + 1, 15) km from r), k as (select contig, unnest(range(0, greatest(length(seq) - 14, 0))) cp, substr(seq, cp + 1, 15) km from c),
+v as (select "read", contig, len, cp - qp d, count(*) seeds from q join k using (km) group by all)
+select "read", contig, greatest(d, 0)::bigint as "start", (d + len)::bigint as "end", seeds from v qualify row_number() over (partition by "read" order by seeds desc, contig, d) = 1""")
+def seed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of the items as reads, the items as contigs."""
+    c = sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("contig"), "seq")
+    return reports.placements(c.select(F.col("contig").alias("read"), F.substring("seq", 11, 60).alias("seq")), c, 15)
+
+
+@query(f"""
+with x as (select distinct item_id i, unnest({_KM.format(k=9)}) km from (select item_id, {_DNA} seq from benchmark))
+select x.i a, y.i b, count(*) shared from x join x y using (km) where x.i < y.i group by all having count(*) >= 2""")
+def read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.overlaps(sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read"), "seq"), 9, 2)
+
+
 @query()
 def minhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.minhash_clusters(sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id", "seq")
@@ -617,3 +672,10 @@ def workflow_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         items, [("sequences::isolate_assembly", ["reads"]), ("sequences::assembly_stats", ["reads"])]
     )
     return plan.frame(spark).select("step", "transform")
+
+
+@query()
+def pangenome_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plot-ready cells: families by class, genomes by leaf order."""
+    leaves = leaf_order(spark, sf_dir).select(F.col("label").cast("int").alias("genome"), "leaf_pos")
+    return reports.heatmap_cells(_matrix(spark, sf_dir), _ordered(spark, sf_dir), leaves)

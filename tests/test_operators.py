@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, sketches
+from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, reports, sketches
 from strandlake.sources import external, records, sinks, tables
 
 
@@ -227,3 +227,13 @@ def test_mash_of_equal_sets(spark):
     s = spark.createDataFrame([(1, "ACGTACGGT"), (2, "ACGTACGGT"), (3, "TTTTTTTTT")], "id int, seq string")
     got = {(r["a"], r["b"]): r["identity"] for r in sketches.mash(s, "id", "seq", 4).collect()}
     assert got[1, 2] == pytest.approx(1) and (1, 3) not in got
+
+
+def test_gate_and_mock(spark):
+    result, mock = spark.createDataFrame([("r",)], "v string"), spark.createDataFrame([("none",)], "v string")
+    gate = lambda text: records.any_longer(records.lines(content(spark, text)), 4)
+    assert [r["v"] for r in reports.or_mock(result, gate(">a\nACGT\n"), "any_long", mock).collect()] == ["r"]
+    assert [r["v"] for r in reports.or_mock(result, gate(">a\nAC\n"), "any_long", mock).collect()] == ["none"]
+    assert reports.document(mock).first()["value"] == '{"v":"none"}'
+    cached = reports.cached_paths(spark.createDataFrame([("A",), ("B",)], "accession string"), spark.createDataFrame([("A", "/x")], "accession string, path string"))
+    assert {r["accession"]: r["path"] for r in cached.collect()} == {"A": "/x", "B": None}
