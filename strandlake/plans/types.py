@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-Value = "str | list[str]"
 Props = dict[str, frozenset[str]]
 
 
