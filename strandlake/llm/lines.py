@@ -6,21 +6,23 @@ length and its number; a line probes, for each length from its own down to t les
 positions at which a match can matter (multi-match-aware selection of Li, Deng, Wang and Feng, 2011). Segment
 and probe are 64-bit hashes, so the index is a table of small rows, and lines' texts never travel with it.
 
-A key that only one line has can produce no pair; such keys are dropped after a first grouped pass. Lines that
-share a key are candidates if their counts of eight frequent letters differ by 2 t at most, which the join itself
-checks, and are verified by the banded bit-parallel edit distance (Hyyro, 2003): a word of 2 t + 1 bits
-slides down the diagonal, one step a character.
+A key that only one line has can produce no pair and is dropped where keys first meet. Copies of a frequent line
+are left out before, so that no key is hot for being copied. Lines that share a key are candidates if their
+counts of eight frequent letters and the parities of all their characters differ by 2 t at most, which the join
+itself checks, and are verified by the banded bit-parallel edit distance (Hyyro, 2003): a word of
+2 t + 1 bits slides down the diagonal, one step a character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.graph import connected_components
 from strandlake.llm.scratch import Scratch
 
 _FEW = 500_000
+_OFTEN = 1000
 _LETTERS = "etaonirs"
 
 
@@ -29,17 +31,17 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(t + 1) for i in range(1, t + 2) for o in range(max(1 - i, d - (t + 1 - i)), min(i - 1, d + t + 1 - i) + 1)]
 
 
-def _keys(line: Column, n: Column, t: int) -> Column:
-    """Array of (key, own): own marks the line's own segments."""
-    out = []
-    for d, i, o in probes(t):
-        length = n - d
-        short = F.floor(length / (t + 1)).cast("int")
-        long = length - short * (t + 1)  # this many segments, the last ones, have one character more
-        size = short + F.when(F.lit(i) > (t + 1) - long, 1).otherwise(0)
-        start = F.lit(1) + short * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - ((t + 1) - long)) + o
-        out.append(F.struct(F.xxhash64(length, F.lit(i), F.substring(line, start, size)).alias("key"), F.lit(d == 0 and o == 0).alias("own")))
-    return F.array(*out)
+def _keyed(rows: DataFrame, t: int) -> DataFrame:
+    """rows (with line and n, its length) once for each probe, with key and own; own marks the line's own segments.
+
+    Probes come as rows of a constant, so that the code for one key is small enough to be compiled.
+    """
+    table = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in probes(t)))
+    x = rows.withColumn("z", F.explode(table)).withColumn("m", F.expr("n - z.d"))
+    x = x.withColumn("short", F.expr(f"cast(m div {t + 1} as int)")).withColumn("long", F.expr(f"m - short * {t + 1}"))  # the last segments, this many, have one character more
+    size = F.expr(f"short + if(z.i > {t + 1} - long, 1, 0)")
+    start = F.expr(f"1 + short * (z.i - 1) + greatest(0, z.i - 1 - {t + 1} + long) + z.o")
+    return x.withColumn("key", F.xxhash64("m", "z.i", F.substring(F.col("line"), start, size))).withColumn("own", F.expr("z.d = 0 and z.o = 0")).drop("z", "m", "short", "long")
 
 
 def _letters(line: Column) -> Column:
@@ -51,6 +53,12 @@ def _letters(line: Column) -> Column:
     return out
 
 
+def _parities(chars: Column) -> Column:
+    """Whether the characters of each of 64 kinds are odd in number, as the bits of one long."""
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.ascii(c).bitwiseAND(F.lit(63)))
+    return F.aggregate(chars, F.lit(0).cast("bigint"), lambda s, c: s.bitwiseXOR(bit(c)))
+
+
 def _apart(x: str, y: str) -> Column:
     """Sum of the differences of the letter counts."""
     one = lambda c, k: f"(shiftright({c}, {8 * k}) & 255)"
@@ -109,30 +117,41 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     scratch = Scratch(docs.sparkSession, "lines")
     t = edits
     occ = occurrences(docs, key, text).withColumn("node", F.xxhash64("line")).withColumn("node2", F.xxhash64(F.lit(1), "line"))
-    long = occ.withColumn("n", F.length("line")).where(F.col("n") >= max(least, t + 1))
-    keyed = long.withColumn("x", F.explode(_keys(F.col("line"), F.col("n"), t)))
-    shared = keyed.select("x.key", "x.own", "node").groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("own").alias("own"))
-    shared = scratch.table(shared.where("own and lo <> hi").select("key"), "keys")
-    some = long.withColumn("letters", _letters(F.col("line"))).withColumn("x", F.explode(_keys(F.col("line"), F.col("n"), t))).select("x.key", "x.own", "node", "letters")
-    hits = scratch.table(some.join(shared, "key", "left_semi").distinct(), "hits")
+    light = scratch.table(occ.select("doc", "no", "node", "node2"), "occurrences")
+    first = scratch.table(light.groupBy("node", "node2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("c")), "first")
+    long = occ.select("doc", "no", "node", "line", F.length("line").alias("n")).where(F.col("n") >= max(least, t + 1))
+
+    often = first.where(F.col("c") > _OFTEN).select("node", F.col("first.doc").alias("d0"), F.col("first.no").alias("n0"))
+    n_often = often.count()
+    rows = long
+    if n_often:
+        often = often.dropDuplicates(["node"])
+        rows = long.join(F.broadcast(often) if n_often <= _FEW else often, "node", "left").where(F.col("n0").isNull() | (F.col("doc").eqNullSafe(F.col("d0")) & (F.col("no") == F.col("n0"))))
+    keyed = _keyed(rows.select("node", "line", "n"), t).select("key", "own", "node").repartition("key")
+    of_key = Window.partitionBy("key")
+    hits = keyed.withColumn("lo", F.min("node").over(of_key)).withColumn("hi", F.max("node").over(of_key)).withColumn("any", F.max("own").over(of_key))
+    hits = scratch.table(hits.where("any and lo <> hi").select("key", "own", "node").distinct(), "hits")
+
+    ids = scratch.table(hits.select("node").distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= _FEW else ids
+    texts = rows.select("node", "line").join(ids, "node", "left_semi").dropDuplicates(["node"]).withColumn("letters", _letters(F.col("line")))
+    texts = texts.select("node", F.split("line", "").alias("chars"), "letters")
+    texts = scratch.table(texts, "texts")  # characters as stored columns: an expression would be computed again at every step
+    marks = texts.select("node", F.size("chars").alias("n"), "letters", _parities(F.col("chars")).alias("odd"))
+    hits = scratch.table(hits.join(marks, "node"), "marked")
     x, y = hits.where("own").alias("x"), hits.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & (_apart("x.letters", "y.letters") <= 2 * t))
+    near = (F.abs(F.col("x.n") - F.col("y.n")) <= t) & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * t) & (_apart("x.letters", "y.letters") <= 2 * t)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near)
     pairs = scratch.table(pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
-
-    ids = scratch.table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= _FEW else ids
-    texts = scratch.table(long.select("node", "line").join(ids, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    both = both.where(F.abs(F.length("x") - F.length("y")) <= t).withColumn("p", F.split("x", "")).withColumn("q", F.split("y", ""))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("chars").alias("p")), "a").join(texts.select(F.col("node").alias("b"), F.col("chars").alias("q")), "b")
     links = scratch.table(both.where(edit_distance("p", "q", t) <= t).select("a", "b"), "links")
     comp = scratch.table(connected_components(scratch, links), "components")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
 
-    first = occ.groupBy("node", "node2").agg(F.min(F.struct("doc", "no")).alias("first")).join(comp, "node", "left").join(degree, "node", "left")
-    first = first.withColumn("component", F.coalesce("component", "node"))
-    name = first.where("n_links is not null").groupBy("component").agg(F.min("first").alias("name"))
-    first = first.join(name, "component", "left").select("node", "node2", F.coalesce("name", "first").alias("name"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    out = occ.select("doc", F.col("no").alias("line_no"), "node", "node2").join(first, ["node", "node2"])
+    named = first.join(comp.join(degree, "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    name = named.where("n_links is not null").groupBy("component").agg(F.min("first").alias("name"))
+    named = named.join(name, "component", "left").select("node", "node2", F.coalesce("name", "first").alias("name"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    out = light.select("doc", F.col("no").alias("line_no"), "node", "node2").join(named, ["node", "node2"])
     out = out.select("doc", "line_no", "n_links", F.col("name.doc").alias("class_doc"), F.col("name.no").alias("class_line"))
     return out.withColumn("kept", F.col("doc").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line")))
 
