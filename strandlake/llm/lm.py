@@ -10,8 +10,9 @@ the model is one over the V tokens and one unknown token.
 How it is spread out. A map task packs its documents into slabs of a bounded number of bytes:
 token ids, and a dictionary of word hashes. Of each slab only the distinct n-grams
 are sent, as one block of sorted 64-bit keys for each range of keys; a range adds up its
-blocks and sends the global counts back in the order of the keys. A slab joins its
-counts and scores its documents. Nothing is broadcast or collected but weights and four totals.
+blocks and sends the global counts back in the order of the keys. A slab joins its counts once and keeps
+those of its tokens, from which the weights are learned and the documents scored without another
+shuffle. Nothing is broadcast or collected but weights and six totals.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from strandlake.llm.scratch import Scratch
 
 _U = np.uint64
 _END, _START, _STEP = _U(0x2545F4914F6CDD1D), _U(0x6A09E667F3BCC909), _U(0xBB67AE8584CAA73B)
-_SLAB = 12 << 20
+_SLAB = 6 << 20
 _PIECE = 1 << 20
 _BUCKETS = 48
 _SLAB_SCHEMA = "slab bigint, ids array<bigint>, folds binary, n binary, tokens binary, words binary"
@@ -49,6 +50,13 @@ def _unpack(b: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Row by row, as a row may hold megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(c)[i].as_py() for c, name in enumerate(batch.schema.names)}
+
+
 def fold(doc_id: int | None, folds: int, held: int, tune: int) -> int:
     """0: counted, 1: tunes the weights, 2: held out. A null id counts as an empty name."""
     r = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
@@ -91,6 +99,12 @@ def _slabs(docs: DataFrame, folds: int, held: int, tune: int) -> DataFrame:
     return docs.mapInArrow(run, _SLAB_SCHEMA)
 
 
+def _pack_keys(x: np.ndarray, bits: int, k: int) -> bytes:
+    """Sorted keys of one range as packed differences; n-grams keep 48 bits below those of the range, words all."""
+    y = (x << _U(bits)) >> _U(16 if k else bits)
+    return _pack(np.diff(y, prepend=_U(0)))
+
+
 class _Slab:
     """A slab's documents again, and the n-gram key of each token for every order."""
 
@@ -122,15 +136,14 @@ def _requests(slabs: DataFrame, order: int, bits: int) -> DataFrame:
     """For each slab, order and key range: the distinct keys, and how often the slab counts and tunes with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _Slab(row, order)
-                for k in range(order):
-                    keys, a, b = s.keys[k], s.counts(k, 0), s.counts(k, 1)
-                    cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
-                    out = [(i, x.tobytes(), _pack(y), _pack(z)) for i, (x, y, z) in enumerate(zip(np.split(keys, cut), np.split(a, cut), np.split(b, cut), strict=True)) if len(x)]
-                    cols = [pa.array([o[c] for o in out], pa.int32() if c == 0 else pa.binary()) for c in range(4)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["slab"]] * len(out), pa.int64()), pa.array([k] * len(out), pa.int32()), *cols], names=["slab", "k", "p", "keys", "a", "b"])
+        for row in _rows(batches):
+            s = _Slab(row, order)
+            for k in range(order):
+                keys, a, b = s.keys[k], s.counts(k, 0), s.counts(k, 1)
+                cut = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits))
+                out = [(i, _pack_keys(x, bits, k), _pack(y), _pack(z)) for i, (x, y, z) in enumerate(zip(np.split(keys, cut), np.split(a, cut), np.split(b, cut), strict=True)) if len(x)]
+                cols = [pa.array([o[c] for o in out], pa.int32() if c == 0 else pa.binary()) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array([row["slab"]] * len(out), pa.int64()), pa.array([k] * len(out), pa.int32()), *cols], names=["slab", "k", "p", "keys", "a", "b"])
 
     return slabs.mapInArrow(run, "slab bigint, k int, p int, keys binary, a binary, b binary")
 
@@ -138,7 +151,7 @@ def _requests(slabs: DataFrame, order: int, bits: int) -> DataFrame:
 def _merge(table: pa.Table) -> pa.Table:
     """The blocks of one key range, with global counts in place of their own; a row without a slab has the range's totals."""
     rows = table.to_pylist()
-    keys = [np.frombuffer(r["keys"], _U) for r in rows]
+    keys = [np.cumsum(_unpack(r["keys"], _U), dtype=_U) for r in rows]
     uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
     a, b = (np.bincount(inv, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(uniq)).astype(_U) for c in "ab")
     out, at = [], 0
@@ -150,40 +163,40 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(out, pa.schema([("slab", pa.int64()), ("k", pa.int32()), ("p", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("va", pa.int64()), ("v", pa.int64())]))
 
 
-def _ratios(s: _Slab, row: dict, order: int, total: int, starts: int, tune: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token: its own count, its maximum-likelihood estimates (order columns), which of their contexts were seen, and the bucket of the longest context."""
-    blocks = sorted(row["got"], key=lambda g: (g["k"], g["p"]))
-    count = []
-    for k in range(order):
-        mine = [g for g in blocks if g["k"] == k]
-        c = np.concatenate([_unpack(g["a"], _U) for g in mine])
-        if not tune:
-            c = c + np.concatenate([_unpack(g["b"], _U) for g in mine])
-        count.append(c.astype(np.float64)[s.inverse[k]])
-    ml, seen = np.zeros((len(count[0]), order)), np.zeros((len(count[0]), order))
+def _ratios(count: list[np.ndarray], first: np.ndarray, total: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From each token's n-gram counts: its maximum-likelihood estimates, which of their contexts were seen, and the bucket of the longest context."""
+    order = len(count)
+    ml, seen = np.zeros((len(count[0]), order)), np.zeros((len(count[0]), order), bool)
     context = np.full(len(count[0]), float(total))
     for k in range(order):
         if k:
-            context = np.empty(len(count[0]))
             context[1:] = count[k - 1][:-1]
-            context[s.first] = starts
+            context[first] = starts
         np.divide(count[k], context, out=ml[:, k], where=context > 0)
         seen[:, k] = context > 0
     # frexp gives the bit length: 0 for a context that was never seen
-    return count[0], ml, seen, np.minimum(np.frexp(context)[1], _BUCKETS - 1)
+    return ml, seen, np.minimum(np.frexp(context)[1], _BUCKETS - 1)
 
 
-def _events(joined: DataFrame, order: int, total: int, starts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _Slab(row, order)
-                _, ml, _, bucket = _ratios(s, row, order, total, starts, True)
-                pick = np.flatnonzero(s.token_fold == 1)
-                for part in np.array_split(pick, max(1, len(pick) >> 18)):
-                    yield pa.RecordBatch.from_arrays([pa.array([_pack(ml[part].astype(np.float32).ravel())], pa.binary()), pa.array([_pack(bucket[part].astype(np.uint8))], pa.binary())], names=["ml", "bucket"])
+def _resolved(joined: DataFrame, order: int, total: int, starts: int) -> DataFrame:
+    """Slabs with the counts of their tokens in place of ids and keys; ml and bucket are the events of the tuning fold."""
 
-    return joined.mapInArrow(run, "ml binary, bucket binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            got = sorted(row.pop("got"), key=lambda g: (g["k"], g["p"]))
+            s = _Slab(row, order)
+            counted, whole = [], []
+            for k in range(order):
+                a, b = (np.concatenate([_unpack(g[c], _U) for g in got if g["k"] == k]) for c in "ab")
+                counted.append(a[s.inverse[k]].astype(np.float64))
+                whole.append(_pack((a + b)[s.inverse[k]]))
+            tune = np.flatnonzero(s.token_fold == 1)
+            ml, _, bucket = _ratios(counted, s.first, total, starts)
+            out = [s.ids, row["folds"], row["n"], whole, _pack(ml[tune].astype(np.float32).ravel()), _pack(bucket[tune].astype(np.uint8))]
+            types = [pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, types, strict=True)], names=["ids", "folds", "n", "counts", "ml", "bucket"])
+
+    return joined.mapInArrow(run, "ids array<bigint>, folds binary, n binary, counts array<binary>, ml binary, bucket binary")
 
 
 def learn_weights(events: DataFrame, order: int, v: int, rounds: int) -> np.ndarray:
@@ -194,16 +207,14 @@ def learn_weights(events: DataFrame, order: int, v: int, rounds: int) -> np.ndar
 
         def run(batches: Iterator[pa.RecordBatch], w: np.ndarray = w) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((_BUCKETS, order + 1))
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = _unpack(row["bucket"], np.uint8)
-                    if not len(b):
-                        continue
-                    ml = _unpack(row["ml"], np.float32).astype(np.float64).reshape(len(b), order)
-                    part = w[b] * np.column_stack([np.full(len(b), 1.0 / (v + 1)), ml])
+            for row in _rows(batches):
+                b, ml = _unpack(row["bucket"], np.uint8), _unpack(row["ml"], np.float32)
+                for i in range(0, len(b), 1 << 17):
+                    bb = b[i : i + (1 << 17)]
+                    part = w[bb] * np.column_stack([np.full(len(bb), 1.0 / (v + 1)), ml[i * order : (i + len(bb)) * order].reshape(-1, order)])
                     part /= part.sum(1, keepdims=True)
                     for k in range(order + 1):
-                        sums[:, k] += np.bincount(b, part[:, k], _BUCKETS)
+                        sums[:, k] += np.bincount(bb, part[:, k], _BUCKETS)
             b, k = np.nonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(sums[b, k])], names=["b", "k", "x"])
 
@@ -252,22 +263,27 @@ def score(
     scratch.sweep()
     va, v = (int(x or 0) for x in merged.where("slab is null and k = 0").agg(F.sum("va"), F.sum("v")).first())
     joined = slabs.join(merged.where("slab is not null").groupBy("slab").agg(F.collect_list(F.struct("k", "p", "a", "b")).alias("got")), "slab")  # as many as one slab has key ranges
-    events = scratch.table(_events(joined, order, t0, d0), "events")
+    resolved = scratch.table(_resolved(joined, order, t0, d0), "resolved")
+    scratch.drop(slabs)
+    scratch.drop(merged)
     scratch.sweep()
-    weights = learn_weights(events, order, va, rounds)
+    weights = learn_weights(resolved.select("ml", "bucket"), order, va, rounds)
     total, starts = t0 + t1, d0 + d1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = _Slab(row, order)
-                own, ml, seen, bucket = _ratios(s, row, order, total, starts, False)
-                part = np.column_stack([np.full(len(own), 1.0 / (v + 1)), ml])
-                p = np.log10((usable(weights[bucket], np.column_stack([np.ones(len(own)), seen])) * part).sum(1))
-                base = np.log10((own + 1) / (total + v + 1))
-                at = s.first
-                add = lambda x: np.add.reduceat(x, at)
-                n = len(s.n)
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids, pa.int64()), pa.array(s.folds == 2), pa.array(s.n, pa.int64()), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(n, total, np.int64)), pa.array(add(base)), pa.array(add(p))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return joined.mapInArrow(run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        for row in _rows(batches):
+            n = _unpack(row["n"], np.uint32).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            counts = [_unpack(c, _U).astype(np.float64) for c in row["counts"]]
+            ml, seen, bucket = _ratios(counts, first, total, starts)
+            own, p = counts[0], np.empty(len(counts[0]))
+            for i in range(0, len(own), 1 << 17):
+                at = slice(i, i + (1 << 17))
+                one = np.ones(len(own[at]))
+                p[at] = np.log10((usable(weights[bucket[at]], np.column_stack([one, seen[at]])) * np.column_stack([one / (v + 1), ml[at]])).sum(1))
+            base = np.log10((own + 1) / (total + v + 1))
+            add = lambda x: np.add.reduceat(x, first)  # noqa: B023, E731
+            held_out = np.frombuffer(row["folds"], np.uint8) == 2
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(held_out), pa.array(n), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(len(n), total, np.int64)), pa.array(add(base)), pa.array(add(p))], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return resolved.select("ids", "folds", "n", "counts").mapInArrow(run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -10,6 +10,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,13 @@ def root(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all finished calls; results that were not yet written need theirs."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/strandlake")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 
@@ -59,6 +67,8 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
     def sweep(self) -> None:
-        """Let Spark's cleaner remove shuffle files of jobs that are over."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove shuffle files of jobs that are over; it works on what two collections have found."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
