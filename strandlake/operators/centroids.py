@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
+from strandlake.operators.sketches import kmer_rows
 
 
 def centroid_records(records: DataFrame, clusters: DataFrame, name: str = "id", centroid: str = "centroid") -> DataFrame:
@@ -38,8 +39,6 @@ def search(orfs: DataFrame, centroids: DataFrame, least_identity: float, least_c
     Identity is shared distinct k-mers over those of the shorter sequence, cover those over the query's. Rare
     k-mers meet in an equi-join; pos ranks a query's hits, ties by subject.
     """
-    from pyspark.sql import Window
-
     q = orfs.select(F.col("id").alias("query"), F.explode(F.array_distinct(S.kmers(F.col("seq"), k))).alias("km"))
     c = centroids.select(F.col("id").alias("subject"), F.explode(F.array_distinct(S.kmers(F.col("seq"), k))).alias("km"))
     nq, nc = q.groupBy("query").agg(F.count("*").alias("nq")), c.groupBy("subject").agg(F.count("*").alias("nc"))
@@ -57,13 +56,12 @@ def identical(rows: DataFrame, signature: list[str], order: str, label: str) ->
 def minhash_clusters(rows: DataFrame, name: str, seq: str, k: int = 10, hashes: int = 8) -> DataFrame:
     """(id, centroid): linear-time clustering in the manner of k-mer grouping; approximate.
 
-    Each sequence is filed under its ``hashes`` smallest k-mer hashes; in each file the longest sequence (ties by name) is
-    the centre, and a sequence joins the centre that most of its files name. One pass, no pair is ever made.
+    k-mer hashes are dealt into ``hashes`` buckets and each sequence is filed under the smallest of each; in each file the
+    longest sequence (ties by name) is the centre, and a sequence joins the centre that most of its files name. One pass,
+    no pair is ever made.
     """
-    from pyspark.sql import Window
-
-    km = F.transform(F.array_distinct(S.kmers(F.col(seq), k)), lambda z: F.xxhash64(z))
-    x = rows.select(F.col(name).alias("id"), F.length(seq).alias("len"), F.explode(F.slice(F.array_sort(km), 1, hashes)).alias("h"))
+    x = kmer_rows(rows.select(F.col(name).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("len")), "s", k, "id", "len").withColumn("h", F.xxhash64("km"))
+    x = x.groupBy("id", F.pmod("h", F.lit(hashes)).alias("b")).agg(F.min("h").alias("h"), F.first("len").alias("len"))
     centre = x.groupBy("h").agg(F.min(F.struct((-F.col("len")).alias("l"), "id")).alias("c"))
     votes = x.join(centre, "h").groupBy("id", F.col("c.id").alias("centroid")).agg(F.count("*").alias("v"))
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v"), "centroid"))).where("r = 1").select("id", "centroid")

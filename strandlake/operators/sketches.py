@@ -9,10 +9,26 @@ from strandlake.functions import sequence as S
 from strandlake.operators.sizes import broadcast_if_small
 
 
+def kmer_rows(rows: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
+    """(keep..., pos, km): one row for each k-mer of the ASCII column seq, km as bytes.
+
+    Positions are exploded and k-mers cut in generated code, which no array function is.
+    """
+    x = rows.select(*keep, F.col(seq).cast("binary").alias("__raw")).where(F.octet_length("__raw") >= k)
+    x = x.select(*keep, "__raw", F.explode(F.sequence(F.lit(1), F.octet_length("__raw") - (k - 1))).alias("__i"))
+    return x.select(*keep, (F.col("__i") - 1).alias("pos"), F.substring(F.col("__raw"), F.col("__i"), F.lit(k)).alias("km"))
+
+
+def _shared(reads: DataFrame, known: DataFrame, name: str, seq: str, k: int) -> DataFrame:
+    """k-mers of reads that known has, with known's other columns; looked up by a hash, then compared."""
+    known = broadcast_if_small(known.withColumn("__h", F.xxhash64("km")).withColumnRenamed("km", "__km"))
+    x = kmer_rows(reads, seq, k, name).withColumn("__h", F.xxhash64("km"))
+    return x.join(known, "__h").where(F.col("km") == F.col("__km"))
+
+
 def contaminated(reads: DataFrame, reference: DataFrame, name: str, seq: str, k: int = 23) -> DataFrame:
     """(name, hits): reads with at least one k-mer of the reference, and how many distinct ones."""
-    known = broadcast_if_small(reference.select(F.explode(S.kmers(F.col("seq"), k)).alias("km")).distinct())
-    x = reads.select(name, F.explode(S.kmers(F.col(seq), k)).alias("km")).join(known, "km", "left_semi")
+    x = _shared(reads, kmer_rows(reference, "seq", k).select("km").distinct(), name, seq, k)
     return x.groupBy(name).agg(F.countDistinct("km").cast("bigint").alias("hits"))
 
 
@@ -32,9 +48,8 @@ def mash(sets: DataFrame, name: str, seq: str, k: int) -> DataFrame:
 
 def taxon_votes(reads: DataFrame, reference: DataFrame, name: str, seq: str, taxon: str, k: int) -> DataFrame:
     """(name, taxon, votes): the taxon that most of a read's distinct k-mers vote for, ties by taxon; an approximation of k-mer classifiers."""
-    known = broadcast_if_small(reference.select(taxon, F.explode(S.kmers(F.col("seq"), k)).alias("km")).distinct())
-    x = reads.select(name, F.explode(F.array_distinct(S.kmers(F.col(seq), k))).alias("km")).join(known, "km")
-    x = x.groupBy(name, taxon).agg(F.count("*").cast("bigint").alias("votes"))
+    x = _shared(reads, kmer_rows(reference, "seq", k, taxon).select(taxon, "km").distinct(), name, seq, k)
+    x = x.groupBy(name, taxon).agg(F.countDistinct("km").cast("bigint").alias("votes"))
     w = Window.partitionBy(name).orderBy(F.desc("votes"), taxon)
     return x.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
