@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -97,24 +98,25 @@ def test_lm(spark, spoken, order):
 
 
 def test_lm_is_a_distribution(spark):
-    """Over all next words and one unknown word after each context the probabilities add up to one."""
+    """The probabilities of all words, the end and one unknown word add up to one; of bigrams, those after a repeated word are read off score differences."""
     words = "a b c d".split()
     rng = random.Random(0)
     rows = [(i, " ".join(rng.choice(words) for _ in range(6))) for i in range(200)]
-    probe = [(f"{x} {y}", x, y) for x in words for y in [*words, "zzz"]]
-    ids = [i for i in range(10**4, 10**6) if zlib.crc32(str(i).encode()) % 7 == 2][: len(probe) + len(words)]
-    rows += [(i, p[0]) for i, p in zip(ids, probe, strict=False)] + list(zip(ids[len(probe) :], words, strict=True))
-    got = {r["id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    end = {w: got[i] for i, w in zip(ids[len(probe) :], words, strict=True)}  # log p(w) + log p(end | w)
-    first = {w: None for w in words}
-    total = {}
-    for i, (_, x, y) in zip(ids, probe, strict=False):
-        total.setdefault(x, {})[y] = got[i]
-    # p(x y end) = p(x) p(y | x) p(end | y); with p(end | y) unknown for zzz, check the sum through score differences of known words
+    ids = [i for i in range(10**4, 10**5) if zlib.crc32(str(i).encode()) % 7 == 2]
+    probes = ["", *words, "zzz"]
+    df = spark.createDataFrame(rows + list(zip(ids, probes, strict=False)), "doc_id bigint, text string")
+    got = {r["id"]: r["score"] for r in lm.score(df, order=1).collect()}
+    end = got[ids[0]]
+    assert 10**end + sum(10 ** (got[i] - end) for i, _ in zip(ids[1:], probes[1:], strict=False)) == pytest.approx(1)
+
+    # p(y | x) * e(y) / e(x) from "x y" and "x", p(x | x) from "x x x" and "x x", where e(x) = p(end | x)
+    probes = [" ".join(p) for n in (1, 2) for p in itertools.product([*words, "zzz"], repeat=n)] + [f"{w} {w} {w}" for w in words]
+    df = spark.createDataFrame(rows + list(zip(ids, probes, strict=False)), "doc_id bigint, text string")
+    by = {r["id"]: r["score"] for r in lm.score(df).collect()}
+    score = {p: by[i] for i, p in zip(ids, probes, strict=False)}
     for x in words:
-        s = sum(10 ** (total[x][y] - end[y]) * 10 ** (end[y]) for y in words)
-        assert 0 < s < 1
-    assert first.keys() == total.keys()
+        same = 10 ** (score[f"{x} {x} {x}"] - score[f"{x} {x}"])
+        assert same == pytest.approx(10 ** (score[f"{x} {x}"] - score[x])) and 0.1 < same < 0.4
 
 
 def test_weights_and_packing():
