@@ -197,6 +197,8 @@ def test_large_cluster_is_counted_exactly(spark, monkeypatch):
         ("<article><header><h1>T</h1></header><p>x</p><aside>s</aside></article><article class='comment'>c</article>", "T\n\nx"),
         ("<div class=cookie-banner>c</div><header>site</header><p>x  \n y</p><ul><li>1<li>2</ul><table><tr><td>a<td>b<tr><td>c</table>", "x y\n\n1\n\n2\n\na b\n\nc"),
         ("<p>a < b and c<d </p>", "a < b and c"),
+        ("<div class='header-fixed'><div class=sidebar>s<article>t</article></div><main><p>k</p></main></div>", "k"),
+        ("<div class=comments><article class=comment>c</article></div><article hidden>h</article><p>k</p>", "k"),
         ('<p title="a>b">x</p><div id="ads-top">ad</div></div></p>y', "x\n\ny"),
     ],
 )
