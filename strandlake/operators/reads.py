@@ -41,21 +41,23 @@ def qc_split(reads: DataFrame, length: Column, quality: Column, unknown: Column,
 def best_bases(reads: DataFrame, length: str, score: str, tie: str, share: float | None = None, target: Column | int | None = None) -> DataFrame:
     """The best reads by score (ties by ``tie``) until a share of all bases, or a number of bases, is reached; the read that reaches it stays.
 
-    Scores are binned first: the running sum goes over one row for each score, and reads are ordered only inside the one score
-    at which the budget ends.
+    Scores are put in 4,096 bins first: the running sum goes over one row for each bin, and reads are ordered only inside the one
+    bin in which the budget ends. A null score comes last.
     """
-    per = reads.groupBy(F.col(score).alias("__s")).agg(F.sum(length).alias("__b"))
+    ends = reads.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    bin_ = F.least(F.lit(4095), F.floor(F.coalesce(F.expr(f"try_divide(`{score}` - __lo, __hi - __lo)"), F.lit(0.0)) * 4096)).cast("int")
+    x = reads.crossJoin(F.broadcast(ends)).withColumn("__s", F.when(F.col(score).isNull(), -1).otherwise(bin_))  # one row of ends
+    per = x.groupBy("__s").agg(F.sum(length).alias("__b"))
     down = Window.orderBy(F.desc("__s"))
     per = per.withColumn("__before", F.sum("__b").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b"))
     total = F.sum("__b").over(Window.partitionBy())
     goal = total * F.lit(share) if share is not None else (target if isinstance(target, Column) else F.lit(target))
     per = per.withColumn("__goal", goal).where("__before < __goal").select("__s", "__b", "__before", "__goal")
-    x = reads.join(per, F.col(score) == F.col("__s"))
+    x = x.join(F.broadcast(per), "__s")
     whole = F.col("__before") + F.col("__b") < F.col("__goal")
-    edge = x.where(~whole)
-    upto = Window.partitionBy("__s").orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("__cum", F.col("__before") + F.sum(length).over(upto) - F.col(length)).where("__cum < __goal").drop("__cum")
-    return x.where(whole).unionByName(edge).drop("__s", "__b", "__before", "__goal")
+    upto = Window.partitionBy("__s").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
+    edge = x.where(~whole).withColumn("__cum", F.col("__before") + F.sum(length).over(upto) - F.col(length)).where("__cum < __goal").drop("__cum")
+    return x.where(whole).unionByName(edge).drop("__s", "__b", "__before", "__goal", "__lo", "__hi")
 
 
 def discarded(reads: DataFrame, kept: DataFrame, name: str) -> DataFrame:
