@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.llm import kernels
 from strandlake.llm.columns import seeded
@@ -186,6 +187,18 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     return train([t for _, t in sample], [y for y, _ in sample])
 
 
+def _scored(texts: pa.Array, model: Predictor) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs i to j of the texts: the number of each one's language, -1 if it has none, and the probability."""
+    data, off = kernels.utf8(texts)
+    known = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False) & bool(model.net.langs)
+    for i, j in kernels.pieces(off, 2 << 20):
+        if model.net.langs:
+            best, p = model.predict(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        else:
+            best, p = np.zeros(j - i, int), np.zeros(j - i)
+        yield i, j, np.where(known[i:j], best, -1), np.where(known[i:j], p, 0.0)
+
+
 def predict(docs: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
     """All columns of docs, and lang_pred and score (columns of docs with these names are replaced).
 
@@ -200,19 +213,9 @@ def predict(docs: DataFrame, net: Net, *, text: str = "text") -> DataFrame:
         net = shared.value
         model = Predictor(net)
         for batch in batches:
-            texts = batch.column(names.index(text))
-            data, off = kernels.utf8(texts)
-            letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for i, j in kernels.pieces(off, 4 << 20):
-                if net.langs:
-                    best, p = model.predict(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                else:
-                    best, p = np.zeros(j - i, int), np.zeros(j - i)
-                known = letters[i:j] & bool(net.langs)
-                lang = pa.array([net.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lang, pa.array(np.where(known, p, 0.0))], names=[*names, "lang_pred", "score"])
-
-    from pyspark.sql import types as T
+            for i, j, best, p in _scored(batch.column(names.index(text)), model):
+                lang = pa.array([net.langs[b] if b >= 0 else UNKNOWN for b in best], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lang, pa.array(p)], names=[*names, "lang_pred", "score"])
 
     fields = [f for f in docs.schema.fields if f.name in names]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -224,7 +227,13 @@ def accepted(docs: DataFrame, net: Net, *, text: str = "text", least: float = 0.
 
     Columns of docs named lang_pred or score are kept as they are.
     """
-    names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col(f"`{text}`").alias("text"))
-    good = predict(row, net).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return good.select(*(F.col("row").getField(c).alias(c) for c in names))
+    sc = docs.sparkSession.sparkContext
+    shared, at = sc.broadcast(net), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Predictor(shared.value)
+        for batch in batches:
+            for i, j, best, p in _scored(batch.column(at), model):
+                yield batch.slice(i, j - i).filter(pa.array((best >= 0) & (p >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
