@@ -51,7 +51,7 @@ def tilts(scratch: Scratch, hist: DataFrame, sources: DataFrame, cap: float, max
     """(s0, s, source_size, target, full, lam) from the histogram (s0, s, size, n)."""
     solved = (F.col("source_size") == 0) | F.col("full")
     state = sources.select("s0", "s", "source_size", "target", "full", "least", F.lit(0.0).alias("lam"), (-60 / F.col("least")).alias("lo"), (math.log(cap) / F.col("least")).alias("hi"), F.lit(float("inf")).alias("gap"))
-    state = scratch.table(state.where(~solved), "tilt0")
+    state = scratch.table(state.where(~solved).repartition(4), "tilt0")  # one row a source: a few files are enough
     size, lam = F.col("size").cast("double"), F.col("lam")
     for k in range(max_tables):
         for _ in range(_STEPS_A_TABLE):
@@ -68,7 +68,7 @@ def tilts(scratch: Scratch, hist: DataFrame, sources: DataFrame, cap: float, max
             inside = step.isNotNull() & (step > F.col("lo2")) & (step < F.col("hi2"))
             new = F.when(g == 0, lam).when(inside, step).otherwise((F.col("lo2") + F.col("hi2")) / 2)
             state = at.select("s0", "s", "source_size", "target", "full", "least", new.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.abs(g) / F.col("target")).alias("gap"))
-        state = scratch.table(state, f"tilt{k + 1}")
+        state = scratch.table(state.repartition(4), f"tilt{k + 1}")
         if not state.where("gap > 1e-9 and hi - lo > 1e-13 * abs(lam)").limit(1).count():
             break
     rest = sources.where(solved).withColumn("lam", F.lit(0.0))
@@ -123,7 +123,7 @@ def mix(
     cells = scratch.table(cells.agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")), "cells")
     hist = scratch.table(cells.groupBy("s0", "s", "size").agg(F.sum("n").alias("n")), "sizes")
     sources = hist.groupBy("s0", "s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
-    sources = scratch.table(targets(sources, weights, share, cap), "targets")
+    sources = scratch.table(targets(sources, weights, share, cap).repartition(4), "targets")
     classes = copies_by_class(hist, tilts(scratch, hist, sources, cap), cap)
     classes = scratch.table(classes.withColumn("base", F.expr("m div n")).withColumn("more", F.expr("m % n")), "classes")
 
