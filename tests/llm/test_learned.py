@@ -182,6 +182,15 @@ def test_large_cluster_is_counted_exactly(spark, monkeypatch):
     assert [got[i] for i in range(300)] == want.tolist()
 
 
+def test_candidates_are_not_thinned():
+    import pyarrow as pa
+
+    n = 60
+    cols = {c: np.zeros(n, np.int64) for c in ("group", "code", "sketch")}
+    t = pa.table(cols | {"node": np.arange(n), "i": np.arange(n), "own": np.ones(n, bool), "moved": np.zeros(n, bool)})
+    assert len(vectors._compare(256, 0.93)(t)) == n * (n - 1) // 2
+
+
 # ---- pages ----------------------------------------------------------------------------------------------------
 
 
