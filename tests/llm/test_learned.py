@@ -182,6 +182,26 @@ def test_large_cluster_is_counted_exactly(spark, monkeypatch):
     assert [got[i] for i in range(300)] == want.tolist()
 
 
+def alike(rng, n, pairs, cosine, dim=64):
+    """n unit vectors with a mutual cosine of about ``cosine``; the last ``pairs`` are copies at 0.95 of the first ones."""
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(math.sqrt(cosine) * unit(rng.standard_normal(dim)) + math.sqrt(1 - cosine) * unit(rng.standard_normal((n - pairs, dim))))
+    side = rng.standard_normal((pairs, dim))
+    side = unit(side - (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    return np.concatenate([x, 0.95 * x[:pairs] + math.sqrt(1 - 0.95**2) * side])
+
+
+@pytest.mark.parametrize("window,cosine", [(256, 0.88), (256, 0.85), (32, 0.7)])  # compared whole, whole, and in passes
+def test_vectors_of_an_alike_label(spark, window, cosine):
+    n = 4000
+    x = alike(np.random.default_rng(6), n, 1000, cosine)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r["id"]: r["n_links"] for r in vectors.near_duplicates(df, window=window, passes=None if window == 256 else 40).collect()}
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    have = np.array([got[i] for i in range(n)])
+    assert (have == want).all() if window == 256 else have.sum() >= 0.99 * want.sum()
+
+
 def test_candidates_are_not_thinned():
     import pyarrow as pa
 
@@ -191,6 +211,12 @@ def test_candidates_are_not_thinned():
     assert len(vectors._compare(256, 0.93)(t)) == n * (n - 1) // 2
 
 
+def test_passes_follow_the_data():
+    x = {c: alike(np.random.default_rng(7), 2000, 0, c) for c in (0.02, 0.85)}
+    hit = {c: vectors._hits(v, v.mean(0) * (c > 0.1), 100000, 256, 0.93, 5) for c, v in x.items()}
+    assert 0.2 < hit[0.02] < 0.6 and hit[0.85] < 0.5 * hit[0.02]
+
+
 # ---- pages ----------------------------------------------------------------------------------------------------
 
 
