@@ -113,9 +113,10 @@ def contained(
     return full.select(F.col("d").alias(doc), F.col("item").alias(item), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", few: int = 500_000, **how) -> DataFrame:
-    """docs without the rows whose id is in a pair of ``contained``; a null id is matched too."""
-    bad = contained(docs, items, doc=doc, **how).select(F.col(doc).alias("__bad")).distinct()
-    bad = Scratch(docs.sparkSession, "clean").table(bad, "bad")
+def clean(docs: DataFrame, items: DataFrame, *, few: int = 500_000, **how) -> DataFrame:
+    """docs without the rows that contain an item by ``contained``; each row is decided by its own text, whatever its id."""
+    scratch = Scratch(docs.sparkSession, "clean")
+    rows, at = scratch.numbered(docs)
+    bad = scratch.table(contained(rows, items, doc=at, **how).select(F.col(f"`{at}`").alias("__bad")).distinct(), "bad")
     bad = F.broadcast(bad) if bad.count() <= few else bad
-    return docs.join(bad, F.col(f"`{doc}`").eqNullSafe(F.col("__bad")), "left_anti")
+    return rows.join(bad, F.col(f"`{at}`") == F.col("__bad"), "left_anti").drop(at)

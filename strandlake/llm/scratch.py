@@ -14,6 +14,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -58,6 +59,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """df, written with a number of each row, and the name of that column, which df does not have."""
+        name = "__row"
+        while name in df.columns:
+            name += "_"
+        return self.table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
         jvm = self.spark.sparkContext._jvm

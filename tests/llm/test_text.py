@@ -231,6 +231,22 @@ def test_tokens_and_shingles():
     assert (kernels.tokens(data2, off2)[0] == tok[3:8]).all()
 
 
+def test_rows_are_decided_one_by_one(spark):
+    rng = random.Random(12)
+    a, b, c, d, item = (prose(rng, 60, 5000) for _ in range(5))
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, c, "s"), (None, c, "s"), (2, d, "s"), (2, d, "s"), (2, b + " " + c + " " + d, "s")]
+    kept = minhash.deduplicated(docs(spark, rows)).collect()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=key) == sorted([rows[i][:2] for i in (0, 2, 3, 5, 7)], key=key)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    ws = item.split()
+    half = [" ".join(ws[:34]), " ".join(ws[26:])]  # only together they hold the item
+    rows = [(None, item, "s"), (None, a, "s"), (None, half[0], "s"), (None, half[1], "s"), (7, item, "s"), (7, b, "s")]
+    got = decontamination.clean(docs(spark, rows), bench)
+    assert got.columns == docs(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([rows[i][:2] for i in (1, 2, 3, 5)], key=key)
+
+
 # ---- lines ----------------------------------------------------------------------------------------------------
 
 
