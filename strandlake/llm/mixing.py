@@ -9,8 +9,10 @@ histogram (source, size, rows), which is all that the dual needs of the corpus.
 
 Rates become copies by systematic rounding along the sizes of a source, which errs by half
 the largest document at most; then single copies are moved to close what is left of the gap.
-A (source, size) class gives its remainder to the rows with the smallest seeded hash, up to a bound
-that is read off 1,024 hash cells a class, so no class, however large, is sorted or gathered.
+A (source, size) class gives its remainder to the rows with the smallest seeded hash. The hash covers all columns, so that
+rows with null or repeated ids differ in it. Which of 1,024 hash cells holds the last of them is read off the cells'
+counts, and only the hashes of that cell are sorted, so no class, however large, is sorted or gathered. Of rows
+that are equal in everything and share that last hash, as many are taken as are missing.
 """
 
 from __future__ import annotations
@@ -109,36 +111,48 @@ def mix(
     get ``share`` of all sizes; no target is above ``cap`` times its source's size, and no row gets
     more than ``cap`` (a whole number) copies. A row without words keeps one copy, which takes
     nothing. Null texts count no words; rows without a source are a source of their own. Rows with
-    equal keys share a hash, hence within a class are taken or left together. Empty tables give no rows.
+    equal or null keys are told apart by their other columns, and of rows equal in everything the right number is
+    taken. Empty tables give no rows.
     """
     scratch = Scratch(docs.sparkSession, "mix")
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     base = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.col(f"`{source}`").isNull().alias("s0"),
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("s"),
         (n_words(F.col(f"`{text}`")) if size is None else size).alias("size"),
-        seeded(seed, F.col(f"`{key}`")).alias("h"),
+        seeded(seed, F.col(f"`{key}`"), whole).alias("h"),
     )
-    cells = base.groupBy("s0", "s", "size", F.shiftright("h", 63 - _CELL_BITS).cast("int").alias("b"))
-    cells = scratch.table(cells.agg(F.count("*").alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")), "cells")
-    hist = scratch.table(cells.groupBy("s0", "s", "size").agg(F.sum("n").alias("n")), "sizes")
+    of_class = ["s0", "s", "size"]
+    cell = F.shiftright("h", 63 - _CELL_BITS).cast("int")
+    light = scratch.table(base.select(*of_class, "h"), "hashes")
+    cells = scratch.table(light.groupBy(*of_class, cell.alias("b")).agg(F.count("*").alias("n")), "cells")
+    hist = scratch.table(cells.groupBy(*of_class).agg(F.sum("n").alias("n")), "sizes")
     sources = hist.groupBy("s0", "s").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     sources = scratch.table(targets(sources, weights, share, cap).repartition(4), "targets")
     classes = copies_by_class(hist, tilts(scratch, hist, sources, cap), cap)
     classes = scratch.table(classes.withColumn("base", F.expr("m div n")).withColumn("more", F.expr("m % n")), "classes")
 
-    # the remainder of a class goes to the smallest hashes; the cell where the count is reached gives the bound
-    own = Window.partitionBy("s0", "s", "size").orderBy("b")
-    cut = cells.join(classes.where("more > 0").select("s0", "s", "size", "more"), ["s0", "s", "size"])
-    cut = cut.withColumn("before", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    cut = cut.where("before < more and more <= before + n").select(
-        "s0", "s", "size",
-        F.expr("case when more = before + n then h1 else h0 + cast((h1 - h0) * ((more - before - 0.5D) / (n - 1)) as bigint) end").alias("bound"),
-    )
-    classes = scratch.table(classes.join(cut, ["s0", "s", "size"], "left").select("s0", "s", "size", "source_size", "target", "rate", "base", "bound"), "bounds")
-    out = base.join(classes, ["s0", "s", "size"])
+    # the remainder of a class goes to the smallest hashes: the cell where the count is reached, then the hash in it
+    own = Window.partitionBy(*of_class)
+    cut = cells.join(classes.where("more > 0").select(*of_class, "more"), of_class)
+    cut = cut.withColumn("before", F.sum("n").over(own.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    cut = cut.where("before < more and more <= before + n").select(*of_class, "b", (F.col("more") - F.col("before")).alias("left"))
+    last = light.withColumn("b", cell).join(cut, [*of_class, "b"]).groupBy(*of_class, "left", "h").agg(F.count("*").alias("k"))
+    last = last.withColumn("upto", F.sum("k").over(own.orderBy("h").rowsBetween(Window.unboundedPreceding, 0)))
+    last = last.where("upto - k < left and left <= upto").select(*of_class, F.col("h").alias("bound"), "k", (F.col("left") - F.col("upto") + F.col("k")).alias("some"))
+    classes = classes.join(last, of_class, "left").select(*of_class, "source_size", "target", "rate", "base", "bound", "k", "some")
+    classes = scratch.table(classes, "bounds")
+    split = F.col("bound").isNotNull() & (F.col("h") == F.col("bound")) & (F.col("some") < F.col("k"))  # equal rows, of which some are taken
+    out = base.join(classes, of_class)
     extra = F.when(F.col("bound").isNotNull() & (F.col("h") <= F.col("bound")), 1).otherwise(0)
-    return out.select("row", "size", "source_size", "target", "rate", (F.col("base") + extra).cast("bigint").alias("copies"))
+    keep = ("row", "size", "source_size", "target", "rate")
+    plain = out.where(~F.coalesce(split, F.lit(False))).select(*keep, (F.col("base") + extra).cast("bigint").alias("copies"))
+    if not classes.where("some < k").limit(1).count():
+        return plain
+    equal = out.where(split).groupBy(*of_class).agg(*(F.first(c).alias(c) for c in ("row", "source_size", "target", "rate", "base", "k", "some")))
+    equal = equal.withColumn("i", F.explode(F.expr("sequence(1L, k)")))
+    return plain.union(equal.select(*keep, (F.col("base") + F.when(F.col("i") <= F.col("some"), 1).otherwise(0)).cast("bigint").alias("copies")))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

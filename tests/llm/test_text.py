@@ -94,6 +94,21 @@ def test_mix_edges(spark, odd):
     assert x["copies"] * x["size"] == x["target"] == 60
 
 
+@pytest.mark.parametrize("ids", ["null", "equal", "rows"])
+def test_mix_of_rows_without_ids(spark, ids):
+    """Null or equal ids, and rows repeated in everything, are told apart: the mix takes what it should."""
+    rng = random.Random(3)
+    text = [prose(rng, rng.choice([5, 20, 80, 200])) for _ in range(400)]
+    rows = [(None if ids == "null" else 5, text[0 if ids == "rows" and i % 3 else i], rng.choice("aaabbc")) for i in range(400)]
+    got = mixing.mix(docs(spark, rows))
+    by = got.groupBy("row.source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in by) == 400
+    for r in by:
+        assert r["taken"] == pytest.approx(r["target"], rel=0.005) or abs(r["taken"] - r["target"]) <= 3
+    again = lambda: sorted((r["row"]["text"], r["row"]["source"], r["copies"]) for r in mixing.mix(docs(spark, rows)).collect())
+    assert again() == again()
+
+
 # ---- sharding -------------------------------------------------------------------------------------------------
 
 
@@ -121,6 +136,24 @@ def test_shard_edges(spark, odd):
     assert a == b
 
 
+def test_shards_follow_fractional_ranks(spark):
+    """Rows sorted by the fractional rank of their place in the seeded order of their source, cut by count."""
+    rng = random.Random(8)
+    rows = [(i, "t", rng.choice("aaab")) for i in range(500)]
+    rows += [(None, f"n{i}", "a") for i in range(60)] + [(7, "same", "b")] * 40 + [(8, "x", None)]
+    got = sharding.shard(docs(spark, rows), 7)
+    df = docs(spark, rows).drop("shard")
+    order = df.select("doc_id", "text", "source", F.xxhash64(*df.columns).alias("tie")).withColumn("h", sharding.seeded(17, F.col("doc_id"), F.col("tie"))).collect()
+    line = []
+    for s in ("a", "b", None):
+        mine = sorted((r["h"], r["tie"], r["doc_id"], r["text"]) for r in order if r["source"] == s)
+        line += [((2 * k + 1) / (2 * len(mine)), s is None, s or "", k, x[2], x[3]) for k, x in enumerate(mine)]
+    line.sort(key=lambda x: x[:4])
+    first = [-(-k * len(line) // 7) for k in range(8)]
+    want = sorted((str(x[4]), x[5], k, i - first[k]) for k in range(7) for i, x in enumerate(line) if first[k] <= i < first[k + 1])
+    assert sorted((str(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in got.collect()) == want
+
+
 # ---- decontamination ------------------------------------------------------------------------------------------
 
 
