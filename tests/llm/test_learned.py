@@ -258,6 +258,81 @@ def test_style_tree_removes_what_repeats(spark):
     assert {r["text"] for r in html.extract(copies).collect()} == {html.main_text(page(0, "s"))}
 
 
+def test_probes_of_content():
+    t = html.main_text
+    assert t("<main><h1>Title</h1><p>Lead</p><article>story</article></main>") == "Title\n\nLead\n\nstory"
+    assert t("<body><p>Long story that goes on</p><article class=card>teaser</article></body>") == "Long story that goes on\n\nteaser"
+    assert t('<article><h2 class="social-history">a</h2><div class="widget-body">b</div><section id="menu-of-options">c</section></article>') == "a\n\nb\n\nc"
+    assert t("<body><h1>Title</h1><div class=share-buttons>x</div><article><p>a longer story</p></article><div>some links</div></body>") == "Title\n\na longer story"
+    assert t("<form id=aspnetForm><h1>T</h1><p>x</p><input value=a></form><form><p>mail</p></form>") == "T\n\nx"
+    assert t("<form class=search-box><main><p>x</p></main></form><p>y</p>") == "x"
+    assert t("<article><p>x</p><div data-class='ad'>y</div><div class='ad-slot-3'>z</div></article>") == "x\n\ny"
+
+
+@pytest.mark.parametrize(
+    "piece,tail",
+    [("<a ", ""), ("<a ", ">"), ("<div>", "</x>" * 60000), ('<a b="', ""), ('<a ">"', ""), ("<a '>\"", "x"), ("<!", ""), ("<!-", ""), ("<b>", "<hr>" * 60000), ("<div>", "<li></li>" * 60000), ("<p", ">"), ("</", ""), ("<script>", ""), ("<div class=x><main></main>", "")],
+)
+def test_malformed_pages_take_linear_time(piece, tail):
+    import time
+
+    page = piece * (300000 // len(piece)) + tail + "end"
+    t = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - t < 15
+
+
+SITE = "<body><div class=top><p>Welcome to us</p></div><article><h1>{h}</h1><p>{p}</p><h2>Sources</h2><p>{q}</p><div><p>Subscribe now</p><p>It is free</p></div></article><div class=end><p>{end}</p></div></body>"
+
+
+def site(n):
+    rng = random.Random(2)
+    words = lambda k: " ".join(rng.choice(["ka", "lo", "mi", "su"]) + str(rng.randrange(10**6)) for _ in range(k))
+    return [SITE.format(h=words(4), p=words(30), q=words(20), end="the end") for _ in range(n)]
+
+
+def test_style_tree_decides_inside_articles(spark):
+    """A branch that all pages of a host share goes, its headings and all; what one page alone has stays, as do headings that repeat."""
+    rows = [(i, f"http://a.org/{i}", h) for i, h in enumerate(site(12))]
+    copy = rows[0][2].replace("Welcome", "Hello")
+    rows += [(100 + i, "http://b.org/", copy.replace("the end", f"end {i}")) for i in range(9)]  # copies of one story: nothing is taken from it
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        want = [x for x in html.main_text(rows[i][2]).split("\n\n") if x not in ("Subscribe now", "It is free")]
+        assert got[i].split("\n\n") == want and "Sources" in want and len(want) == 4
+    assert got[104] == html.main_text(copy)
+
+
+def test_importance_against_brute_force(spark):
+    rng = random.Random(5)
+    block = lambda: "<div class=m>" + "".join(rng.choice(["<p>one</p>", "<p>two</p>", "<ul><li>three</ul>", f"<p>own {rng.random()}</p>"]) for _ in range(4)) + "</div>"
+    pages = [(i, f"http://{'ab'[i % 2]}.org/{i}", f"<body>{block()}<p>all</p></body>") for i in range(24)] + [(50, None, "<p>all</p>"), (51, "http://c.org", "<p>all</p>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    base = df.select(html._host(df["url"]).alias("host"), "html", "page_id").withColumn("page", df["page_id"])
+    _, said = html.site_tree(base, Scratch(spark, "t"), 5)
+    got = {(r["host"], r["path"], r["content"], r["item"]): (r["a"], r["b"]) for r in said.collect()}
+    want = {}
+    for host in ("a.org", "b.org"):
+        items, at = {}, {}
+        for i, url, h in pages:
+            if url and host in url:
+                for path, content, item in html.features(html.boxes(html.parse(h))):
+                    items.setdefault((path, content), {}).setdefault(item, set()).add(i)
+                    at.setdefault(path, set()).add(i)
+        for (path, content), by in items.items():
+            m = len(at[path])
+            if m < 5:
+                continue
+            n = [len(x) for x in by.values()]
+            if content:
+                want |= {(host, path - 2**63, True, item - 2**63): (0.0, 1 - math.log(len(x), m)) for item, x in by.items() if len(x) > 1}
+            else:
+                entropy = -sum(x / sum(n) * math.log(x / sum(n), m) for x in n)
+                want[host, path - 2**63, False, None] = (0.9 ** len(n), (1 - 0.9 ** len(n)) * min(1, entropy))
+    assert set(got) == set(want) and len(want) > 12
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 # ---- archives -------------------------------------------------------------------------------------------------
 
 
