@@ -61,9 +61,38 @@ def test_language_without_labels(spark, spoken):
     assert {r["lang_pred"] for r in language.predict(one, language.fit(one)).collect()} == {"xx"}
 
 
+def test_unlearned_languages_are_rejected(spark, spoken):
+    """Texts of a language that no label has go, whether two or three languages were learned; those of the learned ones stay."""
+    rng = random.Random(9)
+    other = "szcz przy ąść łów żeń wyk".split()
+    foreign = [(2000 + i, " ".join("".join(rng.choice(other) for _ in range(rng.randrange(1, 4))) for _ in range(200)), None) for i in range(40)]
+    for langs in ("aa bb cc", "aa bb"):
+        own = [(i, speak(rng, lang := rng.choice(langs.split()), rng.randrange(40, 300)), lang) for i in range(600)]
+        df = spark.createDataFrame(own + foreign, "doc_id bigint, text string, lang string")
+        kept = {r["doc_id"] for r in language.accepted(df, language.fit(df)).collect()}
+        assert set(range(600)) <= kept and len(kept - set(range(600))) <= 2
+
+
+def test_sample_is_bounded(spark, spoken):
+    """Null and repeated ids, and repeated texts, bring no more to the driver than the parameters say."""
+    rng = random.Random(10)
+    rows = [(None if i % 2 else 8, speak(rng, "aa" if i % 3 else "bb", 30), "aa" if i % 3 else "bb") for i in range(3000)]
+    rows += [(None, "ka ki ku " * 60, "cc")] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sent = []
+    train = language.train
+    language.train = lambda texts, labels: sent.append((Counter(labels), max(len(t) for t in texts))) or train(texts, labels)
+    try:
+        language.fit(df, per_lang=50)
+        language.fit(df, per_lang=50, max_langs=2, total=20)
+    finally:
+        language.train = train
+    assert sent == [({"aa": 50, "bb": 50, "cc": 1}, 3), ({"aa": 10, "bb": 10}, sent[1][1])]
+
+
 def test_tables_equal_the_network():
     rng = np.random.default_rng(2)
-    net = language.train([b"abc abc abd" * 9, b"xyz xzy zzy" * 9] * 4, ["p", "q"] * 4)
+    net = language.train([language.cut(t) for t in [b"abc abc abd" * 9, b"xyz xzy zzy" * 9] * 4], ["p", "q"] * 4)
     x = rng.integers(0, 256, (70, language.WINDOW)).astype(np.uint8)
     assert np.allclose(language.Predictor(net).logits(x), language._forward(net, x)[3], atol=1e-4)
 
