@@ -1,13 +1,17 @@
 """Near-duplicate lines by a segment-partition edit join (Pass-Join); DataFrame functions only.
 
-With a threshold of t edits every line is split into t + 1 segments; of two lines within t edits one
-has a segment that the other contains unchanged, near the same place. A segment is filed under its line's
-length and its number; a line probes, for each length from its own down to t less, the few start
+Two lines are linked if their edit distance is at most ``edits`` and at most one for every ``per`` characters of the longer
+one, so that the same rule holds for lines of any length: t(n) = min(edits, n div per). Lines that may be linked
+within t edits are split into t + 1 segments; of two such lines one
+has a segment that the other contains unchanged, near the same place. A segment is filed under t, its line's
+length and its number; a line of n characters probes with t(n), for each length from its own down to t less, the few start
 positions at which a match can matter (multi-match-aware selection of Li, Deng, Wang and Feng, 2011). Segment
 and probe are 64-bit hashes, so the index is a table of small rows, and lines' texts never travel with it.
 
-A key that only one line has can produce no pair and is dropped where keys first meet. Copies of a frequent line
-are left out before, so that no key is hot for being copied. Lines that share a key are candidates if their
+A grouped least and greatest line for each key tells which keys more than one line has; it combines before the shuffle, so that
+no key is hot in it. Only the rows of such keys are made again. A key that more than _HOT rows share, as with lines of one template,
+is refined: what is left of two linked lines without the matched segment is within t edits as well, so that the rest is
+segmented by the same rule, up to _LEVELS times. Lines that share a key are candidates if their
 counts of eight frequent letters and the parities of all their characters differ by 2 t at most, which the join
 itself checks, and are verified by the banded bit-parallel edit distance (Hyyro, 2003): a word of
 2 t + 1 bits slides down the diagonal, one step a character.
@@ -15,7 +19,7 @@ itself checks, and are verified by the banded bit-parallel edit distance (Hyyro,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.graph import connected_components
@@ -23,6 +27,7 @@ from strandlake.llm.scratch import Scratch
 
 _FEW = 500_000
 _OFTEN = 1000
+_HOT, _LEVELS = 256, 4
 _LETTERS = "etaonirs"
 
 
@@ -31,17 +36,54 @@ def probes(t: int) -> list[tuple[int, int, int]]:
     return [(d, i, o) for d in range(t + 1) for i in range(1, t + 2) for o in range(max(1 - i, d - (t + 1 - i)), min(i - 1, d + t + 1 - i) + 1)]
 
 
-def _keyed(rows: DataFrame, t: int) -> DataFrame:
-    """rows (with line and n, its length) once for each probe, with key and own; own marks the line's own segments.
+def _table(ts: range) -> Column:
+    """The probes of thresholds as rows of a constant, so that the code for one key is small enough to be compiled."""
+    return F.array(*(F.struct(F.lit(t).alias("t"), F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for t in ts for d, i, o in probes(t)))
 
-    Probes come as rows of a constant, so that the code for one key is small enough to be compiled.
+
+#: Of a line of n characters, seen as one of m = n - z.d: where the segment or probe z begins, and its size. The last segments have one character more.
+_M = "(n - z.d)"
+_SHORT = f"({_M} div (z.t + 1))"
+_LONG = f"({_M} % (z.t + 1))"
+_SIZE = f"({_SHORT} + if(z.i > z.t + 1 - {_LONG}, 1, 0))"
+_START = f"(1 + {_SHORT} * (z.i - 1) + greatest(0, z.i - 1 - (z.t + 1) + {_LONG}) + z.o)"
+
+
+def _keyed(rows: DataFrame, edits: int, per: int) -> DataFrame:
+    """rows (node, line and n, its length) once for each segment and probe z, with key and v.
+
+    v is the node with two bits: 2 if the row is one of the line's own segments, 1 if it is a probe.
     """
-    table = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(o).alias("o")) for d, i, o in probes(t)))
-    x = rows.withColumn("z", F.explode(table)).withColumn("m", F.expr("n - z.d"))
-    x = x.withColumn("short", F.expr(f"cast(m div {t + 1} as int)")).withColumn("long", F.expr(f"m - short * {t + 1}"))  # the last segments, this many, have one character more
-    size = F.expr(f"short + if(z.i > {t + 1} - long, 1, 0)")
-    start = F.expr(f"1 + short * (z.i - 1) + greatest(0, z.i - 1 - {t + 1} + long) + z.o")
-    return x.withColumn("key", F.xxhash64("m", "z.i", F.substring(F.col("line"), start, size))).withColumn("own", F.expr("z.d = 0 and z.o = 0")).drop("z", "m", "short", "long")
+    allow = lambda n: f"least({edits}, {n} div {per})"
+    own = f"z.d = 0 and z.o = 0 and {allow('n')} <= z.t and {allow('(n + z.t)')} >= z.t"
+    some = F.expr(f"filter(every, z -> ({own}) or {allow('n')} = z.t)")
+    x = rows.withColumn("every", _table(range(1, edits + 1)))
+    x = x.withColumn("z", F.explode(F.when(F.col("n") >= edits * per, _table(range(edits, edits + 1))).otherwise(some))).drop("every")
+    x = x.withColumn("key", F.expr(f"xxhash64(z.t, {_M}, z.i, substring(line, {_START}, {_SIZE}))"))
+    return x.withColumn("v", F.expr(f"node | if({own}, 2, 0) | if({allow('n')} = z.t, 1, 0)"))
+
+
+def _rest() -> Column:
+    """The line without the matched segment."""
+    return F.expr(f"concat(substring(line, 1, {_START} - 1), substring(line, {_START} + {_SIZE}))")
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """rows (key, v, t, d, line, n) of hot keys, keyed by segments of what is left of the line; a rest too short to be cut has one key."""
+    fits = "z.t = t and z.d = d and ((v & 1) = 1 or z.o = 0)"
+    x = rows.withColumn("every", _table(range(1, 8)))
+    one = F.expr("array(named_struct('t', t, 'd', d, 'i', 0, 'o', 0))")
+    x = x.withColumn("z", F.explode(F.when(F.expr("n - d <= t"), one).otherwise(F.expr(f"filter(every, z -> {fits})")))).drop("every")
+    x = x.withColumn("key", F.when(F.expr("z.i = 0"), F.xxhash64("key", F.expr("n - d"))).otherwise(F.expr(f"xxhash64(key, z.i, substring(line, {_START}, {_SIZE}))")))
+    x = x.withColumn("v", F.expr("if(z.o = 0, v, v & ~2L)"))
+    rest = F.when(F.expr("z.i = 0"), F.lit("")).otherwise(_rest())
+    return x.withColumn("line", rest).withColumn("n", F.length("line")).select("key", "v", "t", "d", "line", "n").distinct()
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi, c) of the keys that two lines have, one as a segment."""
+    by = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.expr("v & 2")).alias("own"), F.max(F.expr("v & 1")).alias("probe"), F.count("*").alias("c"))
+    return by.where("lo >> 2 <> hi >> 2 and own > 0 and probe > 0").select("key", "lo", "hi", "c")
 
 
 def _letters(line: Column) -> Column:
@@ -103,23 +145,25 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).where("line <> ''")
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = 2, least: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", edits: int = 2, per: int = 10) -> DataFrame:
     """(doc, line_no, n_links, class_doc, class_line, kept) for every line that is not blank.
 
-    Lines are compared without the white space around them. Two different lines are linked if both have at least
-    ``least`` characters (more than ``edits``) and their edit distance is ``edits`` at most; shorter lines have exact
-    copies only. n_links counts the different lines linked with this one. A class is what links and equality
+    Lines are compared without the white space around them. Two different lines are linked if their edit distance is at most
+    ``edits`` (1 to 7) and at most one for every ``per`` (more than edits) characters of the longer one, so that lines of less than
+    ``per`` characters have exact copies only. n_links counts the different lines linked with this one. A class is what links and equality
     connect; it is named by its first occurrence (smallest document, then line), which alone is kept. Null
     texts have no lines; a null document id is smaller than all others; rows that repeat a document
     repeat its lines, and of occurrences with equal document and line number all are kept or none. Empty tables
     give no rows; other columns, of any name, are ignored.
     """
+    if not 1 <= edits <= 7 or per <= edits:
+        raise ValueError("edits must be from 1 to 7 and less than per")
     scratch = Scratch(docs.sparkSession, "lines")
     t = edits
-    occ = occurrences(docs, key, text).withColumn("node", F.xxhash64("line")).withColumn("node2", F.xxhash64(F.lit(1), "line"))
+    occ = occurrences(docs, key, text).withColumn("node", F.expr("xxhash64(line) & ~3L")).withColumn("node2", F.xxhash64(F.lit(1), "line"))
     light = scratch.table(occ.select("doc", "no", "node", "node2"), "occurrences")
     first = scratch.table(light.groupBy("node", "node2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("c")), "first")
-    long = occ.select("doc", "no", "node", "line", F.length("line").alias("n")).where(F.col("n") >= max(least, t + 1))
+    long = occ.select("doc", "no", "node", "line", F.length("line").alias("n")).where(F.col("n") >= per - 1)
 
     often = first.where(F.col("c") > _OFTEN).select("node", F.col("first.doc").alias("d0"), F.col("first.no").alias("n0"))
     n_often = often.count()
@@ -127,24 +171,43 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     if n_often:
         often = often.dropDuplicates(["node"])
         rows = long.join(F.broadcast(often) if n_often <= _FEW else often, "node", "left").where(F.col("n0").isNull() | (F.col("doc").eqNullSafe(F.col("d0")) & (F.col("no") == F.col("n0"))))
-    keyed = _keyed(rows.select("node", "line", "n"), t).select("key", "own", "node").repartition("key")
-    of_key = Window.partitionBy("key")
-    hits = keyed.withColumn("lo", F.min("node").over(of_key)).withColumn("hi", F.max("node").over(of_key)).withColumn("any", F.max("own").over(of_key))
-    hits = scratch.table(hits.where("any and lo <> hi").select("key", "own", "node").distinct(), "hits")
+    keyed = _keyed(rows.select("node", "line", "n"), t, per)
+    shared = scratch.table(_shared(keyed.select("key", "v")), "shared")
+    few = lambda x: F.broadcast(x) if x.count() <= _FEW else x
+    two = shared.where("c = 2").select("key", F.explode(F.array("lo", "hi")).alias("v"))
+    more = scratch.table(shared.where("c > 2").select("key"), "more")
+    again = keyed.join(few(more), "key")
+    again = scratch.table(again.select("key", "v", "z.t", "z.d", _rest().alias("line")).withColumn("n", F.length("line")).distinct(), "again")
+    parts = [two]
+    for level in range(_LEVELS):
+        hot = scratch.table(again.groupBy("key").count().where(F.col("count") > _HOT).select("key"), f"hot{level}")
+        n_hot = hot.count()
+        if not n_hot or level == _LEVELS - 1:
+            parts.append(again.select("key", "v"))
+            break
+        hot = F.broadcast(hot) if n_hot <= _FEW else hot
+        parts.append(again.join(hot, "key", "left_anti").select("key", "v"))
+        again = scratch.table(_refined(again.join(hot, "key", "left_semi")), f"refined{level}")
+        again = scratch.table(again.join(_shared(again).select("key"), "key", "left_semi"), f"again{level}")
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.union(p)
+    hits = scratch.table(hits.withColumn("node", F.expr("v & ~3L")).withColumn("own", F.expr("v & 2 > 0")).withColumn("probe", F.expr("v & 1 > 0")).drop("v").distinct(), "hits")
 
     ids = scratch.table(hits.select("node").distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= _FEW else ids
-    texts = rows.select("node", "line").join(ids, "node", "left_semi").dropDuplicates(["node"]).withColumn("letters", _letters(F.col("line")))
+    texts = rows.select("node", "line").join(few(ids), "node", "left_semi").dropDuplicates(["node"]).withColumn("letters", _letters(F.col("line")))
     texts = texts.select("node", F.split("line", "").alias("chars"), "letters")
     texts = scratch.table(texts, "texts")  # characters as stored columns: an expression would be computed again at every step
     marks = texts.select("node", F.size("chars").alias("n"), "letters", _parities(F.col("chars")).alias("odd"))
     hits = scratch.table(hits.join(marks, "node"), "marked")
-    x, y = hits.where("own").alias("x"), hits.alias("y")
-    near = (F.abs(F.col("x.n") - F.col("y.n")) <= t) & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * t) & (_apart("x.letters", "y.letters") <= 2 * t)
+    x, y = hits.where("own").alias("x"), hits.where("probe").alias("y")
+    most = F.expr(f"least({t}, y.n div {per})")
+    near = F.expr(f"y.n - x.n between 0 and least({t}, y.n div {per})") & (F.bit_count(F.col("x.odd").bitwiseXOR(F.col("y.odd"))) <= 2 * most) & (_apart("x.letters", "y.letters") <= 2 * most)
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("y.node")) & near)
     pairs = scratch.table(pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "pairs")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("chars").alias("p")), "a").join(texts.select(F.col("node").alias("b"), F.col("chars").alias("q")), "b")
-    links = scratch.table(both.where(edit_distance("p", "q", t) <= t).select("a", "b"), "links")
+    within = F.expr(f"least({t}, greatest(size(p), size(q)) div {per})")
+    links = scratch.table(both.where(edit_distance("p", "q", t) <= within).select("a", "b"), "links")
     comp = scratch.table(connected_components(scratch, links), "components")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
 
