@@ -126,6 +126,66 @@ def test_lm(spark, spoken, order):
         assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) - 1e-6
 
 
+def plain_scores(rows, order, rounds=8):
+    """Deleted interpolation over dictionaries: (score by position), by the definitions alone."""
+    docs = [[*WORD.findall((t or "").translate(LOWER)), None] for _, t, *_ in rows]
+    fold = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 for r in rows]
+    start = ("<s>",)
+
+    def grams(ts):
+        line = [start] * (order - 1) + ts
+        return [[tuple(line[i + order - k : i + order]) for k in range(1, order + 1)] for i in range(len(ts))]
+
+    def counted(wanted):
+        c, total = Counter(), 0
+        for ts, f in zip(docs, fold, strict=True):
+            if f in wanted:
+                total += len(ts)
+                c.update(g for gs in grams(ts) for g in gs)
+                c.update((start,) * k for k in range(1, order))
+        return c, total
+
+    def parts(gs, c, total, v):
+        """(value, usable) of the uniform part and of each order, and the bucket of the longest context."""
+        out = [(1 / (v + 1), True)]
+        for g in gs:
+            h = total if len(g) == 1 else c[g[:-1]]
+            out.append((c[g] / h if h else 0.0, h > 0))
+        return out, min(47, int(h).bit_length())
+
+    c, total = counted({0, 1, 4, 5, 6})
+    v = len({g for g in c if len(g) == 1 and g != (start,)})
+    w = np.full((48, order + 1), 1 / (order + 1))
+    events = [parts(gs, c, total, v) for ts, f in zip(docs, fold, strict=True) if f == 3 for gs in grams(ts)]
+    for _ in range(rounds):
+        sums = np.zeros_like(w)
+        for ps, b in events:
+            e = w[b] * [p for p, _ in ps]
+            sums[b] += e / e.sum()
+        for b in np.flatnonzero(sums.sum(1)):
+            w[b] = np.maximum(sums[b] / sums[b].sum(), 1e-12)
+        w /= w.sum(1, keepdims=True)
+    c, total = counted({0, 1, 3, 4, 5, 6})
+    v = len({g for g in c if len(g) == 1 and g != (start,)})
+    out = []
+    for ts in docs:
+        score = 0.0
+        for gs in grams(ts):
+            ps, b = parts(gs, c, total, v)
+            u = w[b] * [ok for _, ok in ps]
+            score += math.log10(sum(u / u.sum() * [p for p, _ in ps]))
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_score_against_a_plain_em(spark, spoken, order):
+    rows = [r for r in spoken if r[0] is not None]
+    got = {r["id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), order=order).collect()}
+    for r, want in zip(rows, plain_scores(rows, order), strict=True):
+        assert got[r[0]] == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
 def test_lm_is_a_distribution(spark):
     """The probabilities of all words, the end and one unknown word add up to one; of bigrams, those after a repeated word are read off score differences."""
     words = "a b c d".split()
