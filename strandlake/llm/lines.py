@@ -26,7 +26,6 @@ from strandlake.llm.graph import connected_components
 from strandlake.llm.scratch import Scratch
 
 _FEW = 500_000
-_OFTEN = 1000
 _HOT, _LEVELS = 256, 4
 _LETTERS = "etaonirs"
 
@@ -43,14 +42,17 @@ def _table(ts: range) -> Column:
 
 #: Of a line of n characters, seen as one of m = n - z.d: where the segment or probe z begins, and its size. The last segments have one character more.
 _M = "(n - z.d)"
-_SHORT = f"({_M} div (z.t + 1))"
+_SHORT = f"cast({_M} div (z.t + 1) as int)"
 _LONG = f"({_M} % (z.t + 1))"
 _SIZE = f"({_SHORT} + if(z.i > z.t + 1 - {_LONG}, 1, 0))"
-_START = f"(1 + {_SHORT} * (z.i - 1) + greatest(0, z.i - 1 - (z.t + 1) + {_LONG}) + z.o)"
+_START = f"({_SHORT} * (z.i - 1) + greatest(0, z.i - 1 - (z.t + 1) + {_LONG}) + z.o)"
+#: Lines are cut as four bytes a character: a substring of a text is searched from its start, one of bytes is not.
+_CODE = "UTF-32"
+_CUT = f"substring(raw, 1 + 4 * {_START}, 4 * {_SIZE})"
 
 
 def _keyed(rows: DataFrame, edits: int, per: int) -> DataFrame:
-    """rows (node, line and n, its length) once for each segment and probe z, with key and v.
+    """rows (node, raw and n, its characters) once for each segment and probe z, with key and v.
 
     v is the node with two bits: 2 if the row is one of the line's own segments, 1 if it is a probe.
     """
@@ -59,31 +61,31 @@ def _keyed(rows: DataFrame, edits: int, per: int) -> DataFrame:
     some = F.expr(f"filter(every, z -> ({own}) or {allow('n')} = z.t)")
     x = rows.withColumn("every", _table(range(1, edits + 1)))
     x = x.withColumn("z", F.explode(F.when(F.col("n") >= edits * per, _table(range(edits, edits + 1))).otherwise(some))).drop("every")
-    x = x.withColumn("key", F.expr(f"xxhash64(z.t, {_M}, z.i, substring(line, {_START}, {_SIZE}))"))
+    x = x.withColumn("key", F.expr(f"xxhash64(({_M} * 8 + z.i) * 8 + z.t, {_CUT})"))
     return x.withColumn("v", F.expr(f"node | if({own}, 2, 0) | if({allow('n')} = z.t, 1, 0)"))
 
 
 def _rest() -> Column:
     """The line without the matched segment."""
-    return F.expr(f"concat(substring(line, 1, {_START} - 1), substring(line, {_START} + {_SIZE}))")
+    return F.expr(f"concat(substring(raw, 1, 4 * {_START}), substring(raw, 1 + 4 * ({_START} + {_SIZE})))")
 
 
 def _refined(rows: DataFrame) -> DataFrame:
-    """rows (key, v, t, d, line, n) of hot keys, keyed by segments of what is left of the line; a rest too short to be cut has one key."""
+    """rows (key, v, t, d, raw) of hot keys, keyed by segments of what is left of the line; a rest too short to be cut has one key."""
     fits = "z.t = t and z.d = d and ((v & 1) = 1 or z.o = 0)"
-    x = rows.withColumn("every", _table(range(1, 8)))
+    x = rows.withColumn("n", F.expr("cast(octet_length(raw) / 4 as int)")).withColumn("every", _table(range(1, 8)))
     one = F.expr("array(named_struct('t', t, 'd', d, 'i', 0, 'o', 0))")
     x = x.withColumn("z", F.explode(F.when(F.expr("n - d <= t"), one).otherwise(F.expr(f"filter(every, z -> {fits})")))).drop("every")
-    x = x.withColumn("key", F.when(F.expr("z.i = 0"), F.xxhash64("key", F.expr("n - d"))).otherwise(F.expr(f"xxhash64(key, z.i, substring(line, {_START}, {_SIZE}))")))
+    x = x.withColumn("key", F.when(F.expr("z.i = 0"), F.xxhash64("key", F.expr("n - d"))).otherwise(F.expr(f"xxhash64(key, z.i, {_CUT})")))
     x = x.withColumn("v", F.expr("if(z.o = 0, v, v & ~2L)"))
-    rest = F.when(F.expr("z.i = 0"), F.lit("")).otherwise(_rest())
-    return x.withColumn("line", rest).withColumn("n", F.length("line")).select("key", "v", "t", "d", "line", "n").distinct()
+    rest = F.when(F.expr("z.i = 0"), F.unhex(F.lit(""))).otherwise(_rest())
+    return x.withColumn("raw", rest).select("key", "v", "t", "d", "raw").distinct()
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """(key, lo, hi, c) of the keys that two lines have, one as a segment."""
-    by = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.expr("v & 2")).alias("own"), F.max(F.expr("v & 1")).alias("probe"), F.count("*").alias("c"))
-    return by.where("lo >> 2 <> hi >> 2 and own > 0 and probe > 0").select("key", "lo", "hi", "c")
+    by = rows.groupBy("key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.expr("v & 2")).alias("own"), F.count("*").alias("c"))
+    return by.where("lo >> 2 <> hi >> 2 and own > 0").select("key", "lo", "hi", "c")
 
 
 def _letters(line: Column) -> Column:
@@ -163,21 +165,15 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     occ = occurrences(docs, key, text).withColumn("node", F.expr("xxhash64(line) & ~3L")).withColumn("node2", F.xxhash64(F.lit(1), "line"))
     light = scratch.table(occ.select("doc", "no", "node", "node2"), "occurrences")
     first = scratch.table(light.groupBy("node", "node2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("c")), "first")
-    long = occ.select("doc", "no", "node", "line", F.length("line").alias("n")).where(F.col("n") >= per - 1)
-
-    often = first.where(F.col("c") > _OFTEN).select("node", F.col("first.doc").alias("d0"), F.col("first.no").alias("n0"))
-    n_often = often.count()
-    rows = long
-    if n_often:
-        often = often.dropDuplicates(["node"])
-        rows = long.join(F.broadcast(often) if n_often <= _FEW else often, "node", "left").where(F.col("n0").isNull() | (F.col("doc").eqNullSafe(F.col("d0")) & (F.col("no") == F.col("n0"))))
-    keyed = _keyed(rows.select("node", "line", "n"), t, per)
-    shared = scratch.table(_shared(keyed.select("key", "v")), "shared")
     few = lambda x: F.broadcast(x) if x.count() <= _FEW else x
+    long = occ.select("node", "line").where(F.length("line") >= per - 1).groupBy("node").agg(F.min("line").alias("line"))  # each line once
+    rows = scratch.table(long.withColumn("n", F.length("line")), "lines")
+    keyed = _keyed(rows.select("node", "n", F.encode("line", _CODE).alias("raw")), t, per)
+    shared = scratch.table(_shared(keyed.select("key", "v")), "shared")
     two = shared.where("c = 2").select("key", F.explode(F.array("lo", "hi")).alias("v"))
     more = scratch.table(shared.where("c > 2").select("key"), "more")
     again = keyed.join(few(more), "key")
-    again = scratch.table(again.select("key", "v", "z.t", "z.d", _rest().alias("line")).withColumn("n", F.length("line")).distinct(), "again")
+    again = scratch.table(again.select("key", "v", "z.t", "z.d", _rest().alias("raw")).distinct(), "again")
     parts = [two]
     for level in range(_LEVELS):
         hot = scratch.table(again.groupBy("key").count().where(F.col("count") > _HOT).select("key"), f"hot{level}")
@@ -195,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     hits = scratch.table(hits.withColumn("node", F.expr("v & ~3L")).withColumn("own", F.expr("v & 2 > 0")).withColumn("probe", F.expr("v & 1 > 0")).drop("v").distinct(), "hits")
 
     ids = scratch.table(hits.select("node").distinct(), "ids")
-    texts = rows.select("node", "line").join(few(ids), "node", "left_semi").dropDuplicates(["node"]).withColumn("letters", _letters(F.col("line")))
+    texts = rows.select("node", "line").join(few(ids), "node", "left_semi").withColumn("letters", _letters(F.col("line")))
     texts = texts.select("node", F.split("line", "").alias("chars"), "letters")
     texts = scratch.table(texts, "texts")  # characters as stored columns: an expression would be computed again at every step
     marks = texts.select("node", F.size("chars").alias("n"), "letters", _parities(F.col("chars")).alias("odd"))
