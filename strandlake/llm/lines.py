@@ -166,8 +166,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     light = scratch.table(occ.select("doc", "no", "node", "node2"), "occurrences")
     first = scratch.table(light.groupBy("node", "node2").agg(F.min(F.struct("doc", "no")).alias("first"), F.count("*").alias("c")), "first")
     few = lambda x: F.broadcast(x) if x.count() <= _FEW else x
-    long = occ.select("node", "line").where(F.length("line") >= per - 1).groupBy("node").agg(F.min("line").alias("line"))  # each line once
-    rows = scratch.table(long.withColumn("n", F.length("line")), "lines")
+    long = occ.select("doc", "no", "node", "line", F.length("line").alias("n")).where(F.col("n") >= per - 1)
+    again = first.where("c > 1").groupBy("node").agg(F.min(F.struct("first.doc", "first.no")).alias("f")).select("node", F.col("f.doc").alias("d0"), F.col("f.no").alias("n0"))
+    rows = long.join(few(again), "node", "left").where(F.col("n0").isNull() | (F.col("doc").eqNullSafe(F.col("d0")) & (F.col("no") == F.col("n0"))))
+    rows = scratch.table(rows.select("node", "n", "line"), "lines")  # each line once, but for rows that repeat a document
     keyed = _keyed(rows.select("node", "n", F.encode("line", _CODE).alias("raw")), t, per)
     shared = scratch.table(_shared(keyed.select("key", "v")), "shared")
     two = shared.where("c = 2").select("key", F.explode(F.array("lo", "hi")).alias("v"))
