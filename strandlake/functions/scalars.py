@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: how a strain is named in a DEFINITION line.
 STRAIN = r"(?:substr\.?\s?|strain\s?)(\S+)"
 
 
@@ -69,6 +70,16 @@ def map_update(left: Column, right: Column) -> Column:
     return F.map_concat(kept, right)
 
 
+def chosen(a: Column, b: Column, keep) -> Column:
+    """The distinct values of two arrays that ``keep`` holds for, in the order of the first, then the second."""
+    return F.filter(F.array_union(a, b), keep)
+
+
+def common(a: Column, b: Column) -> Column:
+    """The distinct values that both arrays have."""
+    return F.array_intersect(a, b)
+
+
 def get_or(m: Column, key: str, default: str) -> Column:
     return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
@@ -53,14 +55,14 @@ def identical(rows: DataFrame, signature: list[str], order: str, label: str) ->
     return x.select(*signature, "first", "n", F.when(F.col("n") > 1, F.concat(F.col("__l").cast("string"), F.lit("+"), (F.col("n") - 1).cast("string"))).otherwise(F.col("__l").cast("string")).alias("label"))
 
 
-def minhash_clusters(rows: DataFrame, name: str, seq: str, k: int = 10, hashes: int = 8) -> DataFrame:
+def minhash_clusters(rows: DataFrame, name: str, seq: str, k: int = 10, hashes: int = 8, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(id, centroid): linear-time clustering in the manner of k-mer grouping; approximate.
 
     k-mer hashes are dealt into ``hashes`` buckets and each sequence is filed under the smallest of each; in each file the
     longest sequence (ties by name) is the centre, and a sequence joins the centre that most of its files name. One pass,
-    no pair is ever made.
+    no pair is ever made. ``hashed`` gives a k-mer's hash, a long.
     """
-    x = kmer_rows(rows.select(F.col(name).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("len")), "s", k, "id", "len").withColumn("h", F.xxhash64("km"))
+    x = kmer_rows(rows.select(F.col(name).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("len")), "s", k, "id", "len").withColumn("h", hashed(F.col("km")))
     x = x.groupBy("id", F.pmod("h", F.lit(hashes)).alias("b")).agg(F.min("h").alias("h"), F.first("len").alias("len"))
     centre = x.groupBy("h").agg(F.min(F.struct((-F.col("len")).alias("l"), "id")).alias("c"))
     votes = x.join(centre, "h").groupBy("id", F.col("c.id").alias("centroid")).agg(F.count("*").alias("v"))

@@ -6,6 +6,8 @@ are genomes or samples, hundreds at most. Many groups are clustered side by side
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,14 +62,26 @@ def linkage(d: np.ndarray, method: str = "complete") -> np.ndarray:
     return np.array(out).reshape(-1, 4)
 
 
-def tree(merges: np.ndarray, n: int) -> pd.DataFrame:
+def tree(merges: np.ndarray, n: int, distance_sort: bool | str = False, count_sort: bool | str = False) -> pd.DataFrame:
     """One row a node: node_id, left_id, right_id, parent_id, x, y, is_leaf, pre_pos, in_pos, post_pos, leaf_pos.
 
-    Leaves stand at 0, 1, ... from left to right at height 0; a parent stands midway between its children.
+    Leaves stand at 0, 1, ... from left to right at height 0; a parent stands midway between its children. ``count_sort``
+    puts the child with fewer leaves to the left (``descending``: to the right), ``distance_sort`` the child whose own children are nearer;
+    only one of them may be asked for.
     """
+    if distance_sort and count_sort:
+        raise ValueError("distance_sort and count_sort exclude each other")
     left = {n + i: int(m[0]) for i, m in enumerate(merges)}
     right = {n + i: int(m[1]) for i, m in enumerate(merges)}
     y = {n + i: float(m[2]) for i, m in enumerate(merges)}
+    if distance_sort or count_sort:
+        leaves = {n + i: float(m[3]) for i, m in enumerate(merges)}
+        weight = (lambda v: leaves.get(v, 1.0)) if count_sort else (lambda v: y.get(v, 0.0))
+        down = "descending" in (distance_sort, count_sort)
+        for v in left:
+            a, b = weight(left[v]), weight(right[v])
+            if (a < b) if down else (a > b):
+                left[v], right[v] = right[v], left[v]
     parent = {c: p for side in (left, right) for p, c in side.items()}
     root = n + len(merges) - 1 if len(merges) else 0
     pre, ino, post, leaf, x = {}, {}, {}, {}, {}
@@ -93,13 +107,16 @@ def tree(merges: np.ndarray, n: int) -> pd.DataFrame:
 NODES = "node_id bigint, left_id bigint, right_id bigint, parent_id bigint, x double, y double, is_leaf boolean, pre_pos bigint, in_pos bigint, post_pos bigint, leaf_pos bigint, label string"
 
 
-def dendrograms(pairs: DataFrame, members: DataFrame, group: str, method: str = "complete", default: float = 1.0) -> DataFrame:
+def dendrograms(pairs: DataFrame, members: DataFrame, group: str, method: str = "complete", default: float = 1.0, most: int = 5000) -> DataFrame:
     """(group, node columns, label) for every group of members (group, label) with pairs (group, a, b, distance).
 
-    Pairs that are not listed are ``default`` apart. Members are numbered by label.
+    Pairs that are not listed are ``default`` apart. Members are numbered by label. A group of more than ``most`` members is an
+    error, as its matrix would not fit a task.
     """
 
     def run(key: tuple, m: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if len(m) > most:
+            raise ValueError(f"group {key[0]} has {len(m)} members, more than {most}")
         labels = sorted(m["label"])
         at = {v: i for i, v in enumerate(labels)}
         d = np.full((len(labels), len(labels)), default)
@@ -117,6 +134,63 @@ def dendrograms(pairs: DataFrame, members: DataFrame, group: str, method: str =
     return out.applyInPandas(run, f"grp string, {NODES}").withColumnRenamed("grp", group)
 
 
+def distances(z: np.ndarray, metric: str = "euclidean") -> np.ndarray:
+    """Square distances between the rows of z; ``precomputed`` takes z as they are. Jaccard compares whether values are zero."""
+    if metric == "precomputed":
+        return np.array(z, float)
+    z = np.array(z, float)
+    if metric == "jaccard":
+        b = z != 0
+        both = b.astype(float) @ b.T.astype(float)
+        either = b.sum(1)[:, None] + b.sum(1)[None] - both
+        return np.where(either > 0, 1 - both / np.maximum(either, 1), 0.0)
+    if metric in ("euclidean", "sqeuclidean"):
+        out = np.maximum(((z[:, None] - z[None]) ** 2).sum(-1), 0)
+        return np.sqrt(out) if metric == "euclidean" else out
+    if metric == "cityblock":
+        return np.abs(z[:, None] - z[None]).sum(-1)
+    if metric == "cosine":
+        norm = np.linalg.norm(z, axis=1)
+        return 1 - (z @ z.T) / np.where(np.outer(norm, norm) > 0, np.outer(norm, norm), 1)
+    raise ValueError(f"unknown metric {metric}")
+
+
+@dataclass
+class Linked:
+    """labels and order of the leaves from left to right, the matrix in that order, the tree, the height of its root, the merges."""
+
+    labels: list
+    order: list[int]
+    mat: np.ndarray
+    tree: pd.DataFrame
+    root_distance: float
+    linkage: np.ndarray
+
+
+def hierarchical_cluster(z: np.ndarray, labels: list | None = None, method: str = "ward", metric: str = "euclidean", distance_sort: bool | str = False, count_sort: bool | str = False, sort_order: list[float] | None = None) -> Linked:
+    """The tree of one matrix on the driver, for figures; ``sort_order`` (a position for each row) turns children so that the smaller mean is left.
+
+    Positions and heights of the tree are scaled to 0 to 1. With ``sort_order`` the returned order stays that of the clustering.
+    """
+    z = np.asarray(z, float)
+    names = list(range(len(z))) if labels is None else list(labels)
+    merges = linkage(distances(z, metric), method)
+    t = tree(merges, len(z), distance_sort, count_sort)
+    order = [int(v) for v in t[t.is_leaf].sort_values("leaf_pos").node_id]
+    mat = z[order][:, order] if metric == "precomputed" else z[order]
+    at = {v: float(x) for v, x in zip(t.node_id, t.x, strict=True) if v < len(z)} if sort_order is None else dict(enumerate(map(float, sort_order)))
+    return Linked([names[i] for i in order], order, mat, sorted_by(t, at), float(merges[-1][2]) if len(merges) else 0.0, merges)
+
+
+def deduplicate(z: np.ndarray, labels: list) -> tuple[np.ndarray, list[str], list[list]]:
+    """Rows that differ, in order of their first; a label for each (first label, and how many more) and all labels of its rows."""
+    groups: dict[bytes, list[int]] = {}
+    for i, row in enumerate(np.ascontiguousarray(z)):
+        groups.setdefault(row.tobytes(), []).append(i)
+    first = [g[0] for g in groups.values()]
+    return np.asarray(z)[first], [f"{labels[g[0]]}+{len(g) - 1}" if len(g) > 1 else str(labels[g[0]]) for g in groups.values()], [[labels[i] for i in g] for g in groups.values()]
+
+
 def sorted_by(nodes: pd.DataFrame, position: dict[int, float]) -> pd.DataFrame:
     """A tree whose nodes stand at the mean position of their leaves, the smaller child to the left; x is scaled to 0 to 1, y too."""
     t = nodes.set_index("node_id")

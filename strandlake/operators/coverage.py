@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def depth_runs(intervals: DataFrame, contig: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
-    """(contig, start, end, depth): maximal runs of equal, non-zero depth of half-open intervals.
+    """(contig, start, end, depth), where contig may be a struct of keys: maximal runs of equal, non-zero depth of half-open intervals.
 
     Every interval is two events; events of a place are added before any window sees them, and places
     where nothing changes are dropped, so that runs that touch at equal depth stay one.
@@ -38,17 +38,17 @@ def uncovered(contigs: DataFrame, runs: DataFrame) -> DataFrame:
 FLAGS = {"paired": 1, "proper_pair": 2, "unmapped": 4, "mate_unmapped": 8, "secondary": 256, "qc_fail": 512, "duplicate": 1024, "supplementary": 2048}
 
 
-def flag_counts(alignments: DataFrame, flag: str = "flag") -> DataFrame:
-    """(category, passed, failed): counts of alignments by quality status."""
+def flag_counts(alignments: DataFrame, flag: str = "flag", *key: str) -> DataFrame:
+    """(key..., category, passed, failed): counts of alignments by quality status."""
     f = F.col(flag)
     has = lambda name: f.bitwiseAND(F.lit(FLAGS[name])) != 0
     categories = {"total": F.lit(True), "secondary": has("secondary"), "supplementary": has("supplementary"), "duplicates": has("duplicate"), "mapped": ~has("unmapped"), "paired": has("paired"), "properly paired": has("paired") & has("proper_pair") & ~has("unmapped")}
     fail = has("qc_fail")
-    row = alignments.agg(F.map_from_arrays(F.array(*(F.lit(c) for c in categories)), F.array(*(F.struct(F.count_if(p & ~fail).alias("passed"), F.count_if(p & fail).alias("failed")) for p in categories.values()))).alias("m"))
-    return row.select(F.explode("m").alias("category", "n")).select("category", "n.passed", "n.failed")
+    row = alignments.groupBy(*key).agg(F.map_from_arrays(F.array(*(F.lit(c) for c in categories)), F.array(*(F.struct(F.count_if(p & ~fail).alias("passed"), F.count_if(p & fail).alias("failed")) for p in categories.values()))).alias("m"))
+    return row.select(*key, F.explode("m").alias("category", "n")).select(*key, "category", "n.passed", "n.failed")
 
 
-def fraction_mapped(counts: DataFrame) -> DataFrame:
-    """One row: mapped over total; null without alignments."""
+def fraction_mapped(counts: DataFrame, *key: str) -> DataFrame:
+    """(key..., mapped, total, fraction_mapped): mapped over total; null without alignments."""
     get = lambda c: F.max(F.when(F.col("category") == c, F.col("passed")))
-    return counts.agg(get("mapped").alias("mapped"), get("total").alias("total")).withColumn("fraction_mapped", F.expr("try_divide(mapped, total)"))
+    return counts.groupBy(*key).agg(get("mapped").alias("mapped"), get("total").alias("total")).withColumn("fraction_mapped", F.expr("try_divide(mapped, total)"))

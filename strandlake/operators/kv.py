@@ -34,3 +34,11 @@ class Store:
         """(id, json) for the ids asked for; the default where there is none or the stored value is null."""
         found = self.items().where("json <> 'null'")
         return ids.select("id").join(found, "id", "left").select("id", F.coalesce("json", F.lit(default)).alias("json"))
+
+    def contains(self, ids: DataFrame) -> DataFrame:
+        """(id, known): whether there is a value for each id; a stored null counts as none."""
+        found = self.items().where("json <> 'null'").select("id", F.lit(True).alias("known"))
+        return ids.select("id").join(found, "id", "left").select("id", F.coalesce("known", F.lit(False)).alias("known"))
+
+    def keys(self) -> DataFrame:
+        return self.items().select("id")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import geometry
+from strandlake.operators.ordering import ranked
+
 
 def presence_class(n_genomes: Column, persistent: int, shell: int) -> Column:
     return F.when(n_genomes >= persistent, "persistent").when(n_genomes >= shell, "shell").otherwise("cloud")
@@ -19,14 +24,11 @@ def presence(matrix: DataFrame, persistent: int, shell: int) -> DataFrame:
 def row_order(families: DataFrame, cls: str = "class", group: str = "group_first", idx: str = "idx") -> DataFrame:
     """Adds ord from 0: persistent, then shell, then cloud; inside a class equal rows stay together in the order of their first.
 
-    Other classes are left out. Class sizes, not rows, are numbered overall.
+    Other classes are left out. Families are numbered by ranges of the order, none of which holds a whole class.
     """
     rank = F.when(F.col(cls) == "persistent", 0).when(F.col(cls) == "shell", 1).when(F.col(cls) == "cloud", 2)
     x = families.withColumn("__r", rank).where("__r is not null")
-    sizes = x.groupBy("__r").agg(F.count("*").alias("__n"))
-    sizes = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
-    x = x.join(F.broadcast(sizes), "__r")  # three rows
-    return x.withColumn("ord", F.col("__before") + F.row_number().over(Window.partitionBy("__r").orderBy(group, idx)) - 1).drop("__r", "__n", "__before")
+    return ranked(x, [F.col("__r"), F.col(group), F.col(idx)], "ord").drop("__r")
 
 
 def clip(n: Column, lo: int = 0, hi: int = 2) -> Column:
@@ -72,10 +74,24 @@ def color_order(runs: DataFrame, label: str) -> DataFrame:
     return x.withColumn("draw_order", F.row_number().over(Window.orderBy("segments", label)).cast("bigint"))
 
 
-def bar_positions(runs: DataFrame, n: int, width: float = 1.0, half_bin: bool = True) -> DataFrame:
-    """Adds start and end on a bar of a width; half_bin shifts every bound by half a place."""
-    shift = 0.5 / n if half_bin else 0.0
-    return runs.withColumn("start", (F.col("l") / n + shift) * width).withColumn("end", (F.col("r") / n + shift) * width)
+def bar_positions(runs: DataFrame, n: Column | int, width: float = 1.0, half_bin: bool = True) -> DataFrame:
+    """Adds start and end on a bar of a width to runs (l, r) of n places; half_bin shifts every bound by half a place."""
+    n = n if isinstance(n, Column) else F.lit(n)
+    at = lambda c: (F.col(c) / n + (0.5 / n if half_bin else F.lit(0.0))) * width
+    return runs.withColumn("start", at("l")).withColumn("end", at("r"))
+
+
+def categorical_bar(rows: DataFrame, label: str, order: list[str], *key: str, circular: bool = True, position: float = 0.5, thickness: float = 0.03) -> DataFrame:
+    """(key..., label, l, r, start, end, draw_order, path): the runs of a label as outlines of arcs on a ring, or of lines, rarer labels first."""
+    runs = label_runs(rows, label, order, *key)
+    n = rows.groupBy(*key).agg(F.count("*").alias("__n"))
+    runs = runs.join(n, list(key)) if key else runs.crossJoin(F.broadcast(n))
+    runs = bar_positions(runs, F.col("__n")).drop("__n").join(F.broadcast(color_order(runs, label).select(label, "draw_order")), label)  # one row a label
+    if circular:
+        path = geometry.arc_points(F.col("start") * 2 * math.pi, F.col("end") * 2 * math.pi, position, thickness)
+    else:
+        path = geometry.line_quad(F.col("start") - 0.5, F.lit(position), F.col("end") - 0.5, F.lit(position), thickness)
+    return runs.withColumn("path", geometry.svg_path(path))
 
 
 def normalised(rows: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.functions import sequence as S
+from strandlake.operators.ordering import ranked, running
 from strandlake.operators.sizes import broadcast_if_small
 
 
@@ -22,10 +23,11 @@ def n50(rows: DataFrame, length: str, *key: str) -> DataFrame:
 
 
 def stats(rows: DataFrame, seq: str, *key: str) -> DataFrame:
-    """(key..., num_seqs, sum_len, min_len, avg_len, max_len, n50, gc) of sequences; gc in percent, null without bases."""
+    """(key..., num_seqs, sum_len, min_len, avg_len, max_len, q1, q2, q3, n50, gc) of sequences: quartiles of lengths; gc in percent, null without bases."""
     x = rows.select(*key, F.length(seq).cast("bigint").alias("len"), S.gc_count(F.col(seq)).alias("gc"))
     out = x.groupBy(*key).agg(
         F.count("*").alias("num_seqs"), F.sum("len").alias("sum_len"), F.min("len").alias("min_len"), F.avg("len").alias("avg_len"), F.max("len").alias("max_len"),
+        *(F.percentile("len", p).alias(n) for n, p in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))),
         F.expr("try_divide(sum(gc) * 100.0d, sum(len))").alias("gc"),
     )
     half = n50(x, "len", *key)
@@ -38,26 +40,33 @@ def qc_split(reads: DataFrame, length: Column, quality: Column, unknown: Column,
     return reads.withColumn("is_clean", F.coalesce(ok, F.lit(False)))
 
 
-def best_bases(reads: DataFrame, length: str, score: str, tie: str, share: float | None = None, target: Column | int | None = None) -> DataFrame:
+def best_bases(reads: DataFrame, length: str, score: str, tie: str, share: float | None = None, target: Column | int | None = None, key: str | None = None) -> DataFrame:
     """The best reads by score (ties by ``tie``) until a share of all bases, or a number of bases, is reached; the read that reaches it stays.
 
-    Scores are put in 4,096 bins first: the running sum goes over one row for each bin, and reads are ordered only inside the one
-    bin in which the budget ends. A null score comes last.
+    With a key each of its groups has its own budget; target may then be a column. Scores are put in 4,096 bins first: the running
+    sum goes over one row for each bin, and reads are ordered only inside the bins in which a budget ends, by
+    ranges, so that no task holds all reads of a bin. A null score comes last.
     """
-    ends = reads.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    k = [F.col(key)] if key else []
+    ends = reads.groupBy(*[c.alias("__k") for c in k]).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    same = F.col("__k").eqNullSafe(F.col(key)) if key else F.lit(True)
     bin_ = F.least(F.lit(4095), F.floor(F.coalesce(F.expr(f"try_divide(`{score}` - __lo, __hi - __lo)"), F.lit(0.0)) * 4096)).cast("int")
-    x = reads.crossJoin(F.broadcast(ends)).withColumn("__s", F.when(F.col(score).isNull(), -1).otherwise(bin_))  # one row of ends
-    per = x.groupBy("__s").agg(F.sum(length).alias("__b"))
-    down = Window.orderBy(F.desc("__s"))
-    per = per.withColumn("__before", F.sum("__b").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b"))
-    total = F.sum("__b").over(Window.partitionBy())
-    goal = total * F.lit(share) if share is not None else (target if isinstance(target, Column) else F.lit(target))
-    per = per.withColumn("__goal", goal).where("__before < __goal").select("__s", "__b", "__before", "__goal")
-    x = x.join(F.broadcast(per), "__s")
+    x = reads.join(ends, same, "left") if key else reads.crossJoin(F.broadcast(ends)).withColumn("__k", F.lit(0))  # one row of ends
+    x = x.withColumn("__s", F.when(F.col(score).isNull(), -1).otherwise(bin_)).drop("__lo", "__hi")
+    if target is not None:
+        x = x.withColumn("__t", (target if isinstance(target, Column) else F.lit(target)).cast("double"))
+    per = x.groupBy("__k", "__s").agg(F.sum(length).alias("__b"), *([F.max("__t").alias("__t")] if target is not None else []))
+    group = Window.partitionBy("__k")
+    per = per.withColumn("__before", F.sum("__b").over(group.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__b"))
+    per = per.withColumn("__goal", F.sum("__b").over(group) * F.lit(share) if share is not None else F.max("__t").over(group))
+    per = per.where("__before < __goal").select(F.col("__k").alias("__k2"), F.col("__s").alias("__s2"), "__b", "__before", "__goal")
+    per = broadcast_if_small(per)
+    x = x.join(per, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__s") == F.col("__s2")))
     whole = F.col("__before") + F.col("__b") < F.col("__goal")
-    upto = Window.partitionBy("__s").orderBy(F.desc(score), tie).rowsBetween(Window.unboundedPreceding, 0)
-    edge = x.where(~whole).withColumn("__cum", F.col("__before") + F.sum(length).over(upto) - F.col(length)).where("__cum < __goal").drop("__cum")
-    return x.where(whole).unionByName(edge).drop("__s", "__b", "__before", "__goal", "__lo", "__hi")
+    edge = running(x.where(~whole), [F.col("__k"), F.desc(score), F.col(tie)], F.col(length).cast("double"), "__cum")
+    start = edge.groupBy(F.col("__k").alias("__k3")).agg(F.min("__cum").alias("__first"))  # the edge bin of a group is one run of the order
+    edge = edge.join(start, F.col("__k").eqNullSafe(F.col("__k3"))).where("__before + __cum - __first < __goal")
+    return x.where(whole).select(*reads.columns).unionByName(edge.select(*reads.columns))
 
 
 def discarded(reads: DataFrame, kept: DataFrame, name: str) -> DataFrame:
@@ -77,8 +86,10 @@ def deinterleave(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def batches(rows: DataFrame, order: str, size: int, group: str | None = None) -> DataFrame:
-    """Adds batch: runs of ``size`` rows in the order given, within a group or, for short lists such as samples, overall."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy(order)
+    """Adds batch: runs of ``size`` rows in the order given, within a group or overall."""
+    if group is None:
+        return ranked(rows, [F.col(order)], "__n").withColumn("batch", F.floor(F.col("__n") / size).cast("bigint")).drop("__n")
+    w = Window.partitionBy(group).orderBy(order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
 
 
@@ -87,10 +98,31 @@ def gather(rows: DataFrame, item: str, order: str, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, item))), lambda z: z[item]).alias("items"))
 
 
-def trim_adapters(reads: DataFrame, adapters: DataFrame, key: str, seq: str, k: int = 23) -> DataFrame:
-    """Adds trimmed: the sequence up to its first k-mer that an adapter has; no mismatch is allowed."""
-    known = broadcast_if_small(adapters.select(F.explode(S.kmers(F.col("seq"), k)).alias("km")).distinct())
-    at = reads.select(F.col(key).alias("__k"), F.posexplode(S.kmers(F.col(seq), k)).alias("p", "km")).join(known, "km", "left_semi")
-    at = at.groupBy("__k").agg(F.min("p").alias("__p"))
-    out = reads.join(at, F.col(key) == F.col("__k"), "left")
-    return out.withColumn("trimmed", F.substring(F.col(seq), F.lit(1), F.coalesce("__p", F.length(seq)))).drop("__k", "__p")
+def _neighbours(km: Column, k: int) -> Column:
+    """The k-mer and all that differ from it in one base."""
+    other = lambda i: F.transform(F.array(*(F.lit(c) for c in "ACGT")), lambda c: F.concat(F.substring(km, F.lit(1), i), c, F.substring(km, i + 2, F.lit(k))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), other)))
+
+
+def trim_adapters(reads: DataFrame, adapters: DataFrame, key: str, seq: str, k: int = 23, shortest: int = 11, mismatches: int = 1) -> DataFrame:
+    """Adds trimmed: the sequence up to where an adapter (seq) begins in it.
+
+    That is the first k-mer that an adapter has, or the longest end of the read, of ``shortest`` to k - 1 bases, with which an adapter
+    begins; one base may differ (``mismatches`` 1) or none (0). Keys that are null or repeat are trimmed by their own sequence.
+    """
+    if mismatches not in (0, 1):
+        raise ValueError("0 or 1 mismatches")
+    near = (lambda c, n: _neighbours(c, n)) if mismatches else (lambda c, n: F.array(c))
+    ad = adapters.select(F.upper("seq").alias("a"))
+    known = ad.select(F.explode(S.kmers(F.col("a"), k)).alias("km")).select(F.explode(near(F.col("km"), k)).alias("km"))
+    for n in range(shortest, k):
+        known = known.union(ad.where(F.length("a") >= n).select(F.explode(near(F.substring("a", 1, n), n)).alias("km")))
+    known = broadcast_if_small(known.distinct())  # some seventy times the adapters' bases
+    own = reads.select(F.upper(seq).alias("__s")).where(F.col("__s").isNotNull()).distinct()
+    n = F.length("__s")
+    ends = F.transform(F.filter(F.sequence(F.lit(shortest), F.lit(k - 1)), lambda m: m <= n), lambda m: F.struct((n - m).alias("p"), F.expr("__s").substr(n - m + 1, m).alias("km")))
+    whole = F.transform(S.kmers(F.col("__s"), k), lambda x, i: F.struct(i.alias("p"), x.alias("km")))
+    at = own.select("__s", F.explode(F.concat(whole, ends)).alias("z")).select("__s", "z.p", "z.km").join(known, "km", "left_semi")
+    at = at.groupBy("__s").agg(F.min("p").alias("__at"))
+    out = reads.join(at, F.upper(seq) == F.col("__s"), "left")
+    return out.withColumn("trimmed", F.substring(F.col(seq), F.lit(1), F.coalesce("__at", F.length(seq)))).drop("__s", "__at")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake import workspace
 from strandlake.functions import sequence as S
 from strandlake.operators.sizes import broadcast_if_small
 
@@ -32,18 +37,19 @@ def contaminated(reads: DataFrame, reference: DataFrame, name: str, seq: str, k:
     return x.groupBy(name).agg(F.countDistinct("km").cast("bigint").alias("hits"))
 
 
-def mash(sets: DataFrame, name: str, seq: str, k: int) -> DataFrame:
-    """(a, b, shared, jaccard, identity) of all ordered pairs of sequences that share a k-mer, each with itself included.
+def mash(sets: DataFrame, name: str, seq: str, k: int, *key: str) -> DataFrame:
+    """(key..., a, b, shared, jaccard, identity) of all ordered pairs of sequences of a key that share a k-mer, each with itself included.
 
     identity = 1 + ln(2 j / (1 + j)) / k, an estimate of average nucleotide identity (Ondov et al., 2016). Pairs
-    without a common k-mer have identity 0 and are not listed. Pairs meet on k-mers, so no cross join is made.
+    without a common k-mer have identity 0 and are not listed. Pairs meet on k-mers, so no cross join is made; a k-mer
+    of all n sequences gives n * n pairs, as many as the result has.
     """
-    x = sets.select(F.col(name).alias("id"), F.explode(F.array_distinct(S.kmers(F.col(seq), k))).alias("km"))
-    n = x.groupBy("id").agg(F.count("*").alias("n"))
-    p = x.select(F.col("id").alias("a"), "km").join(x.select(F.col("id").alias("b"), "km"), "km").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    p = p.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    x = sets.select(*key, F.col(name).alias("id"), F.explode(F.array_distinct(S.kmers(F.col(seq), k))).alias("km"))
+    n = x.groupBy(*key, "id").agg(F.count("*").alias("n"))
+    p = x.select(*key, F.col("id").alias("a"), "km").join(x.select(*key, F.col("id").alias("b"), "km"), [*key, "km"]).groupBy(*key, "a", "b").agg(F.count("*").alias("shared"))
+    p = p.join(n.select(*key, F.col("id").alias("a"), F.col("n").alias("na")), [*key, "a"]).join(n.select(*key, F.col("id").alias("b"), F.col("n").alias("nb")), [*key, "b"])
     p = p.withColumn("jaccard", F.expr("shared / (na + nb - shared)"))
-    return p.select("a", "b", "shared", "jaccard", (1 + F.log(2 * F.col("jaccard") / (1 + F.col("jaccard"))) / k).alias("identity"))
+    return p.select(*key, "a", "b", "shared", "jaccard", (1 + F.log(2 * F.col("jaccard") / (1 + F.col("jaccard"))) / k).alias("identity"))
 
 
 def taxon_votes(reads: DataFrame, reference: DataFrame, name: str, seq: str, taxon: str, k: int) -> DataFrame:
@@ -59,13 +65,56 @@ def open_frames(seq: Column, least_codons: int = 10) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"ATG(?:[ACGT]{{3}}){{{least_codons},}}?(?:TAA|TAG|TGA)"), F.lit(0))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+def six_frames(seq: Column, least: int = 10) -> Column:
+    """Array of (strand, frame, protein): in each of the six frames what lies from a first M to a stop, with at least so many residues before it.
+
+    Frames overlap freely, as genes on two strands do.
+    """
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.upper(seq).alias("s")), F.struct(F.lit("-").alias("strand"), S.reverse_complement(F.upper(seq)).alias("s")))
+    one = lambda x, f: F.transform(
+        F.regexp_extract_all(S.translate_codons(F.substring(x["s"], f + 1, F.length(x["s"]))), F.lit(f"M[^*]{{{least - 1},}}\\*"), F.lit(0)),
+        lambda p: F.struct(x["strand"].alias("strand"), f.alias("frame"), F.btrim(p, F.lit("*")).alias("protein")),
+    )
+    return F.flatten(F.transform(strands, lambda x: F.flatten(F.transform(F.array(*(F.lit(i) for i in range(3))), lambda f: one(x, f)))))
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """(query, key, similarity, rank): the k nearest vectors by dot product for a stated set of queries, against all vectors.
 
-    The queries are broadcast to the scan if they are few; each task keeps k rows a query before the shuffle.
+    Queries go to the scan in blocks of ``block``; a batch of vectors meets a block in one matrix product and keeps k
+    candidates a query. All vectors must have the same dimension; rows with a null vector or null components are left out. Ties go to the smaller key.
     """
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"))
-    dot = F.aggregate(F.zip_with("__q", vector, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    x = vectors.join(broadcast_if_small(q, 50_000), F.col("query") != F.col(key)).select("query", key, dot.alias("similarity"))
+    ok = lambda d: d.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    names = ok(queries).select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v"))
+    names = workspace.table(names.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(-(-names.count() // block) or 1))), "queries")
+    rows = ok(vectors).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def near(q: pd.DataFrame):
+        ids, matrix = q["query"].to_numpy(), np.stack(q["v"].to_numpy())
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                own = b["key"].to_numpy()
+                sim = np.stack(b["v"].to_numpy()) @ matrix.T
+                sim[own[:, None] == ids[None]] = -np.inf
+                order = np.argsort(own, kind="stable")
+                top = order[np.argsort(-sim[order], axis=0, kind="stable")[:k]]
+                at = np.take_along_axis(sim, top, 0)
+                good = np.isfinite(at)
+                yield pd.DataFrame({"query": np.broadcast_to(ids, top.shape)[good], key: own[top][good], "similarity": at[good]})
+
+        return run
+
+    out = None
+    for b in range(-(-names.count() // block) or 1):
+        q = names.where(F.col("block") == b).select("query", "v").toPandas()  # about ``block`` vectors
+        if len(q):
+            found = rows.mapInPandas(near(q), f"query {kind}, `{key}` {kind}, similarity double")
+            out = found if out is None else out.union(found)
+    if out is None:
+        return rows.limit(0).select(F.col("key").alias("query"), F.col("key").alias(key), F.lit(0.0).alias("similarity"), F.lit(1).alias("rank"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
-    return x.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

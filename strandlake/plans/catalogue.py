@@ -1,10 +1,13 @@
-"""The transforms of the workflow library by signature. Their data logic is in ``strandlake.operators``; those that wrap
-outside research programs have no function unless one is registered.
+"""The transforms of the workflow library by signature. Those that data logic alone can do have their function from
+``strandlake.plans.steps``; those that wrap outside research programs have none unless one is registered.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from strandlake.plans.planner import Resources, Transform
+from strandlake.plans.steps import FUNCTIONS
 
 # Signatures, one transform a line: name | needs (name=type, ^ names of parents) | products (/ begins another group) | group_by cpus memory hours
 _TABLE = """
@@ -43,13 +46,15 @@ ppanggolin | pan=pangenome::pangenome gbk=sequences::gbk^pan | matrix=pangenome:
 """
 
 
-def standard() -> list[Transform]:
+def standard(functions: Mapping[str, Callable] | None = None) -> list[Transform]:
+    """All transforms; ``functions`` adds to or replaces those of ``steps``."""
+    known = FUNCTIONS | dict(functions or {})
     out = []
     for line in _TABLE.strip().splitlines():
         name, needs, products, how = (x.strip() for x in line.split("|"))
         group_by, *limits = how.split()
         cpus, memory, hours = (None if x == "-" else float(x) for x in limits)
-        t = Transform(name, group_by=group_by, batch_size=100 if name == "gtdbtk" else 1, resources=Resources(int(cpus), int(memory), hours))
+        t = Transform(name, group_by=group_by, batch_size=100 if name == "gtdbtk" else 1, resources=Resources(int(cpus), int(memory), hours), fn=known.get(name))
         for n in needs.split():
             key, _, kind = n.partition("=")
             kind, *parents = kind.split("^")

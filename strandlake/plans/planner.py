@@ -6,12 +6,15 @@ lazy DataFrames, so Spark sees one plan for each target and runs nothing before
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandlake import workspace
 from strandlake.plans.types import Props, TypeRegistry
 
 
@@ -34,7 +37,7 @@ class Resources:
         return Resources(other.cpus or self.cpus, other.memory_gb or self.memory_gb, other.hours or self.hours)
 
 
-@dataclass
+@dataclass(eq=False)
 class Transform:
     """products: groups of (name, type), of which a run yields one; most transforms have a single group."""
 
@@ -44,6 +47,7 @@ class Transform:
     group_by: str | None = None
     batch_size: int = 1
     resources: Resources = Resources()
+    checks: dict[str, str] = field(default_factory=dict)  # product: a condition that each of its rows meets
     fn: Callable[..., Mapping[str, DataFrame]] | None = None
 
     def need(self, name: str, type: str, *parents: str) -> Transform:
@@ -54,6 +58,11 @@ class Transform:
         self.products[-1][name] = type
         return self
 
+    def check(self, name: str, condition: str) -> Transform:
+        """A post-condition: every row of the product meets it."""
+        self.checks[name] = condition
+        return self
+
     def or_product(self, name: str, type: str) -> Transform:
         """Begins another group of products."""
         self.products.append({name: type})
@@ -101,21 +110,19 @@ class Planner:
     """Chooses, for each type asked for, a given item if one fits, else the transform with the fewest steps; ties go by name.
 
     Parents of a need must be ancestors of what is chosen for it. Types that say how to get images and libraries are
-    resources: they are taken as given where no item fits.
+    resources: they are taken as given where no item fits. A transform is used once on the way to a target, which ends every chain.
     """
 
-    def __init__(self, types: TypeRegistry, transforms: Iterable[Transform], free: tuple[str, ...] = ("containers::", "lib::", "ref::", "taxonomy::gtdb", "taxonomy::metabuli_ref"), depth: int = 8):
-        self.types, self.transforms, self.free, self.depth = types, sorted(transforms, key=lambda t: t.name), free, depth
+    def __init__(self, types: TypeRegistry, transforms: Iterable[Transform], free: tuple[str, ...] = ("containers::", "lib::", "ref::", "taxonomy::gtdb", "taxonomy::metabuli_ref")):
+        self.types, self.transforms, self.free = types, sorted(transforms, key=lambda t: t.name), free
 
     def _fits(self, have: str | Props, want: str) -> bool:
         return self.types.satisfies(have, want)
 
-    def _solve(self, want: str, above: frozenset[str], items: list[Item], busy: frozenset[str], depth: int) -> tuple[Item, tuple[Step, ...]] | None:
+    def _solve(self, want: str, above: frozenset[str], items: list[Item], busy: frozenset[str]) -> tuple[Item, tuple[Step, ...]] | None:
         given = [i for i in items if self._fits(i.type, want) and above <= i.ancestors | {i.id}]
         if given:
             return min(given, key=lambda i: (len(self.types.flat(i.type)), i.id)), ()
-        if depth == 0:
-            return None
         best = None
         for t in self.transforms:
             if t.name in busy:
@@ -123,7 +130,7 @@ class Planner:
             made = [(g, n, ty) for g, group in enumerate(t.products) for n, ty in group.items() if self._fits(ty, want)]
             if not made:
                 continue
-            got = self._inputs(t, above, items, busy | {t.name}, depth - 1)
+            got = self._inputs(t, above, items, busy | {t.name})
             if got is None:
                 continue
             chosen, steps = got
@@ -137,7 +144,7 @@ class Planner:
                 best = Item(f"{t.name}.{n}", ty, came, step.id), all_steps
         return best
 
-    def _inputs(self, t: Transform, above: frozenset[str], items: list[Item], busy: frozenset[str], depth: int) -> tuple[dict[str, Item], tuple[Step, ...]] | None:
+    def _inputs(self, t: Transform, above: frozenset[str], items: list[Item], busy: frozenset[str]) -> tuple[dict[str, Item], tuple[Step, ...]] | None:
         def go(k: int, chosen: dict[str, Item], steps: tuple[Step, ...]) -> tuple[dict[str, Item], tuple[Step, ...]] | None:
             if k == len(t.needs):
                 came = frozenset().union(*(c.ancestors | {c.id} for c in chosen.values())) if chosen else frozenset()
@@ -152,7 +159,7 @@ class Planner:
                 got = go(k + 1, chosen | {need.name: i}, steps)
                 if got is not None:
                     return got
-            made = self._solve(need.type, up, [i for i in items if i not in options], busy, depth)
+            made = self._solve(need.type, up, [i for i in items if i not in options], busy)
             if made is None:
                 return None
             return go(k + 1, chosen | {need.name: made[0]}, tuple(dict.fromkeys((*steps, *made[1]))))
@@ -163,7 +170,7 @@ class Planner:
         """targets: (type, ids that must be ancestors)."""
         items, steps, out, missing = list(items), (), {}, []
         for want, above in targets:
-            got = self._solve(want, frozenset(above), items, frozenset(), self.depth)
+            got = self._solve(want, frozenset(above), items, frozenset())
             if got is None:
                 missing.append(want)
                 continue
@@ -171,26 +178,85 @@ class Planner:
             steps = tuple(dict.fromkeys((*steps, *got[1])))
         return Plan(list(steps), out, not missing, missing)
 
-    def run(self, plan: Plan, data: Mapping[str, Any]) -> dict[str, DataFrame]:
-        """DataFrames of the targets, from those of the given items."""
-        have, known = dict(data), {t.name: t for t in self.transforms}
+    def limits(self, overrides: Mapping[Any, Resources] | None = None) -> dict[str, Resources]:
+        """Resources of every transform; overrides go by ``all`` or ``*``, then by name or by the transform itself, which wins."""
+        overrides = {k.name if isinstance(k, Transform) else k: v for k, v in (overrides or {}).items()}
+        unknown = set(overrides) - {t.name for t in self.transforms} - {"all", "*"}
+        if unknown:
+            raise KeyError(f"no transform named {', '.join(sorted(unknown))}")
+        out = {}
+        for t in self.transforms:
+            got = t.resources
+            for name in ("all", "*", t.name):
+                got = got.override(overrides.get(name, Resources()))
+            out[t.name] = got
+        return out
+
+    def run(self, plan: Plan, data: Mapping[str, Any], lineage: DataFrame | None = None, **given: Any) -> dict[str, DataFrame]:
+        """DataFrames of the targets, from those of the given items; ``given`` are further arguments of the steps that take them.
+
+        A DataFrame with a column ``sample`` holds all instances of its type. Before a step, each such input gets ``group``: the instance of the
+        transform's ``group_by`` need that its sample came from by the lineage (id, ancestor), or its sample itself. For a transform with a
+        batch size the input that it groups by also gets ``batch``, numbers of that many samples each. A step that lacks a product raises an error.
+        """
+        have, known, made = dict(data), {t.name: t for t in self.transforms}, {}
         for s in plan.steps:
             t = known[s.transform]
             if t.fn is None:
                 raise NotImplementedError(f"{t.name} needs an outside program; register a function for it")
-            got = t.fn(**{k: have.get(v) for k, v in s.inputs})
-            have |= {v: got[k] for k, v in s.outputs if k in got}
+            args = {k: have.get(v) for k, v in s.inputs}
+            heads = args.get(t.group_by) if t.group_by else None
+            for k, x in args.items():
+                if isinstance(x, DataFrame) and "sample" in x.columns:
+                    args[k] = grouped(x, None if k == t.group_by else heads, lineage)
+            if t.batch_size > 1 and isinstance(heads, DataFrame) and "sample" in heads.columns:
+                args[t.group_by] = with_batches(args[t.group_by], t.batch_size)
+            takes = inspect.signature(t.fn).parameters
+            got = t.fn(**args, **{k: v for k, v in given.items() if k in takes})
+            lacking = [k for k, _ in s.outputs if k not in got]
+            if lacking:
+                raise RuntimeError(f"{t.name} did not make {', '.join(lacking)}")
+            have |= {v: got[k] for k, v in s.outputs}
+            made |= {v: (t.name, k, got[k], t.checks.get(k)) for k, v in s.outputs}
+        self.made = made
         return {want: have[i] for want, i in plan.targets.items()}
 
+    def verify(self) -> list[tuple[str, str, bool]]:
+        """(transform, product, success) of the last run: a product has rows and each meets its post-condition. Runs the products."""
+        out = []
+        for name, product, frame, condition in self.made.values():
+            bad = frame.where(f"not coalesce({condition}, false)").limit(1).count() if condition else 0
+            out.append((name, product, not bad and not frame.isEmpty()))
+        return out
+
+
+def grouped(x: DataFrame, heads: DataFrame | None, lineage: DataFrame | None) -> DataFrame:
+    """Adds group to rows with a sample: the one of the samples of heads that is its ancestor, else the sample itself."""
+    if heads is None or lineage is None or "sample" not in heads.columns:
+        return x.withColumn("group", F.col("sample"))
+    up = lineage.join(heads.select(F.col("sample").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    up = up.groupBy(F.col("id").alias("sample")).agg(F.min("ancestor").alias("group"))
+    return x.join(up, "sample", "left").withColumn("group", F.coalesce("group", "sample"))
+
+
+def with_batches(x: DataFrame, size: int) -> DataFrame:
+    """Adds batch to rows with a sample: numbers of ``size`` samples each, in order."""
+    from strandlake.operators.reads import batches
+
+    return x.join(batches(x.select("sample").distinct(), "sample", size), "sample")
+
 
 def lineage(catalog: DataFrame) -> DataFrame:
-    """(id, ancestor) of a catalog (id, type, parents array): each item with itself and everything above it, in at most ten rounds."""
-    from pyspark.sql import functions as F
-
-    up = catalog.select("id", F.explode("parents").alias("parent"))
-    out = catalog.select("id", F.col("id").alias("ancestor"))
-    front = out
-    for _ in range(10):
-        front = front.join(up.withColumnRenamed("id", "ancestor"), "ancestor").select("id", F.col("parent").alias("ancestor"))
+    """(id, ancestor) of a catalog (id, type, parents array): each item with itself and everything above it, however far.
+
+    A round goes one level up from what the last one found and is written, so that the plan stays small; cycles end as
+    what is known is not followed again.
+    """
+    up = workspace.table(catalog.select(F.col("id").alias("ancestor"), F.explode("parents").alias("parent")), "parents")
+    front = workspace.table(catalog.select("id", F.col("id").alias("ancestor")).distinct(), "lineage")
+    out = front
+    while front.limit(1).count():
+        front = front.join(up, "ancestor").select("id", F.col("parent").alias("ancestor")).distinct().join(out, ["id", "ancestor"], "left_anti")
+        front = workspace.table(front, "lineage")
         out = out.union(front)
-    return out.distinct()
+    return out

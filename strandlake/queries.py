@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
 from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, reports, sketches
@@ -58,7 +59,8 @@ with s as (select lang, {_DNA} seq from documents), x as (select lang, length(se
 h as (select lang, len, count(*) n from x group by all),
 c as (select *, sum(len * n) over (partition by lang order by len desc rows unbounded preceding) cum, sum(len * n) over (partition by lang) total from h),
 n as (select lang, max(len) n50 from c where 2 * cum >= total group by lang)
-select lang, count(*) num_seqs, sum(len)::bigint sum_len, min(len) min_len, round(avg(len), 6) avg_len, max(len) max_len, round(sum(gc) * 100.0e0 / sum(len), 6) gc, any_value(n50) n50
+select lang, count(*) num_seqs, sum(len)::bigint sum_len, min(len) min_len, round(avg(len), 6) avg_len, max(len) max_len,
+quantile_cont(len, 0.25) q1, quantile_cont(len, 0.5) q2, quantile_cont(len, 0.75) q3, round(sum(gc) * 100.0e0 / sum(len), 6) gc, any_value(n50) n50
 from x join n using (lang) group by lang""")
 def seq_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = reads.stats(sequences(spark, sf_dir), "seq", "lang")
@@ -78,22 +80,22 @@ def n50_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 with h as (select source, length(text) len, count(*) n from documents group by all),
 c as (select *, sum(len * n) over (partition by source order by len desc rows unbounded preceding) cum, sum(len * n) over (partition by source) total from h),
 n as (select source, max(len) n50 from c where 2 * cum >= total group by source),
-m as (select source, min(ord(substr(text, 1, 1))) least_code from documents group by source)
+m as (select source, min(list_min(list_transform(string_split(text, ''), lambda c: ord(c)))) least_code from documents where text <> '' group by source)
 select source, n50, least(51, greatest(n50 // 3 + 1, 20)) min_length,
        case when least_code < 59 then 'sanger' when least_code < 64 then 'solexa' else 'illumina-1.3+' end phred_encoding,
        case when least_code < 59 then 33 else 64 end::bigint phred_offset
 from n join m using (source)""")
 def adaptive_min_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("source", F.length("text").cast("bigint").alias("len"), F.ascii(F.substring("text", 1, 1)).alias("code"))
+    d = table(spark, sf_dir, "documents").select("source", F.length("text").cast("bigint").alias("len"), F.ascii(F.array_min(F.split("text", ""))).alias("code"))
     x = reads.n50(d, "len", "source").join(d.groupBy("source").agg(S.quality_encoding(F.min("code")).alias("phred_encoding")), "source")
     return x.withColumn("min_length", S.adaptive_min_length(F.col("n50"))).withColumn("phred_offset", S.phred_offset(F.col("phred_encoding")).cast("bigint"))
 
 
 @query(f"""
 with s as (select doc_id, {_DNA} seq from documents)
-select doc_id, length(seq) len, {_GC.format('seq')} gc, translate(reverse(substr(seq, 1, 40)), 'ACGT', 'TGCA') revcomp from s""")
+select doc_id, length(seq) len, {_GC.format('seq')} gc, md5(translate(reverse(seq), 'ACGT', 'TGCA')) revcomp from s""")
 def revcomp_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark, sf_dir).select("doc_id", F.length("seq").cast("bigint").alias("len"), S.gc_count(F.col("seq")).alias("gc"), S.reverse_complement(F.substring("seq", 1, 40)).alias("revcomp"))
+    return sequences(spark, sf_dir).select("doc_id", F.length("seq").cast("bigint").alias("len"), S.gc_count(F.col("seq")).alias("gc"), F.md5(S.reverse_complement(F.col("seq"))).alias("revcomp"))
 
 
 @query(f"""
@@ -121,33 +123,55 @@ def record_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("doc_id", "rec").agg(F.count("*").alias("n_lines"), F.sum(F.when(head, 0).otherwise(F.length("line"))).alias("body_len"), F.max(F.when(head, F.regexp_extract("line", r"^(\S*)", 1))).alias("id"))
 
 
-_FASTA = ">c1 first\nACGT\nAC\n>c2\tx\nGGG\n>c1 again\nTT\n>empty\n"
+def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document a FASTA file: its sequence in lines of 60 under its id, two short records, of which one has the id again, and an empty one."""
+    d = sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source"), "lang", F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq"))
+    parts = F.concat(F.lit(">"), "source", F.lit(" "), "lang", F.lit("\n"), "seq", F.lit("\n>b\tx\nACGT\nAC\n>"), "source", F.lit(" again\nTT\n>empty\n"))
+    return d.select("source", parts.alias("content"))
 
 
-@query("""select * from (values ('c1', 2::bigint), (E'c2\\tx', 3), ('empty', 0)) t(id, length)""")
+@query("""
+select doc_id::varchar source, unnest([{'id': doc_id::varchar, 'n': 2}, {'id': E'b\\tx', 'n': 6}, {'id': 'empty', 'n': 0}]).id id,
+unnest([{'id': doc_id::varchar, 'n': 2}, {'id': E'b\\tx', 'n': 6}, {'id': 'empty', 'n': 0}]).n::bigint length from documents""")
 def fasta_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = spark.createDataFrame([("a.fa", _FASTA)], "source string, content string")
-    return records.lengths(records.lines(content), "source").select("id", "length")
+    """Of records with equal ids the last counts."""
+    return records.lengths(records.lines(_fasta(spark, sf_dir)), "source")
 
 
-@query("""select * from (values (1::bigint, 'c1', 'ACGTAC', 2::bigint), (2, 'c2', 'GGG', 1), (3, 'c1', 'TT', 1), (4, 'empty', '', 0)) t(rec, id, seq, n_lines)""")
+@query(f"""
+with s as (select doc_id, lang, {_DNA} seq from documents)
+select doc_id::varchar source, 1::bigint rec, doc_id::varchar id, doc_id || ' ' || lang header, md5(seq) seq, length(seq)::bigint length, ceil(length(seq) / 60)::bigint n_lines from s
+union all select doc_id::varchar, 2, 'b', E'b\\tx', md5('ACGTAC'), 6, 2 from s
+union all select doc_id::varchar, 3, doc_id::varchar, doc_id || ' again', md5('TT'), 2, 1 from s
+union all select doc_id::varchar, 4, 'empty', 'empty', md5(''), 0, 0 from s""")
 def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = spark.createDataFrame([("a.fa", _FASTA)], "source string, content string")
-    return records.fasta(content).select("rec", "id", "seq", F.size("seq_lines").cast("bigint").alias("n_lines"))
+    x = records.fasta(_fasta(spark, sf_dir))
+    n = F.size(F.filter("seq_lines", lambda v: v != "")).cast("bigint")
+    return x.select("source", "rec", "id", "header", F.md5("seq").alias("seq"), F.length("seq").cast("bigint").alias("length"), n.alias("n_lines"))
 
 
-@query("""select * from (values ('MG1655', 'K12'), ('DH10B', 'DH10B'), ('Some-thing', 'x')) t(strain, given)""")
+@query("""
+with l as (select p_partkey, case p_partkey % 4 when 0 then 'DEFINITION  ' || p_name || ' str. K-12 substr. ' || p_brand || ', complete genome.' when 1 then 'DEFINITION  ' || p_name || ' strain ' || p_brand
+  when 2 then 'DEFINITION ' || p_type || '.' else 'DEFINITION' end line from part)
+select p_partkey, case p_partkey % 4 when 3 then 'unnamed' when 2 then translate(replace(trim(replace(line, 'DEFINITION', '')), ' ', '-'), ',.''"', '')
+  else translate(regexp_extract(line, '(?:substr\\.?\\s?|strain\\s?)(\\S+)', 1), ',.''"', '') end strain from l""")
 def strain_name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("DEFINITION  Escherichia coli str. K-12 substr. MG1655, complete genome.", "K12"), ("DEFINITION  E. coli strain DH10B", "DH10B"), ("DEFINITION Some thing.", "x")]
-    return spark.createDataFrame(rows, "line string, given string").select(scalars.strain_name(F.col("line")).alias("strain"), "given")
+    """Parts stand for organisms."""
+    k = F.col("p_partkey") % 4
+    line = F.when(k == 0, F.concat(F.lit("DEFINITION  "), "p_name", F.lit(" str. K-12 substr. "), "p_brand", F.lit(", complete genome."))).when(k == 1, F.concat(F.lit("DEFINITION  "), "p_name", F.lit(" strain "), "p_brand"))
+    line = line.when(k == 2, F.concat(F.lit("DEFINITION "), "p_type", F.lit("."))).otherwise(F.lit("DEFINITION"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.strain_name(line, F.lit("unnamed")).alias("strain"))
 
 
 @query("""
-with v(x) as (values ('7'), ('7.0'), ('98.5%'), ('1e3'), ('N/A'), (''), (null)), s as (select x, regexp_replace(x, '%$', '') t from v)
-select x, case when x is null then null when position('.' in t) = 0 and try_cast(t as bigint) is not null and regexp_matches(t, '^[+-]?[0-9]+$') then 'int' when try_cast(t as double) is not null then 'float' else 'string' end kind, try_cast(t as double) v from s""")
+with v as (select o_orderkey, case o_orderkey % 6 when 0 then o_custkey::varchar when 1 then o_custkey || '.0' when 2 then o_custkey || '.25%' when 3 then o_custkey || 'e3' when 4 then o_orderpriority end x from orders),
+s as (select *, regexp_replace(x, '%$', '') t from v)
+select o_orderkey, x, case when x is null then null when position('.' in t) = 0 and regexp_matches(t, '^[+-]?[0-9]+$') and try_cast(t as bigint) is not null then 'int' when try_cast(t as double) is not null then 'float' else 'string' end kind, try_cast(t as double) v from s""")
 def numeric_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = spark.createDataFrame([(v,) for v in ("7", "7.0", "98.5%", "1e3", "N/A", "", None)], "x string")
-    return x.select("x", scalars.numeric_kind(F.col("x")).alias("kind"), scalars.numeric_value(F.col("x")).alias("v"))
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
+    x = F.when(k == 0, c).when(k == 1, F.concat(c, F.lit(".0"))).when(k == 2, F.concat(c, F.lit(".25%"))).when(k == 3, F.concat(c, F.lit("e3"))).when(k == 4, F.col("o_orderpriority"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"))
+    return o.select("o_orderkey", "x", scalars.numeric_kind(F.col("x")).alias("kind"), scalars.numeric_value(F.col("x")).alias("v"))
 
 
 @query("""
@@ -164,18 +188,23 @@ def kv_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("user_id", "report", F.explode(tables.key_values(F.col("report"))).alias("k", "v"))
 
 
-@query("""select * from (values (1::bigint, 'Basic', 'Measure', 'a,1;b,2'), (2, 'Quality', '', '')) t(no, block, first_header, body)""")
+@query("""
+with e as (select user_id, event_type, count(*) n, round(avg(value), 3) m from events group by all), b as (select *, row_number() over (partition by user_id order by event_type) no from e)
+select user_id::varchar source, no::bigint no, event_type block, 'Measure' first_header, list_transform(['count', 'mean'], lambda x: x)[i] measure, case i when 1 then 'int' else 'float' end kind, case i when 1 then n::double else m end v
+from b, (select unnest([1, 2]) i)""")
 def block_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = ">>Basic\tpass\n#Measure\tValue\na\t1\nb\t2\n>>END_MODULE\n>>Quality\tfail\n>>END_MODULE\n"
-    x = tables.blocks(spark.createDataFrame([("r", text)], "source string, content string"))
-    body = F.array_join(F.transform("rows", lambda r: F.array_join(r, ",")), ";")
-    return x.select(F.col("no").cast("bigint").alias("no"), "block", F.coalesce(F.get("header", F.lit(0)), F.lit("")).alias("first_header"), body.alias("body"))
+    """A report for each user, with a block for each event type; values are typed as they read."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 3).alias("m"))
+    one = F.concat(F.lit(">>"), "event_type", F.lit("\tpass\n#Measure\tValue\ncount\t"), "n", F.lit("\nmean\t"), F.format_string("%.3f", "m"), F.lit("\n>>END_MODULE"))
+    text = e.groupBy(F.col("user_id").cast("string").alias("source")).agg(F.array_join(F.array_sort(F.collect_list(one)), "\n").alias("content"))
+    x = tables.blocks(text).select("source", F.col("no").cast("bigint").alias("no"), "block", F.get("header", F.lit(0)).alias("first_header"), F.explode("rows").alias("cells"))
+    cell = F.get("cells", F.lit(1))
+    return x.select("source", "no", "block", "first_header", F.get("cells", F.lit(0)).alias("measure"), scalars.numeric_kind(cell).alias("kind"), scalars.numeric_value(cell).alias("v"))
 
 
-@query("""
-with h as (select length(text) n from documents) select any_value(t) any_long from (select bool_or(n >= 10000) t from h)""")
+@query(f"""select doc_id::varchar source, length({_DNA}) >= 1000 any_long from documents""")
 def long_record_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(F.bool_or(F.length("text") >= 10000).alias("any_long"))
+    return records.any_longer(records.lines(_fasta(spark, sf_dir)), 1000, "source")
 
 
 @query("""select p_partkey, split_part(split_part(p_name, '.', 1), '_', 1) accession, regexp_extract_all(p_type, '\\w+')[1] first_word, len(regexp_extract_all(p_type, '\\w+')) words from part""")
@@ -185,10 +214,12 @@ def accession_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r(role, path) as (values ('gff', 'a/genomic.gff'), ('gbk', 'a/genomic.gbff'), ('orfs', 'a/protein.faa'), ('assembly', 'a/GCF_1_genomic.fna'), (null, 'a/cds_from_genomic.fna')) select * from r""")
+with n as (select s_suppkey, s_suppkey || '/' || ['genomic.gff', 'genomic.gbff', 'protein.faa', 'GCF_' || s_suppkey || '_genomic.fna', 'cds_from_genomic.fna', 'README'][1 + s_suppkey % 6] path from supplier)
+select ['gff', 'gbk', 'orfs', 'assembly', null, null][1 + s_suppkey % 6] as role, path from n""")
 def file_role_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["a/genomic.gff", "a/genomic.gbff", "a/protein.faa", "a/GCF_1_genomic.fna", "a/cds_from_genomic.fna"]
-    return tables.by_role(spark.createDataFrame([(n,) for n in names], "path string")).select("role", "path")
+    names = F.array(*(F.lit(x) for x in ("genomic.gff", "genomic.gbff", "protein.faa", "GCF_%_genomic.fna", "cds_from_genomic.fna", "README")))
+    name = F.replace(F.get(names, (F.col("s_suppkey") % 6).cast("int")), F.lit("%"), F.col("s_suppkey").cast("string"))
+    return tables.by_role(table(spark, sf_dir, "supplier").select(F.concat("s_suppkey", F.lit("/"), name).alias("path"))).select("role", "path")
 
 
 @query("""
@@ -224,11 +255,14 @@ def read_error_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with v(length_class, parity) as (select * from (values ('long'), ('short'), ('other')) a(x), (values ('single'), ('paired'), ('other')) b(y))
-select length_class, parity, case when length_class = 'long' then 'long_reads' when length_class = 'short' and parity = 'paired' then 'short_reads_pe' when length_class = 'short' then 'short_reads_se' end product from v""")
+with v as (select c_custkey, ['long', 'short', 'other'][1 + c_custkey % 3] length_class, ['single', 'paired', 'other'][1 + c_nationkey % 3] parity from customer)
+select c_custkey, case when length_class = 'long' then 'long_reads' when length_class = 'short' and parity = 'paired' then 'short_reads_pe' when length_class = 'short' then 'short_reads_se' end product,
+case parity when 'paired' then '--12' when 'single' then '-r' end flag from v""")
 def read_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(a, b) for a in ("long", "short", "other") for b in ("single", "paired", "other")]
-    return spark.createDataFrame(rows, "length_class string, parity string").withColumn("product", S.read_route(F.col("length_class"), F.col("parity")))
+    pick = lambda c, *v: F.get(F.array(*(F.lit(x) for x in v)), (F.col(c) % 3).cast("int"))
+    x = table(spark, sf_dir, "customer").select("c_custkey", pick("c_custkey", "long", "short", "other").alias("length_class"), pick("c_nationkey", "single", "paired", "other").alias("parity"))
+    known = F.when(F.col("parity") != "other", F.col("parity"))
+    return x.select("c_custkey", S.read_route(F.col("length_class"), F.col("parity")).alias("product"), F.when(known.isNotNull(), S.interleaved_flag(F.coalesce(known, F.lit("single")))).alias("flag"))
 
 
 _BUDGET = """
@@ -247,8 +281,8 @@ def keep_best_90pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_target_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The budget is five times the size of another table, as a target is so many times the size of an assembly."""
     r = _order_reads(spark, sf_dir).withColumn("q", F.round("q", 6))
-    size = table(spark, sf_dir, "part").agg((F.count("*") * 5).alias("goal"))
-    return reads.best_bases(r.crossJoin(F.broadcast(size)), "len", "q", "read", target=F.lit(size.first()["goal"])).select("read", "len", "q")
+    size = table(spark, sf_dir, "part").agg((F.count("*") * 5).alias("goal"))  # one row
+    return reads.best_bases(r.crossJoin(F.broadcast(size)), "len", "q", "read", target=F.col("goal")).select("read", "len", "q")
 
 
 @query("""select o_orderkey, o_orderstatus from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')""")
@@ -332,18 +366,39 @@ def fraction_mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 with {_FLAGS}, s as (select {_DNA} seq from benchmark), x as (select length(seq) len, {_GC.format('seq')} gc from s), hh as (select len, count(*) n from x group by len),
 cu as (select *, sum(len * n) over (order by len desc rows unbounded preceding) cum, sum(len * n) over () total from hh)
 select (select round(max(passed) filter (where category = 'mapped') / max(passed) filter (where category = 'total'), 6) from n) fraction_reads_mapped,
-(select sum(len)::bigint from x) length, (select max(len) from cu where 2 * cum >= total) N50, (select round(sum(gc) * 100.0e0 / sum(len), 6) from x) GC, (select count(*) from x) number_of_contigs""")
+(select sum(len)::bigint from x) length, (select max(len) from cu where 2 * cum >= total) N50, (select round(sum(gc) * 100.0e0 / sum(len), 6) from x) GC, (select count(*) from x) number_of_contigs,
+(select string_agg(category || '=' || passed, ',' order by category) from n) raw_mapping, (select 'max_len=' || max(len) || ',min_len=' || min(len) || ',num_seqs=' || count(*) || ',sum_len=' || sum(len) from x) raw_seqkit""")
 def assembly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = reports.assembly_stats(sequences(spark, sf_dir, "benchmark"), "seq", _flags(spark, sf_dir))
-    return x.withColumn("fraction_reads_mapped", F.round("fraction_reads_mapped", 6)).withColumn("GC", F.round("GC", 6))
+    x = x.withColumn("raw_mapping", _entries(F.col("_raw_mapping"))).withColumn("raw_seqkit", _entries(F.map_filter("_raw_seqkit", lambda k, v: k.isin("num_seqs", "sum_len", "min_len", "max_len"))))
+    return x.drop("_raw_mapping", "_raw_seqkit").withColumn("fraction_reads_mapped", F.round("fraction_reads_mapped", 6)).withColumn("GC", F.round("GC", 6))
+
+
+def _entries(m: Column) -> Column:
+    """A map as text, in the order of its keys."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+
+
+#: Reads with a quality for each base: odd sources count from 64, even ones from 33.
+_QUAL = f"translate({_DNA}, 'ACGT', case when source[4:]::int % 2 = 0 then '5?IF' else 'hTdf' end)"
+
+
+def _qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.substring("source", 4, 10).cast("int") % 2 == 0
+    return sequences(spark, sf_dir).withColumn("qual", F.when(even, F.translate("seq", "ACGT", "5?IF")).otherwise(F.translate("seq", "ACGT", "hTdf")))
 
 
 @query(f"""
-with x as (select source, length({_DNA}) len, {_GC.format(_DNA)} gc, doc_id % 41 q from documents), h as (select source, len, count(*) n from x group by all),
+with x as (select source, length({_DNA}) len, {_GC.format(_DNA)} gc, {_QUAL} qual from documents),
+y as (select *, list_transform(string_split(qual, ''), lambda c: ord(c)) codes from x),
+e as (select source, min(list_min(codes)) c, sum(list_sum(codes))::double / sum(len) m from y where len > 0 group by source),
+h as (select source, len, count(*) n from x group by all),
 c as (select *, sum(len * n) over (partition by source order by len desc rows unbounded preceding) cum, sum(len * n) over (partition by source) total from h), n as (select source, max(len) n50 from c where 2 * cum >= total group by source)
-select source, count(*) reads, sum(len)::bigint bases, round(avg(q), 6) mean_quality, 'sanger' phred_encoding, any_value(n50) N50, round(sum(gc) * 100.0e0 / sum(len), 6) GC from x join n using (source) group by source""")
+select source, count(*) reads, sum(len)::bigint bases, round(any_value(m - case when c < 59 then 33 else 64 end), 6) mean_quality, any_value(case when c < 59 then 'sanger' when c < 64 then 'solexa' else 'illumina-1.3+' end) phred_encoding,
+any_value(n50) N50, round(sum(gc) * 100.0e0 / sum(len), 6) GC, max(len)::varchar raw_max_len, count(*)::varchar raw_num_seqs from x join n using (source) join e using (source) group by source""")
 def read_qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = reports.read_qc_stats(sequences(spark, sf_dir).withColumn("q", F.col("doc_id") % 41), "seq", "q", "source")
+    x = reports.read_qc_stats(_qualities(spark, sf_dir), "seq", "qual", "source")
+    x = x.withColumn("raw_max_len", F.col("_raw")["max_len"]).withColumn("raw_num_seqs", F.col("_raw")["num_seqs"]).drop("_raw")
     return x.withColumn("GC", F.round("GC", 6)).withColumn("mean_quality", F.round("mean_quality", 6))
 
 
@@ -459,12 +514,12 @@ def pangenome_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str, compat: bool) -> DataFrame:
-    o = _ordered(spark, sf_dir).select("family", F.col("ord").cast("bigint").alias("r"))
+    matrix = workspace.table(_matrix(spark, sf_dir), "matrix")  # read three times
+    o = pangenome.row_order(pangenome.presence(matrix, 20, 15), group="n_genomes", idx="family").select("family", F.col("ord").cast("bigint").alias("r"))
     grid = o.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(24))))
-    m = _matrix(spark, sf_dir).select("family", F.col("genome").alias("c"), "n")
+    m = matrix.select("family", F.col("genome").alias("c"), "n")
     cells = grid.join(m, ["family", "c"], "left").select("r", "c", pangenome.clip(F.coalesce("n", F.lit(0))).cast("double").alias("v"))
-    n = table(spark, sf_dir, "lineitem").select("l_partkey").distinct().count()
-    return pangenome.block_mean(cells, n, 25, 10, compat).withColumn("value", F.round("value", 6))
+    return pangenome.block_mean(cells, o.count(), 25, 10, compat).withColumn("value", F.round("value", 6))
 
 
 @query(f"with {_CELLS}, t as (select 10 * (count(*) // 10) n from o) select (r // 10)::bigint out_row, c::bigint out_col, round(avg(v), 6) \"value\" from c, t where r < n group by all")
@@ -503,13 +558,12 @@ def segment_color_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pangenome.color_order(_runs(spark, sf_dir), "event_type")
 
 
-@query(f"""with {_SEGMENTS}, n as (select user_id, count(*) n from events group by user_id) select user_id, l, r, round(l / n + 0.5 / n, 6) as "start", round(r / n + 0.5 / n, 6) as "end" from g join n using (user_id) where user_id < 10""")
+@query(f"""with {_SEGMENTS}, n as (select user_id, count(*) n from events group by user_id) select user_id, l, r, round(l / n + 0.5 / n, 6) as "start", round(r / n + 0.5 / n, 6) as "end" from g join n using (user_id)""")
 def bar_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id < 10")
+    e = table(spark, sf_dir, "events")
     n = e.groupBy("user_id").agg(F.count("*").alias("n"))
-    x = pangenome.label_runs(e, "event_type", ["ts", "event_id"], "user_id").join(n, "user_id")
-    at = lambda c: F.round(F.col(c) / F.col("n") + 0.5 / F.col("n"), 6)
-    return x.select("user_id", "l", "r", at("l").alias("start"), at("r").alias("end"))
+    x = pangenome.bar_positions(_runs(spark, sf_dir).join(n, "user_id"), F.col("n"))
+    return x.select("user_id", "l", "r", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
 # ---- figures ----------------------------------------------------------------------------------------------------
@@ -596,15 +650,25 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("query", "vec_id", F.round("similarity", 5).alias("similarity"), long("rank"))
 
 
+#: All of an item's sequence as reads of 60 bases; the last one is shorter.
+_PIECES = f"(select item_id, p, substr(seq, 60 * p + 1, 60) s from (select item_id, seq, unnest(range(0, ceil(length(seq) / 60)::bigint)) p from (select item_id, {_DNA} seq from benchmark)))"
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = sequences(spark, sf_dir, "benchmark").where(F.length("seq") > 0)
+    c = c.select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / 60).cast("int"))).alias("p"))
+    return c.select("item_id", F.col("p").cast("bigint").alias("p"), F.col("seq").substr(60 * F.col("p") + 1, F.lit(60)).alias("seq"))
+
+
 @query(f"""
-with r as (select item_id as "read", length(s) len, s from (select item_id, substr({_DNA}, 11, 60) s from benchmark)), c as (select item_id contig, {_DNA} seq from benchmark),
+with r as (select item_id * 1000 + p as "read", length(s) len, s from {_PIECES}), c as (select item_id contig, {_DNA} seq from benchmark),
 q as (select "read", len, unnest(range(0, greatest(len - 14, 0))) qp, substr(s, qp + 1, 15) km from r), k as (select contig, unnest(range(0, greatest(length(seq) - 14, 0))) cp, substr(seq, cp + 1, 15) km from c),
 v as (select "read", contig, len, cp - qp d, count(*) seeds from q join k using (km) group by all)
 select "read", contig, greatest(d, 0)::bigint as "start", (d + len)::bigint as "end", seeds from v qualify row_number() over (partition by "read" order by seeds desc, contig, d) = 1""")
 def seed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cuts of the items as reads, the items as contigs."""
+    """Pieces of the items as reads, the items as contigs."""
     c = sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("contig"), "seq")
-    return reports.placements(c.select(F.col("contig").alias("read"), F.substring("seq", 11, 60).alias("seq")), c, 15)
+    return reports.placements(_pieces(spark, sf_dir).select((F.col("item_id") * 1000 + F.col("p")).alias("read"), "seq"), c, 15)
 
 
 @query(f"""
@@ -614,9 +678,15 @@ def read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.overlaps(sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read"), "seq"), 9, 2)
 
 
-@query()
+@query(f"""
+with s as (select doc_id id, {_DNA} seq from documents), k as (select id, length(seq) len, unnest({_KM.format(k=10)}) km from s),
+h as (select id, len, ('0x' || substr(md5(km), 1, 15))::bigint h from k), f as (select id, any_value(len) len, h % 8 b, min(h) h from h group by id, h % 8),
+c as (select h, min_by(id, (-len, id)) centroid from f group by h), v as (select id, centroid, count(*) v from f join c using (h) group by all),
+b as (select id, centroid from v qualify row_number() over (partition by id order by v desc, centroid) = 1)
+select id, centroid from b union all select id, id from s where id not in (select id from b)""")
 def minhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return centroids.minhash_clusters(sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id", "seq")
+    hashed = lambda km: F.conv(F.substring(F.md5(km), 1, 15), 16, 10).cast("bigint")
+    return centroids.minhash_clusters(sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id", "seq", hashed=hashed)
 
 
 # ---- trees ------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 Each reader takes (source, content) rows, as ``files`` reads them, and returns rows in which pos or
 rec gives the place in the file, as a DataFrame has no order of its own. A file is split inside its row, so one
-file is the unit of work; large files should be stored in parts or as tables of lines (see ``fasta_lines``).
+file is the unit of work and at most 2 GB; for larger FASTA files there is ``fasta_parts``, which splits them.
 """
 
 from __future__ import annotations
@@ -16,6 +16,18 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("content"))
 
 
+def fasta_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(source, id, header, seq) of FASTA files of any size: Spark splits them at record starts, so that a record, not a file, must fit a task.
+
+    A file must begin with a header: what stands before the first one counts as a record. Line ends may be of either kind. Compressed
+    files are not split.
+    """
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("source"), "value")
+    text = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")  # only a file's first record has its mark
+    x = rows.select("source", text.alias("text")).withColumn("header", F.substring_index("text", "\n", 1))
+    return x.select("source", F.regexp_extract("header", r"^\s*(\S*)", 1).alias("id"), "header", F.replace(F.expr("substring(text, length(header) + 2)"), F.lit("\n"), F.lit("")).alias("seq"))
+
+
 def lines(content: DataFrame) -> DataFrame:
     """(source, pos, line) without line ends; a last line without an end counts."""
     split = F.split(F.regexp_replace("content", "\r?\n$", ""), "\r?\n")
@@ -45,9 +57,10 @@ def lengths(rows: DataFrame, *key: str) -> DataFrame:
     return x.groupBy(*key, "id").agg(F.max_by("length", "rec").alias("length"))
 
 
-def any_longer(rows: DataFrame, least: int) -> DataFrame:
-    """One row (any_long): whether any sequence line-joined record reaches the length."""
-    return lengths(rows).agg(F.coalesce(F.bool_or(F.col("length") >= least), F.lit(False)).alias("any_long"))
+def any_longer(rows: DataFrame, least: int, *key: str) -> DataFrame:
+    """(key..., any_long): whether any record of the lines of a key reaches the length; lines without a key are one file."""
+    x = records(rows, *key).where("rec > 0").groupBy(*key, "rec").agg(F.sum(F.when(F.startswith("line", F.lit(">")), 0).otherwise(F.length("line"))).alias("n"))
+    return x.groupBy(*key).agg(F.coalesce(F.bool_or(F.col("n") >= least), F.lit(False)).alias("any_long"))
 
 
 def fastq(content: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions import scalars
 from strandlake.sources.records import lines
 
 
@@ -26,6 +27,11 @@ def key_last(df: DataFrame, first: str, second: str, key: str) -> DataFrame:
     return df.agg(pairs(first).alias("first"), pairs(second).alias("second"))
 
 
+def typed(m: Column) -> Column:
+    """A map of texts as a map of (kind, text, number): what ``scalars.numeric_kind`` says of each value."""
+    return F.transform_values(m, lambda k, v: F.struct(scalars.numeric_kind(v).alias("kind"), v.alias("text"), scalars.numeric_value(v).alias("number")))
+
+
 def key_values(text: Column) -> Column:
     """A map from lines of key, tab, value."""
     return F.str_to_map(F.regexp_replace(text, "\n$", ""), F.lit("\n"), F.lit("\t"))
@@ -46,9 +52,9 @@ def blocks(content: DataFrame) -> DataFrame:
 
 
 def grep_or(content: DataFrame, key: str, default: str) -> DataFrame:
-    """(source, value): the first line with the key, lower-cased, or the default."""
+    """(source, value): what follows the key in the first line that has it, trimmed and lower-cased, or the default."""
     found = lines(content).where(F.contains("line", F.lit(key))).groupBy("source").agg(F.min_by("line", "pos").alias("line"))
-    return content.select("source").distinct().join(found, "source", "left").select("source", F.lower(F.coalesce("line", F.lit(default))).alias("value"))
+    return content.select("source").distinct().join(found, "source", "left").select("source", F.lower(F.coalesce(F.trim(F.substring_index("line", key, -1)), F.lit(default))).alias("value"))
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -68,6 +74,13 @@ def matrix(spark: SparkSession, path: str, left: int = 14) -> DataFrame:
     return raw.select("idx", F.col("Gene").alias("family"), F.col("`Non-unique Gene name`").alias("class"), cells).withColumn("n", copies(F.col("cell"))).drop("cell")
 
 
+def split_by_stem(table: DataFrame, paths: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """Every input path with its row of a summary table whose key is the file's stem; a path without a row raises an error."""
+    x = paths.withColumn("__stem", scalars.path_stem(F.col(path))).join(table.withColumn("__found", F.lit(True)), F.col("__stem") == F.col(key), "left")
+    missing = F.raise_error(F.concat(F.lit("no row for "), F.col("__stem")))
+    return x.withColumn(key, F.when(F.col("__found"), F.col(key)).otherwise(missing.cast("string"))).drop("__stem", "__found")
+
+
 def by_role(paths: DataFrame, column: str = "path") -> DataFrame:
     """Adds role to rows with a path: gff, gbk, orfs, assembly (genomic FASTA that is not of coding sequences), or null."""
     name = F.regexp_extract(column, "([^/]+)$", 1)

@@ -48,6 +48,19 @@ def test_fastq_gfa_genbank(spark, tmp_path):
     assert records.any_longer(records.lines(content(spark, ">a\nACGT\n")), 4).first()[0] is True
 
 
+def test_fasta_files_are_split(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("".join(f">r{i} x{i}\nACGT\nAC{'G' * i}\n" for i in range(40)))
+    (tmp_path / "b.fa").write_bytes(b">z\tq\r\nAC\r\nGT\r\n>last\nAA")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        df = records.fasta_parts(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        got = {r["id"]: (r["header"], r["seq"]) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"r{i}": (f"r{i} x{i}", "ACGTAC" + "G" * i) for i in range(40)} | {"z": ("z\tq", "ACGT"), "last": ("last", "AA")}
+
+
 def test_preset_grid(spark):
     q = lambda x: F.lit(float(x))
     assert [one(spark, x=S.adaptive_min_length(F.lit(n)))["x"] for n in (1, 57, 60, 150, 153, 10000)] == [20, 20, 21, 51, 51, 51]
@@ -117,8 +130,10 @@ def test_budget_boundaries(spark):
     assert reads.best_bases(r, "len", "q", "read", target=0).count() == 0
     assert reads.best_bases(r, "len", "q", "read", target=1000).count() == 10
     ad = spark.createDataFrame([("ACGTACGT",)], "seq string")
-    got = reads.trim_adapters(spark.createDataFrame([(1, "GGGACGTAC"), (2, "GGG")], "id int, s string"), ad, "id", "s", 5)
-    assert {x["id"]: x["trimmed"] for x in got.collect()} == {1: "GGG", 2: "GGG"}
+    rows = spark.createDataFrame([(1, "GGGACGTAC"), (2, "GGG"), (3, "GGGGACTTACGT"), (4, "TTTTTTTACG"), (None, None)], "id int, s string")
+    trim = lambda n: {x["id"]: x["trimmed"] for x in reads.trim_adapters(rows, ad, "id", "s", 6, 3, n).collect()}
+    assert trim(0) == {1: "GGG", 2: "GGG", 3: "GGGGACTT", 4: "TTTTTTT", None: None}
+    assert trim(1)[1] == "G" and trim(1)[3] == "GGGG"  # GGACGT is one base from GTACGT
 
 
 def test_block_means(spark):
@@ -177,7 +192,7 @@ def test_geometry(spark):
 
 
 def test_reports_and_tables(spark, tmp_path):
-    assert tables.grep_or(content(spark, "x\nEncoding: Illumina\n"), "Encoding", "sanger").first()["value"] == "encoding: illumina"
+    assert tables.grep_or(content(spark, "x\n[INFO] guessed quality encoding: Illumina-1.8+ \n"), "guessed quality encoding:", "sanger").first()["value"] == "illumina-1.8+"
     assert tables.grep_or(content(spark, "x\n"), "Encoding", "sanger").first()["value"] == "sanger"
     (tmp_path / "f.tsv").write_text("10\t0\tmapped\n12\t1\ttotal\n")
     df = tables.tsv(spark, str(tmp_path / "f.tsv"), "passed string, failed string, category string")
@@ -237,3 +252,52 @@ def test_gate_and_mock(spark):
     assert reports.document(mock).first()["value"] == '{"v":"none"}'
     cached = reports.cached_paths(spark.createDataFrame([("A",), ("B",)], "accession string"), spark.createDataFrame([("A", "/x")], "accession string, path string"))
     assert {r["accession"]: r["path"] for r in cached.collect()} == {"A": "/x", "B": None}
+
+
+def test_ranks_over_ranges(spark):
+    from strandlake.operators import ordering
+
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g"), (F.col("id") % 5).alias("w")).repartition(7)
+    got = sorted((r["g"], r["k"], r["w"], r["r"], r["b"]) for r in ordering.running(ordering.ranked(rows, [F.col("g"), F.col("k")], "r"), [F.col("g"), F.col("k")], F.col("w"), "b").collect())
+    before = 0
+    for i, (_, _, w, r, b) in enumerate(got):
+        assert (r, b) == (i, before)
+        before += w
+    assert ordering.ranked(rows.limit(0), [F.col("k")], "r").count() == 0
+
+
+def test_budget_by_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[int(i % 4 == 0)], int(rng.integers(1, 50)), float(rng.choice([1.0, 2.0, 2.0, 2.0, 100.0]))) for i in range(400)] + [(1000, None, 5, 1.0), (1001, "a", 9, None)]
+    df = spark.createDataFrame(rows, "read int, s string, len bigint, q double")
+    want = set()
+    for s in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == s), key=lambda r: (r[3] is None, -(r[3] or 0), r[0]))
+        cum, goal = 0, 0.6 * sum(r[2] for r in mine)
+        for r in mine:
+            if cum < goal:
+                want.add(r[0])
+            cum += r[2]
+    got = reads.best_bases(df, "len", "q", "read", share=0.6, key="s")
+    assert got.columns == df.columns and {r["read"] for r in got.collect()} == want
+
+
+def test_cluster_options():
+    z = np.array([[0.0, 0], [0, 1], [5, 5], [5, 6.5], [5, 5.2], [20, 20]])
+    plain = clustering.hierarchical_cluster(z, list("abcdef"), "average")
+    assert sorted(plain.labels) == list("abcdef") and plain.mat.shape == z.shape and (z[plain.order] == plain.mat).all()
+    leaves = lambda t, v: 1 if t.is_leaf[v] else leaves(t, int(t.left_id[v])) + leaves(t, int(t.right_id[v]))
+    for how, sign in (("ascending", 1), ("descending", -1)):
+        t = clustering.tree(clustering.linkage(clustering.distances(z), "average"), 6, count_sort=how).set_index("node_id")
+        assert all(sign * (leaves(t, int(r.left_id)) - leaves(t, int(r.right_id))) <= 0 for _, r in t[~t.is_leaf].iterrows())
+        t = clustering.tree(clustering.linkage(clustering.distances(z), "average"), 6, distance_sort=how).set_index("node_id")
+        assert all(sign * (t.y[int(r.left_id)] - t.y[int(r.right_id)]) <= 1e-9 for _, r in t[~t.is_leaf].iterrows())
+    d = clustering.distances(z)
+    assert clustering.hierarchical_cluster(d, method="average", metric="precomputed").order == plain.order
+    turned = clustering.hierarchical_cluster(z, method="average", sort_order=[5, 4, 3, 2, 1, 0]).tree.set_index("node_id")
+    assert all(turned.x[int(r.left_id)] <= turned.x[int(r.right_id)] for _, r in turned[~turned.is_leaf].iterrows())
+    assert clustering.distances(np.array([[1, 0, 2], [1, 1, 0]]), "jaccard")[0, 1] == pytest.approx(2 / 3)
+    rows, labels, groups = clustering.deduplicate(np.array([[1, 2], [3, 4], [1, 2]]), ["a", "b", "c"])
+    assert labels == ["a+1", "b"] and groups == [["a", "c"], ["b"]] and rows.tolist() == [[1, 2], [3, 4]]
+    with pytest.raises(ValueError):
+        clustering.tree(clustering.linkage(d), 6, True, True)
