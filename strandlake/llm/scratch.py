@@ -34,20 +34,24 @@ def root(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
-def purge(spark: SparkSession) -> None:
-    """Delete the intermediate tables of all finished calls; results that were not yet written need theirs."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{root(spark)}/strandlake")
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application's finished calls; results that were not yet written need theirs."""
+    _delete(spark, f"{root(spark)}/strandlake/{spark.sparkContext.applicationId}")
+
+
 class Scratch:
     """Tables of one operator call, in a folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.path = f"{root(spark)}/strandlake/{name}-{uuid.uuid4().hex}"
+        self.path = f"{root(spark)}/strandlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._at: dict[DataFrame, str] = {}
 
     def folder(self, name: str) -> str:
         self._n += 1
@@ -57,7 +61,9 @@ class Scratch:
         """Write df once and return a reader of what was written."""
         at = self.folder(name)
         df.write.mode("overwrite").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        self._at[out] = at
+        return out
 
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
         """df, written with a number of each row, and the name of that column, which df does not have."""
@@ -67,12 +73,8 @@ class Scratch:
         return self.table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
     def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.path.split("://")[-1] in folder:
-                p = jvm.org.apache.hadoop.fs.Path(folder)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete a table of this call that nothing will read again."""
+        _delete(self.spark, self._at.pop(df))
 
     def sweep(self) -> None:
         """Let Spark's cleaner remove shuffle files of jobs that are over; it works on what two collections have found."""

@@ -259,6 +259,12 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_size(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [3e200, 6e200], 1), (3, [2e200, -1e200], 1)]
+    got = {r["id"]: r["component_id"] for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_large_cluster_is_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_CHUNK", 64)
     rng = np.random.default_rng(4)
