@@ -63,7 +63,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = _read(spark, sf_dir, "documents").select(
         "doc_id", "source", (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
-    return sharding.shard(light, 24).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # an order that SQL can tell: 60 bits of an md5 of the whole row
+    row = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("source", F.lit("")), F.col("size").cast("string"), F.col("text_crc32").cast("string"))
+    order = F.shiftleft(F.conv(F.substring(F.md5(row), 1, 15), 16, 10).cast("bigint"), 3)
+    return sharding.shard(light, 24, order=order).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -87,7 +90,28 @@ _ASCII_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'A
 #: From links l(a, b) in both directions, the smallest id reachable from each a.
 _REACH = "r as (select a, b from l union select r.a, l.b from r join l on r.b = l.a), c as (select a, min(least(a, b)) m from r group by a)"
 
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 with the reflected polynomial."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295::bigint)"
+
 ORACLES: dict[str, str] = {
+    "op10_shard": f"""
+        with t as (select [{", ".join(map(str, _crc_table()))}]::bigint[] tab), d as (select doc_id, source, strlen(coalesce(text, '')) + 8 size, hex(encode(coalesce(text, ''))) h from documents),
+             c as (select doc_id, source, size, {_CRC} text_crc32 from d, t),
+             o as (select *, ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || coalesce(source, '') || '|' || size || '|' || text_crc32), 1, 15))::bigint k from c),
+             r as (select *, row_number() over (partition by source order by k) - 1 r, count(*) over (partition by source) n from o),
+             p as (select *, row_number() over (order by (2 * r + 1) / (2 * n)::double, source is null, source, r) - 1 pos, count(*) over () total from r)
+        select doc_id, size::bigint size, text_crc32, 'rows' law, (pos * 24 // total)::int shard, pos - ((pos * 24 // total) * total + 23) // 24 slot, null::int grown_shard from p""",
     "op3_embedding_neardup": f"""
         with recursive v as (select vec_id, label, embedding::double[] e from embeddings
                              where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.llm.columns import seeded
@@ -31,14 +31,14 @@ def _bits(rows: int) -> int:
     return min(20, max(6, math.ceil(math.log2(max(1, rows) / _PER_CELL))))
 
 
-def shard(docs: DataFrame, n_shards: int = 24, *, source: str = "source", key: str = "doc_id", seed: int = 17) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 24, *, source: str = "source", key: str = "doc_id", seed: int = 17, order: Column | None = None) -> DataFrame:
     """All columns of docs, plus shard (0 to n_shards - 1) and slot (gapless from 0 in each shard).
 
     Nulls: rows without a source form a stratum of their own; a null key is a value like others.
     Ties and repeated rows: rows with an equal key are told apart by a hash of
     all their columns; rows equal in everything are interchangeable and each gets its own slot.
     Empty tables give no rows. Columns of docs named shard or slot are replaced; all other names
-    are free, as rows travel in one struct. Equal texts are spread like other rows: a group of
+    are free, as rows travel in one struct. ``order`` is another hash to shuffle by, a long that is not negative and uses all 63 bits. Equal texts are spread like other rows: a group of
     copies may be larger than a shard.
     """
     scratch = Scratch(docs.sparkSession, "shard")
@@ -48,7 +48,7 @@ def shard(docs: DataFrame, n_shards: int = 24, *, source: str = "source", key: s
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
         F.col(f"`{source}`").isNull().alias("s0"),
         F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")).alias("s"),
-        seeded(seed, F.col(f"`{key}`"), whole).alias("h"),
+        (seeded(seed, F.col(f"`{key}`"), whole) if order is None else order).alias("h"),
         whole.alias("tie"),
     )
     keys = scratch.table(base.groupBy("s0", "s", "h", "tie").agg(F.count("*").alias("c")), "keys")
