@@ -31,6 +31,7 @@ from strandlake.llm.scratch import Scratch
 INDEX = "key bigint, url string, record_type string, file string, offset bigint, length bigint, digest string"
 _FILE = 256 << 20
 _READ, _GAP = 8 << 20, 64 << 10
+_FEW = 300_000
 _STAMP = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -40,26 +41,28 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record_id(key: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'record-{key}')}>"
+def _record_id(*parts: object) -> str:
+    """Of a response its key and digest, by which its revisits name it; of a revisit its place too."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, '-'.join(map(str, ('record', *parts))))}>"
 
 
 def _one_line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
-def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record; a revisit keeps the HTTP header with the payload's length, and no payload."""
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, place: str = "") -> bytes:
+    """One record, to be written at ``place``; a revisit keeps the HTTP header with the payload's length, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http if revisit else http + payload
+    sha = digest(payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(key)}", f"WARC-Date: {_STAMP}",
-        f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(key, sha, place) if revisit else _record_id(key, sha)}", f"WARC-Date: {_STAMP}",
+        f"WARC-Target-URI: {_one_line(url)}", f"WARC-Payload-Digest: sha1:{sha}",
     ]
     if key is not None:
         head.append(f"X-Page-Id: {key}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, sha)}"]
         if refers_to is not None:
             head.append(f"X-Refers-To-Page-Id: {refers_to}")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
@@ -85,17 +88,19 @@ def plain(raw: bytes) -> bytes:
     return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
 
 
-def plan_records(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, *, key: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """(key, url, html, refers_to, revisit) for every row: of equal payloads of ``least`` bytes or more, that of the smallest key is the response.
 
     Null payloads are empty. Keys that are null are larger than all others; rows that repeat the smallest key of
-    a group are responses too. Payloads count as equal if SHA-1 and length are.
+    a group are responses too. Payloads count as equal if SHA-1 and length are. Digests alone are shuffled, payloads only where
+    the groups with copies are too many for a broadcast (_FEW, of a hundred bytes each).
     """
     rows = pages.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     first = rows.select("sha", "size", "key").groupBy("sha", "size").agg(F.count("*").alias("c"), F.min("key").alias("first")).where((F.col("c") > 1) & (F.col("size") >= least))
-    rows = rows.join(first, ["sha", "size"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
+    first = scratch.table(first.select("sha", "size", "first", F.lit(True).alias("many")), "first")
+    rows = rows.join(F.broadcast(first) if first.count() <= _FEW else first, ["sha", "size"], "left")
+    revisit = F.coalesce("many", F.lit(False)) & F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))
     return rows.select("key", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
@@ -116,7 +121,7 @@ def write(planned: DataFrame, folder: str, scratch: Scratch) -> DataFrame:
                     name, at, n = f"part-{who}-{n:04d}.warc.gz", 0, n + 1
                     stream = fs.open_output_stream(f"{base}/{name}", compression=None)
                 payload = html.encode()
-                raw = gzip.compress(record(key, url, payload, refers_to, revisit), mtime=0)
+                raw = gzip.compress(record(key, url, payload, refers_to, revisit, f"{name}:{at}"), mtime=0)
                 stream.write(raw)
                 out.append({"key": key, "url": url, "record_type": "revisit" if revisit else "response", "file": name, "offset": at, "length": len(raw), "digest": digest(payload)})
                 at += len(raw)
@@ -233,5 +238,5 @@ def archive(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
     """
     scratch = Scratch(pages.sparkSession, "warc")
     folder = scratch.folder("archives")
-    index = write(plan_records(pages, key=key, url=url, html=html, least=least), folder, scratch)
+    index = write(plan_records(pages, scratch, key=key, url=url, html=html, least=least), folder, scratch)
     return read(index, folder, keep_payload=False).drop("payload")

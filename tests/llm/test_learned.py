@@ -451,7 +451,7 @@ def test_index_of_given_archives(spark, tmp_path):
     df = spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>" * (i + 1)) for i in range(20)], "page_id bigint, url string, html string")
     scratch = Scratch(spark, "t")
     folder = scratch.folder("archives")
-    index = warc.write(warc.plan_records(df), folder, scratch)
+    index = warc.write(warc.plan_records(df, scratch), folder, scratch)
     walked = warc.index_archives(spark, folder)
     assert sorted(map(tuple, walked.collect())) == sorted(map(tuple, index.collect()))
     some = warc.read(index.where("key in (3, 4, 17)"), folder)
