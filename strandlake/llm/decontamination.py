@@ -9,8 +9,8 @@ probability ``miss`` at most (hypergeometric tail). Every candidate is verified
 of the item.
 
 Finding a shingle in a document costs one hash probe per word: each shingle is filed under its
-longest word, and only where that word occurs is the shingle compared. The probes are broadcast if their
-count is under ``max_broadcast``; beyond it, shingle hashes of documents are joined by shuffle.
+longest word, and only where that word occurs is the shingle compared. The probes are broadcast if they take
+``max_broadcast`` bytes at most; beyond that, shingles of documents are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def _found(docs: DataFrame, probes: DataFrame, width: int, broadcast: bool) -> D
 
 def contained(
     docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-    width: int = 5, threshold: float = 0.8, sample: int = 24, miss: float = 1e-9, max_broadcast: int = 300_000,
+    width: int = 5, threshold: float = 0.8, sample: int = 24, miss: float = 1e-9, max_broadcast: int = 64 << 20,
 ) -> DataFrame:
     """Pairs (doc, item, n_item, n_shared, containment) with at least ``threshold`` of the item's distinct shingles in the document.
 
@@ -94,14 +94,14 @@ def contained(
     pick = lambda d: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in d.items() for x in kv)), part), F.lit(1)) if d else F.lit(1)
     by_hash = Window.partitionBy("item").orderBy(F.xxhash64(F.lit(7), "sh"), "sh")
     sampled = sh.withColumn("rank", F.row_number().over(by_hash)).withColumn("need", pick(need)).where(F.col("rank") <= pick(k))
-    n = sh.count()
+    n = sh.agg(F.sum(F.octet_length("sh") + F.octet_length("word") + 64)).first()[0] or 0  # bytes of the probes as rows
     base = docs.select(F.col(f"`{doc}`").alias("d"), F.col(f"`{text}`").alias("t"))
     hits = _found(base, sampled.drop("rank", "need", "n_item"), width, n <= max_broadcast).distinct()
     hits = hits.join(sampled.select(F.col("item").alias("i2"), F.col("sh").alias("sh2"), "need"), (F.col("item").eqNullSafe(F.col("i2"))) & (F.col("sh") == F.col("sh2")))
     pairs = hits.groupBy("d", "item").agg(F.count("*").alias("hits"), F.first("need").alias("need")).where("hits >= need")
     pairs = scratch.table(pairs.select("d", "item"), "candidates")
 
-    few = pairs.count() <= max_broadcast
+    few = pairs.count() * 64 <= max_broadcast
     ids = pairs.select(F.col("d").alias("d2")).distinct()
     chosen = base.join(F.broadcast(ids) if few else ids, F.col("d").eqNullSafe(F.col("d2")), "left_semi")
     full = _found(chosen, sh.drop("n_item"), width, n <= max_broadcast).distinct().groupBy("d", "item").agg(F.count("*").alias("n_shared"))
