@@ -13,7 +13,7 @@ often an id or a text repeats.
 
 A softmax must choose, whatever it reads. So the net also keeps which runs of four bytes (letters lower-cased, what is no letter
 alike) occur in the sample. A text of which less is known than of the sample's texts to each other is like none of the
-languages: the bound is 1 - 4 * (1 - q) - 0.05, where q is what all but 2 % of a fifth of the sample know of their runs from the other four.
+languages, both by all its runs and by its different ones: the bound is 1 - 4 * (1 - q) - 0.05, where q is what all but 2 % of a fifth of the sample know of their runs from the other four.
 """
 
 from __future__ import annotations
@@ -210,10 +210,18 @@ class Predictor:
 
     def alike(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Whether the runs of each text are known as the sample's are; _SLACK unknown ones, a name or a key, are free."""
-        hit = np.concatenate([[0], np.cumsum(self.known[_runs(data)])]) if len(data) > 3 else np.zeros(1, int)
+        if len(data) < 4:
+            return np.ones(len(off) - 1, bool)
+        runs = _runs(data)
+        hit = np.concatenate([[0], np.cumsum(self.known[runs])])
         n = np.maximum(0, np.diff(off) - 3)
-        first = np.minimum(off[:-1], len(hit) - 1)
-        return hit[np.minimum(first + n, len(hit) - 1)] - hit[first] + _SLACK >= self.net.least * n
+        first = np.minimum(off[:-1], len(runs))
+        enough = lambda known, all_: known + _SLACK >= self.net.least * all_
+        out = enough(hit[np.minimum(first + n, len(runs))] - hit[first], n)
+        for i in np.flatnonzero(~out):  # a text that repeats itself repeats what is unknown: each run counts once
+            own = np.unique(runs[first[i] : first[i] + n[i]])
+            out[i] = enough(self.known[own].sum(), len(own))
+        return out
 
 
 def remainder(key: Column, folds: int) -> Column:
