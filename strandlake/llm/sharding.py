@@ -82,9 +82,8 @@ def shard(docs: DataFrame, n_shards: int = 24, *, source: str = "source", key: s
     placed = placed.select("h", "tie", "c", "shard", F.expr(f"pos - (shard * {total or 1} + {n_shards} - 1) div {n_shards}").alias("slot"))
     placed = scratch.table(placed, "places")
 
-    out = base.select("h", "tie", "row").join(placed.where("c = 1"), ["h", "tie"])
+    out = base.select("h", "tie", "row")
     if (most or 0) > 1:
-        again = placed.where("c > 1").select("h", "tie", "shard", "slot")
-        some = base.join(again.select("h", "tie").distinct(), ["h", "tie"], "left_semi").groupBy("h", "tie").agg(F.first("row").alias("row"))
-        out = out.select("row", "shard", "slot").union(some.join(again, ["h", "tie"]).select("row", "shard", "slot"))
+        out = out.groupBy("h", "tie").agg(F.first("row").alias("row"))
+    out = out.join(placed, ["h", "tie"])
     return out.select(*(F.col("row").getField(c).alias(c) for c in names), "shard", "slot")
