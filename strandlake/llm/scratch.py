@@ -8,15 +8,26 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import shutil
 import tempfile
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_FILES = 200_000
+
+
+def _plain_files(df: DataFrame) -> bool:
+    """Whether df is one Parquet relation, at most filtered or with columns chosen, so that a row's file and place name it."""
+    if "_metadata" in df.columns:
+        return False
+    plan = df._jdf.queryExecution().analyzed().toString().strip().splitlines()
+    nodes = [re.match(r"[\s:+-]*'?(\w+)", line)[1] for line in plan]
+    return nodes[-1] == "Relation" and plan[-1].rstrip().endswith(" parquet") and all(n in ("Project", "Filter") for n in nodes[:-1])
 
 
 def root(spark: SparkSession) -> str:
@@ -66,10 +77,21 @@ class Scratch:
         return out
 
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """df, written with a number of each row, and the name of that column, which df does not have."""
+        """df with a number of each row that stays the same whenever it is read, and the name of that column, which df does not have.
+
+        Rows that are read from Parquet files as they are have one by nature: their place in their file and a number of that, of which
+        there is a row each in a broadcast (_FILES at most). Other tables are written with a number.
+        """
         name = "__row"
         while name in df.columns:
             name += "_"
+        if _plain_files(df):
+            tagged = df.select("*", F.col("_metadata.file_path").alias(name + "f"), F.col("_metadata.row_index").alias(name + "i"))
+            files = self.table(tagged.select(F.col(name + "f").alias("f")).distinct(), "files")
+            if files.count() <= _FILES:
+                files = self.table(files.withColumn("n", F.row_number().over(Window.orderBy("f"))), "file-numbers")
+                out = tagged.join(F.broadcast(files), F.col(name + "f") == F.col("f"))
+                return out.select(*(F.col(f"`{c}`") for c in df.columns), F.expr(f"shiftleft(cast(n as bigint), 40) | `{name}i`").alias(name)), name
         return self.table(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
     def drop(self, df: DataFrame) -> None:
