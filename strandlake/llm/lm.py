@@ -10,7 +10,9 @@ the model is one over the V tokens and one unknown token.
 How it is spread out. A map task packs its documents into slabs of a bounded number of bytes:
 token ids, and a dictionary of word hashes. Of each slab only the distinct n-grams
 are sent, as one block of sorted 64-bit keys for each range of keys; a range adds up its
-blocks and sends the global counts back in the order of the keys. A slab joins its counts once and keeps
+blocks and sends the global counts back in the order of the keys. A slab sends 2^_COARSE blocks an order at most: where the input needs
+more ranges than that, some hundred slabs first meet in each coarse range, and what they have together is split finer, so that blocks stay
+of some size however many ranges there are. A slab joins its counts once and keeps
 those of its tokens, from which the weights are learned and the documents scored without another
 shuffle. Nothing is broadcast or collected but weights and six totals.
 """
@@ -36,6 +38,7 @@ _END, _START, _STEP = _U(0x2545F4914F6CDD1D), _U(0x6A09E667F3BCC909), _U(0xBB67A
 _SLAB = 6 << 20
 _PIECE = 1 << 20
 _BUCKETS = 48
+_COARSE, _TOGETHER = 8, 512
 _SLAB_SCHEMA = "slab bigint, ids array<bigint>, folds binary, n binary, tokens binary, words binary"
 
 
@@ -148,19 +151,76 @@ def _requests(slabs: DataFrame, order: int, bits: int) -> DataFrame:
     return slabs.mapInArrow(run, "slab bigint, k int, p int, keys binary, a binary, b binary")
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The blocks of one key range, with global counts in place of their own; a row without a slab has the range's totals."""
-    rows = table.to_pylist()
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Of blocks of one range: the distinct keys, where each block's keys are among them, the sums of both counts, and the blocks' sizes."""
     keys = [np.cumsum(_unpack(r["keys"], _U), dtype=_U) for r in rows]
     uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    a, b = (np.bincount(inv, np.concatenate([_unpack(r[c], np.uint32) for r in rows]), len(uniq)).astype(_U) for c in "ab")
-    out, at = [], 0
-    for r, x in zip(rows, keys, strict=True):
-        own = inv[at : at + len(x)]
-        out.append({"slab": r["slab"], "k": r["k"], "p": r["p"], "a": _pack(a[own]), "b": _pack(b[own]), "va": 0, "v": 0})
-        at += len(x)
-    out.append({"slab": None, "k": rows[0]["k"], "p": rows[0]["p"], "a": None, "b": None, "va": int((a > 0).sum()), "v": int((a + b > 0).sum())})
-    return pa.Table.from_pylist(out, pa.schema([("slab", pa.int64()), ("k", pa.int32()), ("p", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("va", pa.int64()), ("v", pa.int64())]))
+    a, b = (np.bincount(inv, np.concatenate([_unpack(r[c], r.get("type", np.uint32)) for r in rows]), len(uniq)).astype(_U) for c in "ab")
+    return uniq, inv, a, b, [len(x) for x in keys]
+
+
+_ANSWER = pa.schema([("slab", pa.int64()), ("k", pa.int32()), ("p", pa.int32()), ("f", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("va", pa.int64()), ("v", pa.int64())])
+
+
+def _answers(rows: list[dict], inv: np.ndarray, sizes: list[int], a: np.ndarray, b: np.ndarray) -> Iterator[dict]:
+    at = 0
+    for r, n in zip(rows, sizes, strict=True):
+        own = inv[at : at + n]
+        yield {"slab": r["slab"], "k": r["k"], "p": r["p"], "f": r["f"], "a": _pack(a[own]), "b": _pack(b[own]), "va": 0, "v": 0}
+        at += n
+
+
+def _merge(dtype: type):
+    """The blocks of one key range, with global counts in place of their own; a row without a slab has the range's totals."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [r | {"type": dtype} for r in table.to_pylist()]
+        uniq, inv, a, b, sizes = _added(rows)
+        out = list(_answers(rows, inv, sizes, a, b))
+        out.append({"slab": None, "k": rows[0]["k"], "p": rows[0]["p"], "f": rows[0]["f"], "a": None, "b": None, "va": int((a > 0).sum()), "v": int((a + b > 0).sum())})
+        return pa.Table.from_pylist(out, _ANSWER)
+
+    return run
+
+
+def _together(coarse: int, fine: int):
+    """The blocks of one coarse range of slabs that ask together, as one block for each fine range."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        uniq, _, a, b, _ = _added(rows)
+        width = 48 if rows[0]["k"] else 64 - coarse
+        cut = np.searchsorted(uniq, np.arange(1, 1 << fine, dtype=_U) << _U(width - fine))
+        out = [{"slab": rows[0]["many"], "k": rows[0]["k"], "p": rows[0]["p"], "f": f, "keys": _pack(np.diff(x, prepend=_U(0))), "a": _pack(y), "b": _pack(z)} for f, (x, y, z) in enumerate(zip(np.split(uniq, cut), np.split(a, cut), np.split(b, cut), strict=True)) if len(x)]
+        return pa.Table.from_pylist(out, pa.schema([("slab", pa.int64()), ("k", pa.int32()), ("p", pa.int32()), ("f", pa.int32()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary())]))
+
+    return run
+
+
+def _apart(asked: pa.Table, got: pa.Table) -> pa.Table:
+    """The answers to slabs that asked together, for each slab."""
+    rows = asked.to_pylist()
+    _, inv, _, _, sizes = _added(rows)
+    parts = sorted(got.to_pylist(), key=lambda r: r["f"])
+    a, b = (np.concatenate([_unpack(r[c], _U) for r in parts]) for c in "ab")
+    return pa.Table.from_pylist(list(_answers(rows, inv, sizes, a, b)), _ANSWER)
+
+
+_ANSWER_SCHEMA = "slab bigint, k int, p int, f int, a binary, b binary, va bigint, v bigint"
+
+
+def _counted(scratch: Scratch, slabs: DataFrame, order: int, bits: int) -> DataFrame:
+    """(slab, k, p, f, a, b, va, v): for each block of keys the global counts; rows without a slab have totals of ranges."""
+    coarse = min(bits, _COARSE)
+    asked = _requests(slabs, order, coarse).withColumn("f", F.lit(0))
+    if coarse == bits:
+        return scratch.table(asked.groupBy("p", "k").applyInArrow(_merge(np.uint32), _ANSWER_SCHEMA), "counts")
+    many = F.pmod(F.xxhash64("slab"), F.lit(max(1, -(-slabs.count() // _TOGETHER))))
+    asked = scratch.table(asked.withColumn("many", many), "asked")
+    joint = asked.groupBy("many", "k", "p").applyInArrow(_together(coarse, bits - coarse), "slab bigint, k int, p int, f int, keys binary, a binary, b binary")
+    merged = scratch.table(joint.groupBy("p", "k", "f").applyInArrow(_merge(_U), _ANSWER_SCHEMA), "merged")
+    back = asked.groupBy("many", "k", "p").cogroup(merged.where("slab is not null").groupBy("slab", "k", "p")).applyInArrow(_apart, _ANSWER_SCHEMA)
+    return scratch.table(back.union(merged.where("slab is null")), "counts")
 
 
 def _ratios(count: list[np.ndarray], first: np.ndarray, total: int, starts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,8 +318,7 @@ def score(
             yield pd.DataFrame({"d0": [int((x == 0).sum()) for x in f], "d1": [int((x == 1).sum()) for x in f], "t0": [int(y[x == 0].sum()) for x, y in zip(f, n, strict=True)], "t1": [int(y[x == 1].sum()) for x, y in zip(f, n, strict=True)]})
 
     d0, d1, t0, t1 = (int(x or 0) for x in slabs.select("folds", "n").mapInPandas(sizes, "d0 bigint, d1 bigint, t0 bigint, t1 bigint").agg(*(F.sum(c) for c in ("d0", "d1", "t0", "t1"))).first())
-    merged = _requests(slabs, order, bits).groupBy("p", "k").applyInArrow(_merge, "slab bigint, k int, p int, a binary, b binary, va bigint, v bigint")
-    merged = scratch.table(merged, "counts")
+    merged = _counted(scratch, slabs, order, bits)
     scratch.sweep()
     va, v = (int(x or 0) for x in merged.where("slab is null and k = 0").agg(F.sum("va"), F.sum("v")).first())
     joined = slabs.join(merged.where("slab is not null").groupBy("slab").agg(F.collect_list(F.struct("k", "p", "a", "b")).alias("got")), "slab")  # as many as one slab has key ranges

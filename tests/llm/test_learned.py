@@ -178,8 +178,11 @@ def plain_scores(rows, order, rounds=8):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_score_against_a_plain_em(spark, spoken, order):
+@pytest.mark.parametrize("order,coarse", [(1, 8), (2, 8), (3, 8), (2, 2), (3, 0)])
+def test_score_against_a_plain_em(spark, spoken, order, coarse, monkeypatch):
+    """With few coarse ranges slabs ask together, which gives the same."""
+    monkeypatch.setattr(lm, "_COARSE", coarse)
+    monkeypatch.setattr(lm, "_TOGETHER", 2)
     rows = [r for r in spoken if r[0] is not None]
     got = {r["id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), order=order).collect()}
     for r, want in zip(rows, plain_scores(rows, order), strict=True):
