@@ -167,14 +167,16 @@ class Planner:
         return go(0, {}, ())
 
     def plan(self, items: Iterable[Item], targets: Iterable[tuple[str, Iterable[str]]]) -> Plan:
-        """targets: (type, ids that must be ancestors)."""
+        """targets: (type, what must lie above it: ids, or types of targets before it, whose planned instances later targets may use)."""
         items, steps, out, missing = list(items), (), {}, []
         for want, above in targets:
-            got = self._solve(want, frozenset(above), items, frozenset())
+            got = self._solve(want, frozenset(out.get(a, a) for a in above), items, frozenset())
             if got is None:
                 missing.append(want)
                 continue
             out[want] = got[0].id
+            if got[0].step is not None:
+                items.append(got[0])
             steps = tuple(dict.fromkeys((*steps, *got[1])))
         return Plan(list(steps), out, not missing, missing)
 

@@ -691,26 +691,43 @@ def minhash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- trees ------------------------------------------------------------------------------------------------------
 
+#: Complete linkage as a recursion over the pairs of clusters that are left; nodes are then told apart by their paths from the root.
+_TREE = f"""
+{_MATRIX}, g as (select genome, lpad(genome::varchar, 3, '0') as label, row_number() over (order by lpad(genome::varchar, 3, '0')) - 1 id, count(*) over () n from (select distinct genome from m)),
+sz as (select genome, count(*) n from m group by genome), i as (select a.genome g1, b.genome g2, count(*) as k from m a join m b on a.family = b.family and a.genome < b.genome group by all),
+dist as (select least(x.id, y.id) a, greatest(x.id, y.id) b, coalesce(1 - k / (s.n + t.n - k), 1.0e0) d from g x join g y on x.genome < y.genome join sz s on s.genome = x.genome join sz t on t.genome = y.genome left join i on g1 = x.genome and g2 = y.genome),
+r as (select 0::bigint step, a, b, d, (select max(n) from g) n from dist
+  union all select step + 1, least(p, q), greatest(p, q), max(d), any_value(n) from (
+    select step, n, d, case when a in (i, j) then n + step else a end p, case when b in (i, j) then n + step else b end q from (select *, first_value(a) over w i, first_value(b) over w j from r window w as (order by d, a, b)) where not (a = i and b = j))
+  group by step, least(p, q), greatest(p, q)),
+merges as (select n + step id, arg_min(a, (d, a, b)) l, arg_min(b, (d, a, b)) rr, min(d) y from r group by n, step),
+nodes as (select id node_id, l left_id, rr right_id, y, false is_leaf, null::varchar as label from merges union all select id, null::bigint, null::bigint, 0, true, label from g),
+paths as (select node_id, null::bigint parent_id, '' path from (select max(node_id) node_id from nodes) union all
+  select c.node_id, p.node_id, p.path || case when c.node_id = m.left_id then 'a' else 'z' end from paths p join nodes m on m.node_id = p.node_id join nodes c on c.node_id = m.left_id or c.node_id = m.right_id),
+places as (select nodes.*, parent_id, path, row_number() over (order by path) - 1 pre_pos, row_number() over (order by path || 'm') - 1 in_pos, row_number() over (order by path || '~') - 1 post_pos,
+  case when is_leaf then count(*) filter (where is_leaf) over (order by path) - 1 end leaf_pos from nodes join paths using (node_id))"""
+
 
 def _dendrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _matrix(spark, sf_dir)
+    m = workspace.table(_matrix(spark, sf_dir), "matrix")
     name = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
     pairs = pangenome.jaccard(m).select(F.lit("all").alias("grp"), name("g1").alias("a"), name("g2").alias("b"), "distance")
     members = m.select(F.lit("all").alias("grp"), name("genome").alias("label")).distinct()
     return clustering.dendrograms(pairs, members, "grp")
 
 
-@query()
+@query(f"with recursive {_TREE} select node_id, left_id, right_id, round(y, 6) height from nodes where not is_leaf")
 def hierarchical_cluster_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dendrogram(spark, sf_dir).where("not is_leaf").select("node_id", "left_id", "right_id", F.round("y", 6).alias("height"))
 
 
-@query()
+@query(f"""with recursive {_TREE} select p.node_id, p.left_id, p.right_id, p.parent_id,
+(select round(sum(l.leaf_pos / pow(2, length(l.path) - length(p.path))), 6) from places l where l.is_leaf and starts_with(l.path, p.path)) x, round(p.y, 6) y, p.is_leaf, p.pre_pos, p.in_pos, p.post_pos, p.leaf_pos, p.label from places p""")
 def dendrogram_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dendrogram(spark, sf_dir).drop("grp").withColumn("y", F.round("y", 6))
+    return _dendrogram(spark, sf_dir).drop("grp").withColumn("y", F.round("y", 6)).withColumn("x", F.round("x", 6))
 
 
-@query()
+@query(f"with recursive {_TREE} select label, leaf_pos from places where is_leaf")
 def leaf_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dendrogram(spark, sf_dir).where("is_leaf").select("label", "leaf_pos")
 
@@ -738,13 +755,14 @@ def type_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workflow_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long reads of one isolate, to an assembly and its statistics."""
     items = [Item("meta", "sequences::read_metadata"), Item("reads", "sequences::long_reads", frozenset({"meta"}))]
-    plan = Planner(standard(), [t for t in catalogue.standard() if t.name not in ("hifiasm_meta", "flye", "flye_raw", "megahit", "corrected_long_assembly")]).plan(
-        items, [("sequences::isolate_assembly", ["reads"]), ("sequences::assembly_stats", ["reads"])]
-    )
+    plan = Planner(standard(), catalogue.standard()).plan(items, [("sequences::isolate_assembly", ["reads"]), ("sequences::assembly_stats", ["sequences::isolate_assembly"])])
     return plan.frame(spark).select("step", "transform")
 
 
-@query()
+@query(f"""with recursive {_TREE}, pc as (select family, count(*) n_genomes from m group by family),
+oc as (select family, row_number() over (order by case when n_genomes >= 20 then 0 when n_genomes >= 15 then 1 else 2 end, n_genomes, family) - 1 ord from pc),
+c as (select ord r, leaf_pos c, least(coalesce(m.n, 0), 2) v from oc cross join (select label::int genome, leaf_pos from places where is_leaf) l left join m on m.family = oc.family and m.genome = l.genome)
+select r, c, v, case v when 0 then '#ffffff' when 1 then '#212121' else '#ff0000' end fill from c""")
 def pangenome_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plot-ready cells: families by class, genomes by leaf order."""
     leaves = leaf_order(spark, sf_dir).select(F.col("label").cast("int").alias("genome"), "leaf_pos")

@@ -16,7 +16,7 @@ from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
 from strandlake.plans.planner import Item, Planner, lineage
 from strandlake.plans.types import standard
-from strandlake.queries import _DNA, _GC, _KM, _PIECES, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
+from strandlake.queries import _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
 from strandlake.sources import external, records, sinks, tables
 
 # ---- readers ----------------------------------------------------------------------------------------------------
@@ -150,16 +150,13 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with s as (select doc_id, lang, {_DNA} seq from documents where doc_id in (select min(doc_id) from documents group by source))
+with s as (select doc_id, lang, {_DNA} seq from documents)
 select doc_id::varchar id, doc_id || ' ' || lang header, md5(seq) seq from s union all select 'b', E'b\\tx', md5('ACGTAC') from s union all select doc_id::varchar, doc_id || ' again', md5('TT') from s union all select 'empty', 'empty', md5('') from s""")
 def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of each source's first document, as one gzipped FASTA file."""
-    from strandlake.queries import _fasta
-
-    first = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").cast("string").alias("source2")).select(F.col("source2").alias("source"))
+    """The records of all documents' files, written as gzipped FASTA in order and read back."""
     at = workspace.folder(spark, "fasta")
-    sinks.write_fasta(records.fasta(_fasta(spark, sf_dir).join(first, "source", "left_semi")), at, "source", "rec", gzip=True)
-    return records.fasta(records.files(spark, at)).select("id", "header", F.md5("seq").alias("seq"))
+    sinks.write_fasta(records.fasta(_fasta(spark, sf_dir)), at, "source", "rec", gzip=True)
+    return records.fasta_parts(spark, at).select("id", "header", F.md5("seq").alias("seq"))
 
 
 @query("""select o_orderstatus status, o_orderpriority priority, count(*) n, min(o_orderkey) first_key from orders group by all""")
@@ -335,12 +332,12 @@ def protein_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with a as (select distinct unnest({_KM.format(k=23)}) km from (select substr({_DNA}, 1, 40) seq from benchmark where item_id % 5 = 0)),
+with a as (select distinct unnest({_KM.format(k=23)}) km from (select {_DNA} seq from benchmark)),
 d as (select doc_id, {_DNA} seq from documents), k as (select doc_id, unnest(range(0, greatest(length(seq) - 22, 0))) p, substr(seq, p + 1, 23) km from d), m as (select doc_id, min(p) p from k join a using (km) group by doc_id)
 select doc_id, coalesce(p, length(seq))::bigint kept_bases from d left join m using (doc_id)""")
 def adapter_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of some items stand for adapters; exact matches of 23 bases."""
-    ad = sequences(spark, sf_dir, "benchmark").where("item_id % 5 = 0").select(F.substring("seq", 1, 40).alias("seq"))
+    """The items stand for adapters; exact matches of 23 bases."""
+    ad = sequences(spark, sf_dir, "benchmark").select("seq")
     x = reads.trim_adapters(sequences(spark, sf_dir).select("doc_id", "seq"), ad, "doc_id", "seq", 23, 23, 0)
     return x.select("doc_id", F.length("trimmed").cast("bigint").alias("kept_bases"))
 
@@ -388,16 +385,17 @@ def categorical_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the items as reads of three samples, with qualities."""
-    x = _pieces(spark, sf_dir).select((F.col("item_id") % 3).cast("string").alias("sample"), (F.col("item_id") * 1000 + F.col("p")).alias("id"), "seq")
+    """Pieces of the items, and the same read backwards, as reads of three samples, with qualities."""
+    x = _pieces(spark, sf_dir).withColumn("seq", F.explode(F.array("seq", F.concat(F.lit("-"), F.reverse("seq"))))).withColumn("back", F.startswith("seq", F.lit("-")).cast("int"))
+    x = x.select((F.col("item_id") % 3).cast("string").alias("sample"), (F.col("item_id") * 1000 + 2 * F.col("p") + F.col("back")).alias("id"), F.replace("seq", F.lit("-"), F.lit("")).alias("seq"))
     return x.withColumn("qual", F.when(F.col("sample") == "1", F.translate("seq", "ACGT", "hTdf")).otherwise(F.translate("seq", "ACGT", "5?IF")))
 
 
-_SAMPLE_READS = f"(select (item_id % 3)::varchar sample, item_id * 1000 + p id, s, length(s) len, translate(s, 'ACGT', case when item_id % 3 = 1 then 'hTdf' else '5?IF' end) qual from {_PIECES})"
+_SAMPLE_READS = f"(select (item_id % 3)::varchar sample, item_id * 1000 + 2 * p + back id, s, length(s) len, translate(s, 'ACGT', case when item_id % 3 = 1 then 'hTdf' else '5?IF' end) qual from (select item_id, p, 0 back, s from {_PIECES} union all select item_id, p, 1, reverse(s) from {_PIECES}))"
 
 
 @query(f"""
-with r as (select * from {_SAMPLE_READS}), a as (select (item_id % 3)::varchar sample, item_id contig, {_DNA} seq from benchmark where item_id % 2 = 0),
+with r as (select * from {_SAMPLE_READS}), a as (select (item_id % 3)::varchar sample, item_id contig, {_DNA} seq from benchmark),
 q as (select sample, id, len, unnest(range(0, greatest(len - 14, 0))) qp, substr(s, qp + 1, 15) km from r), k as (select sample, contig, unnest(range(0, greatest(length(seq) - 14, 0))) cp, substr(seq, cp + 1, 15) km from a),
 v as (select sample, id, contig, len, cp - qp d, count(*) seeds from q join k using (sample, km) group by all),
 h as (select * from v qualify row_number() over (partition by sample, id order by seeds desc, contig, d) = 1),
@@ -410,7 +408,7 @@ any_value(case when code < 59 then 'sanger' when code < 64 then 'solexa' else 'i
 from l join m using (sample) join f using (sample) group by sample, fraction_reads_mapped""")
 def reads_to_assembly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plans the statistics of given assemblies and of their reads, for three samples at once, and runs the plan."""
-    asm = sequences(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select((F.col("item_id") % 3).cast("string").alias("sample"), F.col("item_id").alias("id"), "seq")
+    asm = sequences(spark, sf_dir, "benchmark").select((F.col("item_id") % 3).cast("string").alias("sample"), F.col("item_id").alias("id"), "seq")
     x = _reads(spark, sf_dir)
     meta = x.select("sample").distinct().withColumn("length_class", F.lit("short")).withColumn("parity", F.lit("single"))
     items = [Item("meta", "sequences::read_metadata"), Item("reads", "sequences::long_reads", frozenset({"meta"})), Item("asm", "sequences::flye_assembly", frozenset({"meta", "reads"}))]
