@@ -139,16 +139,15 @@ def near_duplicates(
 def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs without the rows that are not kept: one row of each group stays, the one with the smallest id.
 
-    Rows are told apart by a number written with them, not by their ids; a null id comes last, and of equal ids one stays.
+    Rows are told apart by their numbers (``Scratch.numbered``), not by their ids; a null id comes last, and of equal ids one stays.
     """
     scratch = Scratch(docs.sparkSession, "dedup")
     rows, at = scratch.numbered(docs)
     found = near_duplicates(rows, key=at, text=text, **how).select(F.col("id").alias("r"), F.col("component_id").alias("c"))
     found = scratch.table(found, "found")
-    many = found.join(found.groupBy("c").count().where("count > 1").select("c"), "c", "left_semi")
     ids = rows.select(F.col(f"`{at}`").alias("r"), F.col(f"`{key}`").cast("bigint").alias("id"))
-    many = scratch.table(many.join(ids, "r"), "many")
-    first = many.groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r"))["r"].alias("first"))
-    gone = scratch.table(many.join(first, "c").where("r <> first").select(F.col("r").alias("__gone")), "gone")
+    # joins on the row's number, which no group makes hot; groups only meet in a minimum, which combines before the shuffle
+    first = found.join(ids, "r").groupBy("c").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r"))["r"].alias("r"))
+    gone = scratch.table(found.select("r").join(first.select("r"), "r", "left_anti").select(F.col("r").alias("__gone")), "gone")
     gone = F.broadcast(gone) if gone.count() <= _FEW else gone
     return rows.join(gone, F.col(f"`{at}`") == F.col("__gone"), "left_anti").drop(at)
