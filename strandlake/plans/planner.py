@@ -241,6 +241,12 @@ def grouped(x: DataFrame, heads: DataFrame | None, lineage: DataFrame | None) ->
     return x.join(up, "sample", "left").withColumn("group", F.coalesce("group", "sample"))
 
 
+def attached(samples: DataFrame, resources: DataFrame, name: str = "resource") -> DataFrame:
+    """Every sample with every resource (images, reference databases), of which there are a few; ``name`` is the struct that holds them."""
+    few = resources.agg(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in resources.columns))).alias(name))
+    return samples.crossJoin(F.broadcast(few)).withColumn(name, F.explode(name))  # one row
+
+
 def with_batches(x: DataFrame, size: int) -> DataFrame:
     """Adds batch to rows with a sample: numbers of ``size`` samples each, in order."""
     from strandlake.operators.reads import batches

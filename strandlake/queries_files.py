@@ -14,7 +14,7 @@ from strandlake.functions import sequence as S
 from strandlake.operators import centroids, kv, pangenome, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
-from strandlake.plans.planner import Item, Planner, lineage
+from strandlake.plans.planner import Item, Planner, attached, lineage
 from strandlake.plans.types import standard
 from strandlake.queries import _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
 from strandlake.sources import external, records, sinks, tables
@@ -436,8 +436,16 @@ def reads_to_clean_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part("clean_short_reads", True).union(part("discarded_short_reads", False))
 
 
+@query("""select c_custkey sample, r_name image, 'docker://' || lower(r_name) pointer from customer, region""")
+def samples_with_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers stand for samples, regions for images."""
+    images = table(spark, sf_dir, "region").select(F.col("r_name").alias("image"), F.concat(F.lit("docker://"), F.lower("r_name")).alias("pointer"))
+    x = attached(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample")), images)
+    return x.select("sample", "resource.image", "resource.pointer")
+
+
 @query("""
-with s as (select 'sample' || (n_regionkey) sample, n_nationkey from nation)
+
 select r_regionkey::varchar region, r_name || '.json' id, 'sequences::read_metadata' as type, 0::bigint ancestors from region
 union all select n_regionkey::varchar, n_name || '.acc', 'ncbi::assembly_accession', 1 from nation""")
 def sample_views(spark: SparkSession, sf_dir: str) -> DataFrame:
