@@ -373,12 +373,13 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 with a as (select user_id, event_type, row_number() over w - 1 i, (event_type is distinct from lag(event_type) over w)::int ch from events window w as (partition by user_id order by ts, event_id)),
 s as (select *, sum(ch) over (partition by user_id order by i rows unbounded preceding) run from a), g as (select user_id, event_type, min(i) l, max(i) + 1 r from s group by user_id, event_type, run),
 n as (select user_id, count(*) n from events group by user_id), c as (select event_type, row_number() over (order by count(*), event_type) draw_order from g group by event_type)
-select user_id, event_type, l, draw_order, 'M ' || printf('%.6f', l / n + 0.5 / n - 0.5) || ',0.485000 L ' || printf('%.6f', l / n + 0.5 / n - 0.5) || ',0.515000 L ' || printf('%.6f', r / n + 0.5 / n - 0.5) || ',0.515000 L ' || printf('%.6f', r / n + 0.5 / n - 0.5) || ',0.485000 Z' path
+select user_id, event_type, l, r, draw_order, round(l / n + 0.5 / n, 6) as "start", round(r / n + 0.5 / n, 6) as "end", 4::bigint corners
 from g join n using (user_id) join c using (event_type)""")
 def categorical_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A straight bar for each user, a color for each event type."""
     x = pangenome.categorical_bar(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "user_id", circular=False)
-    return x.select("user_id", "event_type", "l", "draw_order", "path")
+    corners = F.size(F.split("path", "[ML] ")) - 1
+    return x.select("user_id", "event_type", "l", "r", "draw_order", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), corners.cast("bigint").alias("corners"))
 
 
 # ---- transforms that run ----------------------------------------------------------------------------------------

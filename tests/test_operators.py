@@ -301,3 +301,12 @@ def test_cluster_options():
     assert labels == ["a+1", "b"] and groups == [["a", "c"], ["b"]] and rows.tolist() == [[1, 2], [3, 4]]
     with pytest.raises(ValueError):
         clustering.tree(clustering.linkage(d), 6, True, True)
+
+
+def test_bars_as_outlines(spark):
+    rows = spark.createDataFrame([(i, "ab"[i // 3 % 2]) for i in range(8)], "i int, v string")
+    line = pangenome.categorical_bar(rows, "v", ["i"], circular=False, position=0.0, thickness=0.5).orderBy("l").collect()
+    assert [(r["v"], r["l"], r["r"], r["draw_order"]) for r in line] == [("a", 0, 3, 2), ("b", 3, 6, 1), ("a", 6, 8, 2)]
+    assert line[0]["path"] == "M -0.437500,-0.250000 L -0.437500,0.250000 L -0.062500,0.250000 L -0.062500,-0.250000 Z"
+    ring = pangenome.categorical_bar(rows, "v", ["i"]).orderBy("l").collect()
+    assert all(r["path"].startswith("M ") and r["path"].endswith(" Z") and r["path"].count(" L ") > 20 for r in ring)
