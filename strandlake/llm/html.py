@@ -340,7 +340,8 @@ def _headed(box: Box) -> bool:
     return False
 
 
-def _texts(tops: list[Box], low: float, tie: float, marked: bool) -> list[str]:
+def _texts(tops: list[Box], low: float, tie: float) -> list[str]:
+    """The blocks of text without the branches below ``low``, or below low + tie where only a name hints at boilerplate."""
     out: list[str] = []
     todo: list[Box | str] = list(reversed(tops))
     while todo:
@@ -360,10 +361,10 @@ def main_text(page: str | None, worth: dict[int, tuple[float, float]] | None = N
     if not found:
         return ""
     tops, marked = _tops(found)
-    whole = _texts(tops, 0.0, 0.0, marked)
+    whole = _texts(tops, 0.0, 0.0)
     if worth:
         _weigh(found, worth)
-        left = _texts(tops, low_main, 0.2, marked) if marked else _texts(tops, low, 0.3, marked)
+        left = _texts(tops, low_main, 0.2) if marked else _texts(tops, low, 0.3)
         size = sum(map(len, left))
         if size and (not marked or 2 * size >= sum(map(len, whole))):  # a page that is mostly found on others is a copy
             whole = left
