@@ -53,7 +53,8 @@ NAMES = frozenset(
 # Words that do not change what a boilerplate word beside them says.
 PLAIN = frozenset(
     "site page main global primary secondary top bottom left right upper lower inner outer first last fixed sticky mobile desktop box bar block list item items links link buttons button icons icon "
-    "wrapper wrap container section area region row column col content slot unit zone module form post posts article articles story stories text message policy media a b c js the and for id new my".split()
+    "wrapper wrap container holder section area region row column col content slot unit zone module panel strip group card cards form post posts article articles story stories text message policy media "
+    "user users reader readers visitor visitors guest thread threads feed external partner google inline floating responsive small large wide vertical horizontal dark light default active popular more a b c js the and for id new my".split()
 )
 TALK = frozenset("comment comments disqus replies respond".split())
 _EXEMPT = frozenset("html body main".split())

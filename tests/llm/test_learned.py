@@ -365,6 +365,10 @@ def test_probes_of_content():
     assert t("<body><h1>Title</h1><div class=share-buttons>x</div><article><p>a longer story</p></article><div>some links</div></body>") == "Title\n\na longer story"
     assert t("<form id=aspnetForm><h1>T</h1><p>x</p><input value=a></form><form><p>mail</p></form>") == "T\n\nx"
     assert t("<form class=search-box><main><p>x</p></main></form><p>y</p>") == "x"
+    for name in ("reader-comments", "user-comments", "sidebar-panel", "cookie-notice", "google-ad", "ad-container", "relatedStories", "newsletter_signup", "promo-box-2", "share-bar"):
+        assert t(f"<article><p>x</p><div class='{name}'>y</div></article>") == "x"
+    for name in ("no-sidebar", "has-comments", "notice-of-meeting", "menu-recipes", "shared-history", "adage", "loginess"):
+        assert t(f"<article><p>x</p><div class='{name}'>y</div></article>") == "x\n\ny"
     assert t("<article><p>x</p><div data-class='ad'>y</div><div class='ad-slot-3'>z</div></article>") == "x\n\ny"
 
 
