@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, html, language, lines, lm, minhash, mixing, sharding, vectors, warc
+from strandlake.llm import decontamination, html, language, lines, lm, minhash, mixing, phrases, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(light, 24, order=order).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_extract_html": op2_extract_html,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontaminate": op9_decontaminate,
     "op10_shard": op10_shard,
+    "op13_phrases": op13_phrases,
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -112,6 +117,22 @@ ORACLES: dict[str, str] = {
              r as (select *, row_number() over (partition by source order by k) - 1 r, count(*) over (partition by source) n from o),
              p as (select *, row_number() over (order by (2 * r + 1) / (2 * n)::double, source is null, source, r) - 1 pos, count(*) over () total from r)
         select doc_id, size::bigint size, text_crc32, 'rows' law, (pos * 24 // total)::int shard, pos - ((pos * 24 // total) * total + 23) // 24 slot, null::int grown_shard from p""",
+    "op13_phrases": r"""
+        with p as (select doc_id, coalesce(lang, 'und') lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') ps from documents),
+             w as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') ws from (select lang, unnest(ps) piece from p)),
+             g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i+k-1])) ws from w, (values (1), (2), (3)) t(k) where len(ws) >= k),
+             f as materialized (select lang, k, ws, count(*) f from g group by all having k = 1 or count(*) >= 10),
+             n as (select lang, sum(f)::bigint n from f where k = 1 group by lang),
+             c as (select * from f where k > 1),
+             d as (select lang, k, ws, f, unnest(range(1, k)) k1 from c),
+             cut as (select d.lang, d.ws, d.f a, x.f l, y.f r, k1, (1000000::hugeint * d.f * d.f // (x.f::hugeint * y.f))::bigint score
+                     from d join f x on x.lang = d.lang and x.ws = d.ws[1:k1] join f y on y.lang = d.lang and y.ws = d.ws[k1+1:d.k]),
+             best as (select * from cut qualify row_number() over (partition by lang, ws order by score, k1) = 1),
+             h as (select lang, ws[1:2] ws, f from c where k = 3 union all select lang, ws[2:3], f from c where k = 3),
+             m as (select lang, ws, max(f) f from h group by all),
+             o as (select b.lang, array_to_string(b.ws, ' ') phrase, b.a, b.l, b.r, b.score from best b left join m using (lang, ws) where m.f is null or 100 * m.f < 50 * b.a),
+             t as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+        select lang, rank, phrase, a, l, r, n, score from t join n using (lang) where rank <= 2000""",
     "op3_embedding_neardup": f"""
         with recursive v as (select vec_id, label, embedding::double[] e from embeddings
                              where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
