@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import decontamination, html, language, lines, lm, minhash, mixing, phrases, sharding, vectors, warc
+from strandlake.llm import alignment, decontamination, html, language, lines, lm, minhash, mixing, phrases, quality, sharding, vectors, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,16 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(light, 24, order=order).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measure(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, _read(spark, sf_dir, "labels"), label="quality", folds=5, held=0)
+    return quality.score(docs, model, least=0.3).select("doc_id", (language.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_decontaminate": op9_decontaminate,
     "op10_shard": op10_shard,
+    "op11_align_tokenizers": op11_align_tokenizers,
+    "op12_quality": op12_quality,
     "op13_phrases": op13_phrases,
 }
 
