@@ -101,7 +101,8 @@ class Pair:
 
     def _aligned(self, text: str) -> tuple[list[int], list[int]] | None:
         """Token ids of A and B, or None if the bytes of either are not the text's."""
-        a, b, raw = self._a.encode(text, add_special_tokens=False).ids, self._b.encode(text[1:]), text.encode()
+        a, raw = self._a.encode(text, add_special_tokens=False).ids, text.encode()
+        b = self._b.encode(text[1:]) if len(text) > 1 else [self._b.piece_to_id("▁")]  # B adds no space to nothing
         same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
         return (a, b) if same else None
 
