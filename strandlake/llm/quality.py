@@ -137,14 +137,14 @@ def _vectors(df: DataFrame) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["slab"])
-        return pa.table({"c": pa.array([rows[0]["c"]], pa.int32()), "x": pa.array([sum(np.frombuffer(r["x"], np.float64) for r in rows).tobytes()], pa.binary())})
+        return pa.table({"c": pa.array([rows[0]["c"]], pa.int32()), "x": pa.array([sum(_unpack(r["x"], np.float32).astype(np.float64) for r in rows).tobytes()], pa.binary())})
 
     got = sorted(df.groupBy("c").applyInArrow(add, "c int, x binary").collect())  # a vector of _D numbers
     return np.concatenate([np.frombuffer(r["x"], np.float64) for r in got]) if got else np.zeros(0)
 
 
 def _chunked(slab: int, x: np.ndarray) -> list[dict]:
-    return [{"slab": slab, "c": i, "x": x[at : at + _CHUNK].tobytes()} for i, at in enumerate(range(0, len(x), _CHUNK))]
+    return [{"slab": slab, "c": i, "x": _pack(x[at : at + _CHUNK].astype(np.float32))} for i, at in enumerate(range(0, len(x), _CHUNK))]
 
 
 def _slab_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict], bytes | None]]:
@@ -236,13 +236,14 @@ def fit(
     slabs = -(-total // _SLAB) or 1
     docs_of = rows.select(F.pmod(F.xxhash64("k"), F.lit(slabs)).alias("slab"), F.struct("k", "y", "tune", F.col("d.x").alias("x")).alias("doc"))
     table = scratch.table(docs_of.groupBy("slab").agg(F.array_sort(F.collect_list("doc")).alias("docs")), "slabs")  # _SLAB features each
+    scratch.drop(rows)
     n = _vectors(table.mapInArrow(_counts, "slab bigint, c int, x binary"))
     n = n.reshape(2, _D + 1) if len(n) else np.zeros((2, _D + 1))
     ratio, many = log_count_ratio(n[:, :_D]), n[:, _D]
     weight = np.zeros(_D)
     if many.min() > 0:
         c = cost * many.sum() / (2 * many)
-        alphas = table.select("slab", F.lit(None).cast("binary").alias("alpha"))
+        alphas, last = table.select("slab", F.lit(None).cast("binary").alias("alpha")), None
         for r in range(rounds):
             shared = spark.sparkContext.broadcast((ratio, weight, c))  # twice _D numbers
 
@@ -263,7 +264,9 @@ def fit(
 
             # alphas are 16 * per_class numbers at most
             done = scratch.table(table.join(F.broadcast(alphas), "slab").mapInArrow(step, "slab bigint, c int, x binary"), f"round-{r}")
-            alphas = done.where("c = -1").select("slab", F.col("x").alias("alpha"))
+            if last is not None:
+                scratch.drop(last)
+            alphas, last = done.where("c = -1").select("slab", F.col("x").alias("alpha")), done
             weight = weight + _vectors(done.where("c >= 0"))
     model = Model(ratio, weight, 0.0, 0.0)
     shared = spark.sparkContext.broadcast(model)
