@@ -42,6 +42,7 @@ UNSHOWN = frozenset("head script style template title iframe noembed noframes no
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())  # may stand in head; anything else ends it
 # What this module takes for boilerplate.
 CHROME = frozenset("nav footer aside form menu dialog button select input textarea search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
@@ -144,15 +145,20 @@ def parse(page: str) -> Node:
                 blocks.pop()
             depth_main -= bool(x.main)
 
+    def text(part: str) -> None:
+        if stack[-1].tag == "head" and not part.isspace():
+            pop(opened["head"][-1])
+        stack[-1].children.append(part)
+
     top = lambda names: max((opened[t][-1] for t in names if opened[t]), default=0)
     while pos < n:
         at = page.find("<", pos)
         if at < 0 or at > last:
-            stack[-1].children.append(page[pos:])
+            text(page[pos:])
             break
         nxt = page[at + 1 : at + 2]
         if page.startswith("<!--", at):
-            end = page.find("-->", at + 4)
+            end = page.find("-->", at + 2)  # <!--> and <!---> are comments too
             m, end = None, n if end < 0 else end + 3
         elif nxt in "!?" and nxt:
             m, end = None, page.find(">", at) + 1
@@ -163,15 +169,15 @@ def parse(page: str) -> Node:
                 m = tags.match(page, at)
             end = m.end() if m else at + 1
             if m is None:
-                stack[-1].children.append(page[pos:end])
+                text(page[pos:end])
                 pos = end
                 continue
         else:
-            stack[-1].children.append(page[pos : at + 1])
+            text(page[pos : at + 1])
             pos = at + 1
             continue
         if at > pos:
-            stack[-1].children.append(page[pos:at])
+            text(page[pos:at])
         pos = end
         if m is None:
             continue
@@ -180,6 +186,8 @@ def parse(page: str) -> Node:
             if opened[tag]:
                 pop(opened[tag][-1])
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:  # its end tag may be left out
+            pop(opened["head"][-1])
         if tag in BLOCK and opened["p"] and opened["p"][-1] == blocks[-1]:
             pop(blocks[-1])
         if tag in _CLOSES:

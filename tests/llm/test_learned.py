@@ -333,6 +333,10 @@ def test_passes_follow_the_data():
         ("<p>a < b and c<d </p>", "a < b and c"),
         ("<div class='header-fixed'><div class=sidebar>s<article>t</article></div><main><p>k</p></main></div>", "k"),
         ("<div class=comments><article class=comment>c</article></div><article hidden>h</article><p>k</p>", "k"),
+        ("<head><title>T</title><body><article><p>Hello</article>", "Hello"),
+        ("<html><head><meta charset=utf-8><script>s</script><link rel=x><p>Para", "Para"),
+        ("<head><style>s</style>\n plain text<p>more", "plain text\n\nmore"),
+        ("<!--><p>a</p><!-- a > b --><p>b</p><!---><p>c</p>", "a\n\nb\n\nc"),
         ('<p title="a>b">x</p><div id="ads-top">ad</div></div></p>y', "x\n\ny"),
     ],
 )
