@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, clustering, coverage, kv, pangenome, reads, reports, sketches
+from strandlake.operators import centroids, clustering, coverage, kv, mapping, pangenome, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.planner import Item, Planner
 from strandlake.plans.types import standard
@@ -671,6 +671,35 @@ def seed_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.placements(_pieces(spark, sf_dir).select((F.col("item_id") * 1000 + F.col("p")).alias("read"), "seq"), c, 15)
 
 
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads cut from the items at every 40th base, 140 bases each, in turn as they are, with a base changed and three left out, complemented with three put in, complemented with both."""
+    c = sequences(spark, sf_dir, "benchmark").where(F.length("seq") >= 140)
+    c = c.select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 140) / 40).cast("int"))).alias("p"))
+    s = F.col("seq").substr(40 * F.col("p") + 1, F.lit(140))
+    part = lambda a, b: s.substr(a + 1, b - a)
+    changed = F.concat(part(0, 60), F.translate(part(60, 61), "ACGT", "CATG"), part(61, 100), part(103, 140))
+    longer = F.concat(part(0, 80), F.translate(part(80, 83), "ACGT", "TGAC"), part(80, 140))
+    both = F.concat(part(0, 30), F.translate(part(30, 33), "ACGT", "TGAC"), part(30, 60), F.translate(part(60, 61), "ACGT", "CATG"), part(61, 100), part(103, 140))
+    kind = F.col("p") % 4
+    read = F.when(kind == 0, s).when(kind == 1, changed).when(kind == 2, S.reverse_complement(longer)).otherwise(S.reverse_complement(both))
+    return c.select((F.col("item_id") * 1000 + F.col("p")).alias("read"), read.alias("seq"))
+
+
+@query(f"""
+with c as (select item_id, {_DNA} seq from benchmark),
+p as (select item_id, unnest(range(0, (length(seq) - 140) // 40 + 1)) p, seq from c where length(seq) >= 140),
+s as (select item_id * 1000 + p as "read", p % 4 kind, substr(seq, 40 * p + 1, 140) s from p),
+r as (select "read", kind, s, case kind when 0 then s when 1 then s[1:60] || translate(s[61:61], 'ACGT', 'CATG') || s[62:100] || s[104:140] when 2 then s[1:80] || translate(s[81:83], 'ACGT', 'TGAC') || s[81:140]
+  else s[1:30] || translate(s[31:33], 'ACGT', 'TGAC') || s[31:60] || translate(s[61:61], 'ACGT', 'CATG') || s[62:100] || s[104:140] end q from s),
+h as (select r.*, c.item_id contig, strpos(c.seq, r.s) - 1 as "start" from r join c on contains(c.seq, r.s))
+select "read", contig, case when kind < 2 then '+' else '-' end strand, "start"::bigint as "start", "start" + 140 as "end", levenshtein(q, s)::bigint edits
+from h qualify row_number() over (partition by "read" order by contig) = 1""")
+def read_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the items with known changes come back to where they are from; the edit distance is that of SQL."""
+    contigs = sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("contig"), "seq")
+    return mapping.align(_planted(spark, sf_dir), contigs, k=11).select("read", "contig", "strand", "start", "end", "edits")
+
+
 @query(f"""
 with x as (select distinct item_id i, unnest({_KM.format(k=9)}) km from (select item_id, {_DNA} seq from benchmark))
 select x.i a, y.i b, count(*) shared from x join x y using (km) where x.i < y.i group by all having count(*) >= 2""")
