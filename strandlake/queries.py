@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, clustering, coverage, kv, mapping, pangenome, reads, reports, sketches
+from strandlake.operators import assembly, centroids, clustering, coverage, kv, mapping, pangenome, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.planner import Item, Planner
 from strandlake.plans.types import standard
@@ -707,6 +707,57 @@ def read_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.overlaps(sequences(spark, sf_dir, "benchmark").select(F.col("item_id").alias("read"), "seq"), 9, 2)
 
 
+def _tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads of 120 bases from every 40th base of the items, while 30 bases are left, every other one reverse-complemented."""
+    c = sequences(spark, sf_dir, "benchmark").where(F.length("seq") > 0)
+    c = c.select("item_id", "seq", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 30, F.lit(0)) / 40).cast("int"))).alias("p"))
+    s = F.col("seq").substr(40 * F.col("p") + 1, F.lit(120))
+    return c.select((F.col("item_id") * 1000 + F.col("p")).alias("read"), F.when(F.col("p") % 2 == 1, S.reverse_complement(s)).otherwise(s).alias("seq"))
+
+
+_TILED = f"""c as (select item_id, length({_DNA}) size from benchmark), p as (select item_id, size, unnest(range(0, greatest(size - 30, 0) // 40 + 1)) p from c where size > 0),
+r as (select item_id, item_id * 1000 + p as "read", p, p % 2 = 1 rev, 40 * p s, least(40 * p + 120, size) e, size from p)"""
+
+
+@query(f"""
+with {_TILED},
+o as (select x.read a, x.rev ar, x.s sa, x.e ea, y.read b, y.rev br, y.s sb, y.e eb, greatest(x.s, y.s) s, least(x.e, y.e) e from r x join r y on x.item_id = y.item_id and x.read < y.read)
+select a, (ea - sa)::bigint a_len, (case when ar then ea - e else s - sa end)::bigint a_start, (case when ar then ea - s else e - sa end)::bigint a_end, ar <> br rev,
+       b, (eb - sb)::bigint b_len, (case when ar then eb - e else s - sb end)::bigint b_start, (case when ar then eb - s else e - sb end)::bigint b_end
+from o where e - s >= 30""")
+def minimizer_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of exact reads come out with the places they were cut from."""
+    reads_ = _tiled(spark, sf_dir)
+    x = assembly.exact(assembly.overlaps(reads_, k=11), reads_).where("a_end - a_start >= 30")
+    return x.drop("seeds")
+
+
+@query(f"""
+with {_TILED}, w as (select *, max(p) over (partition by item_id) last, max(e) over (partition by item_id) tail from r where p = 0 or 40 * (p - 1) + 120 < size)
+select read, rev, item_id * 1000 head, false head_rev, p::bigint n, (40 * p)::bigint "at" from w
+union all select read, not rev, item_id * 1000 + last, last % 2 = 0, last - p, tail - e from w""")
+def string_graph_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads of an item, which overlap their next two neighbours, come back in a row, in both orientations."""
+    reads_ = _tiled(spark, sf_dir)
+    found = workspace.table(assembly.exact(assembly.overlaps(reads_, k=11), reads_).where("a_end - a_start >= 30"), "overlaps")
+    return assembly.unitigs(assembly.string_graph(found), reads_.join(assembly.contained(found), "read", "left_anti"))
+
+
+_RC = "translate(reverse({}), 'ACGT', 'TGCA')"
+
+
+@query(f"""
+with recursive s as (select {_DNA} seq from benchmark), f as (select distinct unnest(list_transform(range(1, length(seq) - 19), lambda i: substr(seq, i, 21))) km from s where length(seq) >= 21),
+v as materialized (select km v from f union select {_RC.format('km')} from f),
+e as (select x.v, y.v w from v x join v y on substr(x.v, 2) = substr(y.v, 1, 20)),
+g as materialized (select v, w from e where v in (select v from e group by v having count(*) = 1) and w in (select w from e group by w having count(*) = 1)),
+r as (select v head, v, 0 n from v where v not in (select w from g) union all select r.head, g.w, n + 1 from r join g on g.v = r.v),
+u as (select head, substr(head, 1, 20) || string_agg(substr(v, 21, 1), '' order by n) seq, count(*) kmers from r group by head having min(v) <= min({_RC.format('v')}))
+select least(seq, {_RC.format('seq')}) seq, kmers from u""")
+def debruijn_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.debruijn_unitigs(sequences(spark, sf_dir, "benchmark").select("seq"), 21)
+
+
 @query(f"""
 with s as (select doc_id id, {_DNA} seq from documents), k as (select id, length(seq) len, unnest({_KM.format(k=10)}) km from s),
 h as (select id, len, ('0x' || substr(md5(km), 1, 15))::bigint h from k), f as (select id, any_value(len) len, h % 8 b, min(h) h from h group by id, h % 8),
