@@ -1,11 +1,11 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-A label in which passes would cost as much as comparing all pairs in blocks is compared whole: that is so in small
-labels, and in larger ones whose vectors are so alike that most pairs of a window must be verified. For the others each pass gives
-every vector a key of 64 random hyperplane signs, concatenated (of the vector less the label's mean, where that is long);
+Each pass gives every vector a key of 64 random hyperplane signs, concatenated (of the vector less the label's mean, where that is long);
 vectors are sorted by label and key, and each is compared with the next ``window`` in the order, by the Hamming distance of
 sketches. Only keys are sorted and moved in a pass, not vectors. Every candidate of any pass is verified by cosine in
-double precision, and links are united to components. The number of passes is measured on a sample of the label.
+double precision, and links are united to components. A label that fits into one window needs one pass; for larger ones the number
+of passes is measured on a sample of the label. With ``whole`` all pairs of a label are compared in blocks instead, which
+misses nothing and takes work of the square of a label.
 
 A cluster larger than a window is found through the links inside the windows; its links are then counted
 exactly by comparing the members of the component with each other in blocks, of which none is
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm.graph import connected_components
@@ -28,7 +28,6 @@ from strandlake.llm.scratch import Scratch
 _U = np.uint64
 _BLOCK, _CHUNK, _WHOLE = 4096, 1024, 8192
 _SAMPLE, _TRIALS, _PROBES = 2000, 48, 64
-_VERIFY = 200  # what it costs to verify a candidate, in pairs of a block
 
 
 def passes_needed(rows: int, window: int, threshold: float, miss: float) -> int:
@@ -86,15 +85,6 @@ def _most(bits: int, threshold: float) -> int:
     return math.ceil(expect + 5 * math.sqrt(expect * (1 - expect / bits)))
 
 
-def _passing(x: np.ndarray, centre: np.ndarray, moved: bool, threshold: float, seed: int) -> float:
-    """The share of pairs in a window whose sketches are near enough to be verified, by neighbours in the sample's order."""
-    code, sketch = _bits(x - centre, seed + 1), _bits(x, seed)
-    order = np.argsort(code)
-    code, sketch = code[order], sketch[order]
-    hit = [_near(sketch[:-k], sketch[k:], code[:-k], code[k:], moved, threshold) for k in range(1, min(9, len(x)))]
-    return float(np.concatenate(hit).mean()) if hit else 0.0
-
-
 def _near(s: np.ndarray, t: np.ndarray, c: np.ndarray, e: np.ndarray, moved: np.ndarray | bool, threshold: float) -> np.ndarray:
     """Whether the sketches s and t, and the keys c and e unless they were moved, leave a pair at the threshold possible."""
     d = np.bitwise_count(s ^ t).astype(np.int16)
@@ -102,7 +92,7 @@ def _near(s: np.ndarray, t: np.ndarray, c: np.ndarray, e: np.ndarray, moved: np.
 
 
 def _plan(window: int, threshold: float, miss: float, passes: int | None, seed: int):
-    """(lab, whole, centre, passes) of a label from a sample of its vectors."""
+    """(lab, centre, passes) of a label from a sample of its vectors."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -112,7 +102,7 @@ def _plan(window: int, threshold: float, miss: float, passes: int | None, seed:
         centre = mean if mean @ mean > 0.1 else None
         hit = _hits(x, 0 * mean if centre is None else centre, n, window, threshold, seed)
         p = passes or max(passes_needed(n, window, threshold, miss), math.ceil(math.log(miss) / math.log(1 - min(hit, 0.999))))
-        return pa.table({"lab": table.column("lab").slice(0, 1), "whole": [2 * p * window * (1 + _VERIFY * _passing(x, 0 * mean if centre is None else centre, centre is not None, threshold, seed)) >= n], "centre": pa.array([centre], pa.list_(pa.float64())), "passes": pa.array([p], pa.int32())})
+        return pa.table({"lab": table.column("lab").slice(0, 1), "centre": pa.array([centre], pa.list_(pa.float64())), "passes": pa.array([p], pa.int32())})
 
     return run
 
@@ -215,15 +205,15 @@ def _count(threshold: float):
 
 def near_duplicates(
     rows: DataFrame, *, key: str = "vec_id", vector: str = "embedding", label: str = "label",
-    threshold: float = 0.93, window: int = 256, miss: float = 1e-4, passes: int | None = None, seed: int = 5,
+    threshold: float = 0.93, window: int = 256, miss: float = 1e-4, passes: int | None = None, whole: bool = False, seed: int = 5,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) for every row.
 
     Vectors are compared if their labels are equal and not null and their dimensions are equal. A vector that is null,
     empty, zero or has a null or non-finite component is linked with nothing. Equal vectors are linked. Ids may be
     null or repeat: each row counts as a vector; a component is named by its smallest id. Passes
-    follow from the rows of a label and a sample of its vectors, so that a pair at the threshold is in no window with a
-    chance of ``miss``; a label with at most 2 * passes * window * (1 + 200 * share of pairs to verify) rows is compared whole. Empty tables give no rows; other columns, of any name, are ignored.
+    follow from the rows of a label and a sample of some 2,000 of its vectors, so that a pair at the threshold is in no window with a
+    chance of ``miss``; ``whole`` compares all pairs of each label instead. Empty tables give no rows; other columns, of any name, are ignored.
     """
     scratch = Scratch(rows.sparkSession, "vectors")
     v = F.col(f"`{vector}`").cast("array<double>")
@@ -233,18 +223,19 @@ def near_duplicates(
     classes = base.where("v is not null").groupBy("node", "node2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("lab").alias("lab"), F.first("v").alias("v"))
     classes = scratch.table(classes, "classes")
     sizes = classes.groupBy("lab").agg(F.count("*").alias("n"))
-    certain = F.col("n") <= 8 * window  # there are four passes at least
-    some = classes.join(sizes.where(~certain), "lab").withColumn("r", F.row_number().over(Window.partitionBy("lab").orderBy("node"))).where(F.col("r") <= _SAMPLE)
-    plan = some.select("lab", "n", "v").groupBy("lab").applyInArrow(_plan(window, threshold, miss, passes, seed), "lab bigint, whole boolean, centre array<double>, passes int")
-    plan = scratch.table(sizes.join(plan, "lab", "left").withColumn("whole", F.coalesce("whole", F.lit(True))), "plan")
+    fits = F.col("n") <= window + 1
+    share = F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1 << 32)) < F.lit(float(_SAMPLE << 32)) / F.col("n")
+    some = classes.join(sizes.where(F.lit(not whole) & ~fits), "lab").where(share)
+    plan = some.select("lab", "n", "v").groupBy("lab").applyInArrow(_plan(window, threshold, miss, passes, seed), "lab bigint, centre array<double>, passes int")
+    plan = scratch.table(sizes.join(plan, "lab", "left").select("lab", "n", "centre", F.when(F.lit(not whole), F.coalesce("passes", F.lit(1))).alias("passes")), "plan")
 
-    cut = plan.where("whole and n > 1").select("lab", F.expr(f"cast(ceil(n / {_WHOLE}) as int)").alias("chunks"))
+    cut = plan.where("passes is null and n > 1").select("lab", F.expr(f"cast(ceil(n / {_WHOLE}) as int)").alias("chunks"))
     cells = classes.join(cut, "lab").withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.select("lab", "node", "v", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"))
     exact = cells.groupBy("lab", "lo", "hi").applyInArrow(_whole(threshold), "a bigint, b bigint")
 
-    rest = classes.join(plan.where("not whole").select("lab", "centre", "passes"), "lab")
+    rest = classes.join(plan.where("passes is not null and n > 1").select("lab", "centre", "passes"), "lab")
     keys = _keys(rest, seed).repartitionByRange("pass", "lab", "code", "node").sortWithinPartitions("pass", "lab", "code", "node")
     keys = scratch.table(keys.withColumn("at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("at", 33)

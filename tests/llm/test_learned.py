@@ -289,16 +289,35 @@ def alike(rng, n, pairs, cosine, dim=64):
     return np.concatenate([x, 0.95 * x[:pairs] + math.sqrt(1 - 0.95**2) * side])
 
 
-@pytest.mark.parametrize("window,cosine", [(256, 0.88), (256, 0.85), (32, 0.7)])  # compared whole, whole, and in passes
-def test_vectors_of_an_alike_label(spark, window, cosine, monkeypatch):
+@pytest.mark.parametrize("window,cosine,whole", [(256, 0.88, True), (256, 0.85, False), (256, 0.0, False), (32, 0.7, False)])
+def test_vectors_of_an_alike_label(spark, window, cosine, whole):
     n = 4000
-    monkeypatch.setattr(vectors, "_VERIFY", 200 if window == 256 else 0)
     x = alike(np.random.default_rng(6), n, 1000, cosine)
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
-    got = {r["id"]: r["n_links"] for r in vectors.near_duplicates(df, window=window, passes=None if window == 256 else 40).collect()}
+    got = {r["id"]: r["n_links"] for r in vectors.near_duplicates(df, window=window, passes=None if window == 256 else 40, whole=whole).collect()}
     want = (x @ x.T >= 0.93).sum(1) - 1
     have = np.array([got[i] for i in range(n)])
-    assert (have == want).all() if window == 256 else have.sum() >= 0.99 * want.sum()
+    assert (have == want).all() if whole else have.sum() >= 0.99 * want.sum()
+
+
+def test_planted_links_in_the_query(spark, tmp_path):
+    """The registered query against its SQL on a table with links, which the given ones have none of."""
+    import duckdb
+
+    from strandlake.llm import queries
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for label in (1, 2, 3, None):
+        x = alike(rng, 700, 200, 0.3 if label == 2 else 0.0, 32)
+        rows += [(len(rows) + i, v.tolist(), label) for i, v in enumerate(x)]
+    rows += [(len(rows) + i, rows[i][1], rows[i][2]) for i in range(0, 300, 7)] + [(90_000, None, 1), (90_001, [0.0] * 32, 1)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.sql(f"select vec_id, n_links, component_id, kept from ({queries.ORACLES['op3_embedding_neardup']})").fetchall()
+    got = [tuple(r) for r in queries.QUERIES["op3_embedding_neardup"](spark, str(tmp_path)).select("vec_id", "n_links", "component_id", "kept").collect()]
+    assert sum(r[1] for r in want) > 1000 and sorted(got) == sorted(want)
 
 
 def test_candidates_are_not_thinned():
