@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,6 +52,38 @@ def mash(sets: DataFrame, name: str, seq: str, k: int, *key: str) -> DataFrame:
     return p.select(*key, "a", "b", "shared", "jaccard", (1 + F.log(2 * F.col("jaccard") / (1 + F.col("jaccard"))) / k).alias("identity"))
 
 
+def frac_sketch(sets: DataFrame, name: str, seq: str, k: int, scaled: int, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(id, h): the distinct hashes of canonical k-mers below one in ``scaled`` of all 63-bit values; some 1/scaled of a sequence's k-mers, the same ones in every sequence."""
+    km = kmer_rows(sets.select(F.col(name).alias("id"), F.upper(seq).alias("s")), "s", k, "id").select("id", F.col("km").cast("string").alias("km"))
+    x = km.where(F.col("km").rlike("^[ACGT]+$")).select("id", (hashed(F.least("km", S.reverse_complement(F.col("km")))).bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF))).alias("h"))
+    return x.where(F.col("h") < F.lit(-(-(1 << 63) // scaled) if scaled > 1 else (1 << 63) - 1)).distinct()
+
+
+def sketch_ani(sketch: DataFrame, k: int, least: float = 0.9) -> DataFrame:
+    """(a, b, shared, containment, identity, error) of all pairs of sketches (id, h) with an identity of ``least`` or more, a before b.
+
+    containment is shared over the hashes of the smaller sketch, identity its k-th root (Hera et al., 2023), error three standard
+    deviations of that from sampling. Pairs are found exactly without every hash being met: in the order of how many sketches have them, rare ones first, two sketches
+    that share a part c of the smaller one share one of its first n - c * n + 1 hashes. So the most frequent hashes of a sketch are no keys of the index,
+    and those that are keys meet only sketches of the same or a larger size. The shared hashes of each pair found are counted once, from both whole sketches.
+    """
+    part = least**k
+    often = sketch.groupBy("h").agg(F.count("*").alias("df"))
+    x = workspace.table(sketch.join(often, "h"), "sketch")
+    whole = workspace.table(x.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("hs"), F.count("*").alias("n")), "sketches")  # one sketch a row
+    w = Window.partitionBy("id").orderBy("df", "h")
+    size = x.join(whole.select("id", "n"), "id")
+    keys = size.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1)
+    small, large = keys.select("h", F.col("id").alias("s"), F.col("n").alias("ns")), size.select("h", F.col("id").alias("l"), F.col("n").alias("nl"))
+    found = small.join(large, "h").where((F.col("ns") < F.col("nl")) | ((F.col("ns") == F.col("nl")) & (F.col("s") < F.col("l")))).select("s", "l").distinct()
+    y = found.join(whole.select(F.col("id").alias("s"), F.col("hs").alias("hs_s"), "n"), "s").join(whole.select(F.col("id").alias("l"), F.col("hs").alias("hs_l")), "l")
+    y = y.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), F.size(F.array_intersect("hs_s", "hs_l")).cast("bigint").alias("shared"), "n")
+    y = y.where(F.col("shared") >= F.col("n") * part - 1e-9).withColumn("containment", F.col("shared") / F.col("n"))
+    c = F.col("containment")
+    spread = F.sqrt(c * (1 - c) / F.col("n")) * F.pow(c, F.lit(1 / k - 1)) / k
+    return y.select("a", "b", "shared", "containment", F.pow(c, F.lit(1 / k)).alias("identity"), (3 * spread).alias("error"))
+
+
 def taxon_votes(reads: DataFrame, reference: DataFrame, name: str, seq: str, taxon: str, k: int) -> DataFrame:
     """(name, taxon, votes): the taxon that most of a read's distinct k-mers vote for, ties by taxon; an approximation of k-mer classifiers."""
     x = _shared(reads, kmer_rows(reference, "seq", k, taxon).select(taxon, "km").distinct(), name, seq, k)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import assembly, centroids, clustering, coverage, kv, mapping, pangenome, reads, reports, sketches
+from strandlake.operators import assembly, centroids, clustering, coverage, kv, mapping, pangenome, reads, reports, sketches, taxonomy
 from strandlake.plans import catalogue
 from strandlake.plans.planner import Item, Planner
 from strandlake.plans.types import standard
@@ -758,6 +758,65 @@ def debruijn_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.debruijn_unitigs(sequences(spark, sf_dir, "benchmark").select("seq"), 21)
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of nations (from 100) in regions (from 1) in the world (0)."""
+    nations = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 100).cast("bigint").alias("node"), (F.col("n_regionkey") + 1).cast("bigint").alias("parent"))
+    regions = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("parent"))
+    return nations.union(regions).union(regions.select("parent", F.lit(None).cast("bigint").alias("parent")).distinct())
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, taxonomy.Tree]:
+    """Documents as reads; the items are references of the nations in turn."""
+    tree = taxonomy.Tree(_places(spark, sf_dir))
+    reference = sequences(spark, sf_dir, "benchmark").select((F.col("item_id") % 25 + 100).alias("taxon"), "seq")
+    reads_ = sequences(spark, sf_dir).select(F.col("doc_id").alias("read"), "seq")
+    return taxonomy.classify(reads_, taxonomy.kmer_taxa(reference, tree, 15), tree, 15), tree
+
+
+_CANON = f"list_transform({_KM.format(k='{k}')}, lambda x: least(x, {_RC.format('x')}))"
+_TAXA = f"""
+recursive t as (select n_nationkey::bigint + 100 node, n_regionkey::bigint + 1 parent from nation union all select r_regionkey::bigint + 1, 0 from region union all select 0, null),
+u as (select node, node ancestor, 0 up from t union all select u.node, t.parent, up + 1 from u join t on t.node = u.ancestor where t.parent is not null),
+deep as materialized (select node, max(up) depth from u group by node),
+b as (select distinct item_id % 25 + 100 taxon, unnest({_CANON.format(k=15)}) km from (select item_id, {_DNA} seq from benchmark)),
+bn as (select km, count(*) n from b group by km),
+ca as (select km, ancestor from b join u on u.node = b.taxon join bn using (km) group by km, ancestor, n having count(*) = n),
+ref as materialized (select km, ancestor taxon from ca join deep on deep.node = ca.ancestor qualify row_number() over (partition by km order by depth desc) = 1),
+q as (select doc_id "read", unnest({_CANON.format(k=15)}) km from (select doc_id, {_DNA} seq from documents)),
+hit as materialized (select "read", taxon, count(*) n from q join ref using (km) group by all),
+sc as (select h."read", h.taxon, sum(g.n)::bigint score from hit h join u on u.node = h.taxon join hit g on g."read" = h."read" and g.taxon = u.ancestor group by all),
+top as (select * from sc qualify score = max(score) over (partition by "read")),
+tn as (select "read", score, count(*) n from top group by all),
+tc as (select "read", tn.score, ancestor from top join u on u.node = top.taxon join tn using ("read") group by "read", tn.score, ancestor, tn.n having count(*) = tn.n),
+best as (select "read", score, ancestor taxon from tc join deep on deep.node = tc.ancestor qualify row_number() over (partition by "read" order by depth desc) = 1),
+cl as (select "read", taxon, score, kmers from best join (select "read", sum(n)::bigint kmers from hit group by "read") using ("read"))"""
+
+
+@query(f"with {_TAXA} select * from cl")
+def taxon_of_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir)[0]
+
+
+@query(f"""with {_TAXA}, own as (select taxon, count(*) own from cl group by taxon)
+select ancestor taxon, depth, sum(own)::bigint clade, coalesce(max(case when ancestor = taxon then own end), 0) own from own join u on u.node = own.taxon join deep on deep.node = u.ancestor group by ancestor, depth""")
+def taxon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, tree = _classified(spark, sf_dir)
+    return taxonomy.report(workspace.table(found, "classified"), tree)
+
+
+@query(f"""
+with k as (select doc_id id, unnest({_CANON.format(k=15)}) km from (select doc_id, {_DNA} seq from documents)),
+s as materialized (select distinct id, ('0x' || substr(md5(km), 1, 15))::bigint * 8 h from k where ('0x' || substr(md5(km), 1, 15))::bigint * 8 < 461168601842738791),
+n as (select id, count(*) n from s group by id), p as (select x.id a, y.id b, count(*) shared from s x join s y using (h) where x.id < y.id group by all),
+c as (select a, b, shared, least(na.n, nb.n) n, shared / least(na.n, nb.n) c from p join n na on na.id = a join n nb on nb.id = b)
+select a, b, shared, round(c, 6) containment, round(pow(c, 1 / 15), 6) as identity, round(3 * sqrt(c * (1 - c) / n) * pow(c, 1 / 15 - 1) / 15, 6) as error from c where shared >= n * pow(0.9, 15) - 1e-9""")
+def sketch_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as genomes, one in twenty of their 15-mers; the hash is one that SQL has."""
+    hashed = lambda km: F.shiftleft(F.conv(F.substring(F.md5(km.cast("binary")), 1, 15), 16, 10).cast("bigint"), 3)
+    x = sketches.sketch_ani(sketches.frac_sketch(sequences(spark, sf_dir), "doc_id", "seq", 15, 20, hashed), 15)
+    return x.select("a", "b", "shared", *(F.round(c, 6).alias(c) for c in ("containment", "identity", "error")))
+
+
 @query(f"""
 with s as (select doc_id id, {_DNA} seq from documents), k as (select id, length(seq) len, unnest({_KM.format(k=10)}) km from s),
 h as (select id, len, ('0x' || substr(md5(km), 1, 15))::bigint h from k), f as (select id, any_value(len) len, h % 8 b, min(h) h from h group by id, h % 8),
