@@ -9,6 +9,7 @@ aligned in Arrow batches; joins, counts and choices between candidates are DataF
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -180,14 +181,29 @@ def chains(anchors: DataFrame, a: str, b: str, *, spread: int = 64) -> DataFrame
 # ---- alignment --------------------------------------------------------------------------------------------------
 
 
-def banded(reads: list[bytes], targets: list[bytes], diagonals: list[int], half: int, match: int = 2, mismatch: int = 4, open_: int = 4, extend: int = 2) -> list[tuple[int, int, int, int, int, int, str]]:
+def plain_scores(match: int = 2, mismatch: int = -4) -> np.ndarray:
+    """The score of two characters by their codes."""
+    return np.where(np.eye(256, dtype=bool), match, mismatch).astype(np.int32)
+
+
+@dataclass(frozen=True)
+class Scoring:
+    """Scores of pairs of characters, and what a gap of n of them costs: open_ + n * extend."""
+
+    pairs: np.ndarray = field(default_factory=plain_scores)
+    open_: int = 4
+    extend: int = 2
+
+
+def banded(reads: list[bytes], targets: list[bytes], diagonals: list[int], half: int, scoring: Scoring = Scoring()) -> list[tuple[int, int, int, int, int, int, str]]:
     """Local alignments with affine gaps, all pairs of a batch at once, row by row of the reads.
 
-    Cell (i, o) of a pair stands for base i of the read and base i + diagonal + o - half of its target. A gap of n bases costs open_ + n * extend. A gap along the
+    Cell (i, o) of a pair stands for base i of the read and base i + diagonal + o - half of its target. A gap along the
     target within a row is a running maximum. Returns (score, read from, read to, target from, target to, edits, CIGAR) with = X I D and soft clips; of
     alignments with the same score the one that ends first.
     """
     count, wide, rows = len(reads), 2 * half + 1, max(map(len, reads), default=0)
+    pairs, open_, extend = scoring.pairs, scoring.open_, scoring.extend
     size = np.array([len(r) for r in reads])
     r = np.zeros((count, rows), np.uint8)
     reach = rows + wide
@@ -204,7 +220,7 @@ def banded(reads: list[bytes], targets: list[bytes], diagonals: list[int], half:
     slope = np.arange(wide, dtype=np.int32) * extend
     for i in range(rows):
         base = t[:, i : i + wide]
-        diag = h[:, :wide] + np.where(base == 0, -(1 << 20), np.where(base == r[:, i : i + 1], match, -mismatch))
+        diag = h[:, :wide] + np.where(base == 0, -(1 << 20), pairs[r[:, i : i + 1], base])
         grown = e[:, 1:] - extend
         up = np.maximum(h[:, 1:] - (open_ + extend), grown)
         flat = np.maximum(np.maximum(diag, up), 0)
@@ -267,7 +283,7 @@ def banded(reads: list[bytes], targets: list[bytes], diagonals: list[int], half:
 _ALIGNED = "score bigint, q0 bigint, q1 bigint, t0 bigint, t1 bigint, edits bigint, cigar string"
 
 
-def _aligned(pairs: DataFrame, pad: int) -> DataFrame:
+def aligned(pairs: DataFrame, pad: int, scoring: Scoring = Scoring()) -> DataFrame:
     """Adds the alignment of read ``q`` to window ``t`` near diagonals lo to hi; pairs of like bands and lengths are aligned together."""
     names = [c for c in pairs.columns if c not in ("q", "t")]
     at = [pairs.columns.index(c) for c in names]
@@ -284,7 +300,7 @@ def _aligned(pairs: DataFrame, pad: int) -> DataFrame:
                 while j < len(order) and half[order[j]] == half[order[k]] and (j + 1 - k) * int(size[order[j]]) * (2 * int(half[order[k]]) + 1) <= _CELLS:
                     j += 1
                 some = order[k:j]
-                got = banded([q[i] for i in some], [t[i] for i in some], [int(middle[i]) for i in some], int(half[some[0]]))
+                got = banded([q[i] for i in some], [t[i] for i in some], [int(middle[i]) for i in some], int(half[some[0]]), scoring)
                 cols = [batch.column(c).take(pa.array(some)) for c in at]
                 cols += [pa.array(v, pa.string() if n == 6 else pa.int64()) for n, v in enumerate(zip(*got))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "score", "q0", "q1", "t0", "t1", "edits", "cigar"])
@@ -339,7 +355,7 @@ def align(reads: DataFrame, contigs: DataFrame, *, k: int = 15, w: int = 5, most
     found = found.select("id", "contig", "rev", "lo", "hi", F.greatest(F.lit(0), F.col("lo") - pad).cast("bigint").alias("w0"), F.least("size", F.col("hi") + F.col("len") + pad).cast("bigint").alias("w1"))
     pairs = _windows(found.where("w1 > w0").distinct(), target, tile).join(work, "id")
     pairs = pairs.select("id", "contig", F.when(F.col("rev"), "-").otherwise("+").alias("strand"), "w0", (F.col("lo") - F.col("w0")).alias("lo"), (F.col("hi") - F.col("w0")).alias("hi"), F.when(F.col("rev"), S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).cast("binary").alias("q"), "t")
-    got = _aligned(pairs, pad).where(F.col("score") >= least)
+    got = aligned(pairs, pad).where(F.col("score") >= least)
     got = got.select("id", F.struct((-F.col("score")).alias("loss"), "contig", "strand", (F.col("w0") + F.col("t0")).alias("start"), (F.col("w0") + F.col("t1")).alias("end"), "q0", "q1", "edits", "cigar").alias("m"))
     best = got.groupBy("id").agg(F.min("m").alias("m"))
     back = named.join(work, "seq").select("read", "id").join(best, "id").groupBy("read").agg(F.min("m").alias("m"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, kv, pangenome, reads, reports, sketches
+from strandlake.operators import centroids, kv, pangenome, proteins, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
 from strandlake.plans.planner import Item, Planner, attached, lineage
@@ -318,6 +318,24 @@ def six_frame_orfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("item_id", "o.strand", "o.frame", F.col("o.protein").alias("orf"))
 
 
+@query(f"""
+with s as (select item_id, {_DNA} seq from benchmark), t as (select item_id, '+' strand, seq from s union all select item_id, '-', translate(reverse(seq), 'ACGT', 'TGCA') from s),
+f as (select seq[f + 1:] seq from t, (select unnest([0, 1, 2]) f)),
+p as (select array_to_string(list_transform(range(0, length(seq) // 3), lambda i: code[substr(seq, 3 * i + 1, 3)]), '') protein from f, (select {_CODE} code)),
+o as (select distinct rtrim(unnest(regexp_extract_all(protein, 'M[^*]{{9,}}\\*')), '*') s from p),
+e as (select md5(s) id, s, length(s) n, len(list_filter(range(8, greatest(length(s) - 7, 8), 15), lambda i: translate(s[i + 1], 'LIVMSTFYWEDNQKR', 'ILMVTSYWFDNQERK') <> s[i + 1])) e from o),
+h as (select e.id query, x.id subject, 5 * (e.n - e.e) + e.e score, 1 - e.e / e.n as identity, e.n q_end, strpos(x.s, e.s) - 1 s_start from e join e x on contains(x.s, e.s))
+select query, subject, score::bigint score, round(identity, 6) as identity, 1::double cover, q_end::bigint q_end, s_start::bigint s_start from h qualify row_number() over (partition by query order by subject) = 1""")
+def scored_protein_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items' open frames with every 15th residue replaced by one of its class find the frames that they are from."""
+    orfs = sequences(spark, sf_dir, "benchmark").select(F.explode(sketches.six_frames(F.col("seq"), 10)).alias("o")).select(F.col("o.protein").alias("seq")).distinct()
+    orfs = workspace.table(orfs.select(F.md5(F.col("seq").cast("binary")).alias("id"), "seq"), "frames")
+    swap = lambda c: F.translate(c, "LIVMSTFYWEDNQKR", "ILMVTSYWFDNQERK")
+    changed = F.transform(F.split("seq", ""), lambda c, i: F.when((i % 15 == 8) & (i <= F.length("seq") - 8), swap(c)).otherwise(c))
+    x = proteins.search(orfs.select("id", F.array_join(changed, "").alias("seq")), orfs).where("pos = 1")
+    return x.select("query", "subject", "score", F.round("identity", 6).alias("identity"), "cover", "q_end", "s_start")
+
+
 @query(f"""
 with q as (select distinct item_id * 1000 + p as query, unnest({_KM.format(k=5).replace('seq', 's')}) km from {_PIECES}), c as (select distinct item_id subject, unnest({_KM.format(k=5)}) km from (select item_id, {_DNA} seq from benchmark)),
 nq as (select query, count(*) nq from q group by query), nc as (select subject, count(*) nc from c group by subject),

@@ -162,3 +162,42 @@ def test_align(spark):
         s = seqs[n]
         assert got[n]["score"] == max(smith_waterman(x, g) for g in (genome[0], genome[1], genome[2], genome[5]) for x in (s, rc(s)))
     assert mapping.align(df.limit(0), contigs).count() == 0 and mapping.align(df, contigs.limit(0)).count() == 0
+
+
+def test_protein_search(spark):
+    from strandlake.operators import proteins
+
+    rng = random.Random(7)
+    letters = "ARNDCQEGHILKMFPSTWYV"
+    scoring = proteins.class_scores()
+
+    def full(a, b):
+        low, top = -(10**6), 0
+        h, e = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], [[low] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            f = low
+            for j in range(1, len(b) + 1):
+                e[i][j] = max(h[i - 1][j] - 10, e[i - 1][j] - 1)
+                f = max(h[i][j - 1] - 10, f - 1)
+                h[i][j] = max(0, h[i - 1][j - 1] + int(scoring.pairs[ord(a[i - 1]), ord(b[j - 1])]), e[i][j], f)
+                top = max(top, h[i][j])
+        return top
+
+    targets = [(i, dna(rng, rng.randrange(60, 160), letters)) for i in range(25)]
+    targets += [(100 + i, targets[i][1][10:50] + dna(rng, 30, letters)) for i in range(8)]
+    queries = []
+    for i in range(20):
+        s = rng.choice(targets)[1]
+        s = "".join(rng.choice(letters) if rng.random() < 0.15 else c for c in s)
+        queries.append((i, s[: len(s) // 2] + rng.choice(["", "AG", "WWW"]) + s[len(s) // 2 + 1 :]))
+    queries += [(90, None), (91, ""), (92, "MK"), (93, "X" * 40)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, seq string")
+    got = proteins.search(frame(queries), frame([*targets, (200, None)])).collect()
+    top = {r["query"]: r for r in got if r["pos"] == 1}
+    assert set(top) == set(range(20))
+    for i, s in queries[:20]:
+        scores = {t: full(s, x) for t, x in targets}
+        best = max(scores.values())
+        assert top[i]["score"] == best and top[i]["subject"] == min(t for t, v in scores.items() if v == best)
+        assert 0.6 <= top[i]["identity"] <= 1 and 0 < top[i]["cover"] <= 1
+    assert proteins.search(frame(queries).limit(0), frame(targets)).count() == 0
