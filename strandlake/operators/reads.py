@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake import workspace
 from strandlake.functions import sequence as S
 from strandlake.operators.ordering import ranked, running
 from strandlake.operators.sizes import broadcast_if_small
+from strandlake.operators.sketches import kmer_rows
 
 
 def n50(rows: DataFrame, length: str, *key: str) -> DataFrame:
@@ -45,8 +47,9 @@ def best_bases(reads: DataFrame, length: str, score: str, tie: str, share: float
 
     With a key each of its groups has its own budget; target may then be a column. Scores are put in 4,096 bins first: the running
     sum goes over one row for each bin, and reads are ordered only inside the bins in which a budget ends, by
-    ranges, so that no task holds all reads of a bin. A null score comes last.
+    ranges, so that no task holds all reads of a bin. A null score comes last. The reads are written once, as four steps read them.
     """
+    reads = workspace.table(reads, "reads")
     k = [F.col(key)] if key else []
     ends = reads.groupBy(*[c.alias("__k") for c in k]).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
     same = F.col("__k").eqNullSafe(F.col(key)) if key else F.lit(True)
@@ -118,11 +121,30 @@ def trim_adapters(reads: DataFrame, adapters: DataFrame, key: str, seq: str, k:
     for n in range(shortest, k):
         known = known.union(ad.where(F.length("a") >= n).select(F.explode(near(F.substring("a", 1, n), n)).alias("km")))
     known = broadcast_if_small(known.distinct())  # some seventy times the adapters' bases
-    own = reads.select(F.upper(seq).alias("__s")).where(F.col("__s").isNotNull()).distinct()
-    n = F.length("__s")
-    ends = F.transform(F.filter(F.sequence(F.lit(shortest), F.lit(k - 1)), lambda m: m <= n), lambda m: F.struct((n - m).alias("p"), F.expr("__s").substr(n - m + 1, m).alias("km")))
-    whole = F.transform(S.kmers(F.col("__s"), k), lambda x, i: F.struct(i.alias("p"), x.alias("km")))
-    at = own.select("__s", F.explode(F.concat(whole, ends)).alias("z")).select("__s", "z.p", "z.km").join(known, "km", "left_semi")
-    at = at.groupBy("__s").agg(F.min("p").alias("__at"))
-    out = reads.join(at, F.upper(seq) == F.col("__s"), "left")
-    return out.withColumn("trimmed", F.substring(F.col(seq), F.lit(1), F.coalesce("__at", F.length(seq)))).drop("__s", "__at")
+    named = lambda c: F.md5(c.cast("binary"))
+    own = reads.select(F.upper(seq).alias("s")).where(F.col("s").isNotNull()).distinct().select(named(F.col("s")).alias("__id"), "s")
+    whole = kmer_rows(own, "s", k, "__id").select("__id", F.col("pos").alias("p"), F.col("km").cast("string").alias("km"))
+    n = F.length("s")
+    ends = own.select("__id", F.explode(F.transform(F.filter(F.sequence(F.lit(shortest), F.lit(k)), lambda m: (m <= n) & (m < k)), lambda m: F.struct((n - m).alias("p"), F.expr("s").substr(n - m + 1, m).alias("km")))).alias("z"))
+    at = whole.unionByName(ends.select("__id", "z.p", "z.km")).join(known, "km", "left_semi").groupBy("__id").agg(F.min("p").alias("__at"))
+    out = reads.join(at, named(F.upper(seq)) == F.col("__id"), "left")
+    return out.withColumn("trimmed", F.substring(F.col(seq), F.lit(1), F.coalesce("__at", F.length(seq)))).drop("__id", "__at")
+
+
+def trim_pairs(forward: DataFrame, reverse: DataFrame, adapters: DataFrame, on: list[str], seq: str, *, k: int = 23, shortest: int = 11, mismatches: int = 1, even: bool = True, overlap: int = 24) -> DataFrame:
+    """(on..., forward, reverse): pairs of reads, both trimmed by adapters and by their own overlap.
+
+    Where a fragment is shorter than its reads each read runs into the adapter behind the other end; then the first m bases of the forward read are the
+    reverse complement of the first m of the reverse read. The largest such m of at least ``overlap`` bases and less than either read is where both end, without any adapter being known.
+    ``even`` cuts both reads of a pair to the shorter one where either was trimmed by an adapter. Rows without a partner, or with a null sequence, are left out.
+    """
+    one = lambda d, c: trim_adapters(d.select(*on, F.upper(seq).alias("s")), adapters, on[0], "s", k, shortest, mismatches).select(*on, F.col("s").alias(c), F.length("trimmed").alias(f"n_{c}"))
+    x = one(forward, "f").join(one(reverse, "r"), on).where("f is not null and r is not null")
+    least = F.least(F.length("f"), F.length("r"))
+    lengths = F.when(least > overlap, F.sequence(least - 1, F.lit(overlap), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    turned = S.reverse_complement(F.col("r"))
+    # the reverse complement of the first m bases of r is the last m of its own reverse complement
+    met = F.get(F.filter(lengths, lambda m: F.col("f").substr(F.lit(1), m) == turned.substr(F.length("r") - m + 1, m)), F.lit(0))
+    cut = F.when((F.col("n_f") < F.length("f")) | (F.col("n_r") < F.length("r")), F.least("n_f", "n_r"))
+    end = lambda c: F.least(F.col(f"n_{c}"), F.coalesce(cut, F.col(f"n_{c}")) if even else F.col(f"n_{c}"), F.coalesce(met, F.length(c)))
+    return x.select(*on, F.col("f").substr(F.lit(1), end("f")).alias("forward"), F.col("r").substr(F.lit(1), end("r")).alias("reverse"))

@@ -360,6 +360,41 @@ def adapter_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", F.length("trimmed").cast("bigint").alias("kept_bases"))
 
 
+@query(f"""
+with a as (select {_DNA} a from benchmark), k as (select unnest({_KM.format(k=15).replace('seq', 'a')}) km from a),
+near(n, km) as (select 15, km from k union all select n, substr(a, 1, n) from a, (select unnest(range(9, 15)) n) where length(a) >= n),
+known as (select distinct n, substr(km, 1, i) || c || substr(km, i + 2) km from near, (select unnest(range(0, 15)) i), (select unnest(['A', 'C', 'G', 'T']) c) where i < n),
+r as (select item_id, p, s from {_PIECES}), w as (select item_id, p, substr(s, 3, 40) || 'A' || substr(s, 1, 12) s from r),
+z as (select item_id, p, s, 15 n, unnest(range(0, greatest(length(s) - 14, 0))) o from w union all select item_id, p, s, n, length(s) - n from w, (select unnest(range(9, 15)) n) where length(s) >= n),
+m as (select item_id, p, min(o) o from z join known on known.n = z.n and known.km = substr(z.s, z.o + 1, z.n) group by all)
+select item_id, p, coalesce(o, length(s))::bigint kept_bases from w left join m using (item_id, p)""")
+def adapter_trimming_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items stand for adapters, turned pieces of them for reads: k-mers and short ends in which one base may differ."""
+    ad = sequences(spark, sf_dir, "benchmark").select("seq")
+    s = F.col("seq")
+    r = _pieces(spark, sf_dir).select("item_id", "p", F.concat(s.substr(3, 40), F.lit("A"), s.substr(1, 12)).alias("seq"), F.concat_ws(":", "item_id", "p").alias("id"))
+    x = reads.trim_adapters(r, ad, "id", "seq", 15, 9, 1)
+    return x.select("item_id", "p", F.length("trimmed").cast("bigint").alias("kept_bases"))
+
+
+@query(f"""
+with r as (select item_id, p, s from {_PIECES} where length(s) = 60),
+f as (select item_id, p, 30 + (item_id * 7 + p) % 45 n, s from r),
+g as (select item_id, p, n, substr(s, 1, n) || case when n < 60 then 'ACCA' else '' end fwd, translate(reverse(substr(s, 1, n)), 'ACGT', 'TGCA') || case when n < 60 then 'GGTT' else '' end rev from f),
+m as (select *, list_filter(range(least(length(fwd), length(rev)) - 1, 23, -1), lambda m: substr(fwd, 1, m) = translate(reverse(substr(rev, 1, m)), 'ACGT', 'TGCA')) ms from g)
+select item_id, p, length(substr(fwd, 1, coalesce(ms[1], length(fwd))))::bigint n_forward, length(substr(rev, 1, coalesce(ms[1], length(rev))))::bigint n_reverse from m""")
+def pair_trimming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of fragments that are shorter than their reads; nothing is known of the adapter."""
+    r = _pieces(spark, sf_dir).where(F.length("seq") == 60).withColumn("n", (30 + (F.col("item_id") * 7 + F.col("p")) % 45).cast("int"))
+    part = F.col("seq").substr(F.lit(1), F.col("n"))
+    more = lambda a: F.when(F.col("n") < 60, F.lit(a)).otherwise(F.lit(""))
+    fwd = r.select("item_id", "p", F.concat(part, more("ACCA")).alias("seq"))
+    rev = r.select("item_id", "p", F.concat(S.reverse_complement(part), more("GGTT")).alias("seq"))
+    none = sequences(spark, sf_dir, "benchmark").select("seq").where("seq = ''")
+    x = reads.trim_pairs(fwd, rev, none, ["item_id", "p"], "seq")
+    return x.select("item_id", "p", F.length("forward").cast("bigint").alias("n_forward"), F.length("reverse").cast("bigint").alias("n_reverse"))
+
+
 @query("""
 select n_nationkey, case when max(length(p_name)) >= 20 then 'long' else '{"records":[],"version":"mock","input_file":"' || n_nationkey || '","note":"Skipped: all contigs < 20 bp"}' end as value
 from nation join part on p_partkey % 25 = n_nationkey group by n_nationkey""")
