@@ -16,8 +16,9 @@ from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
 from strandlake.plans.planner import Item, Planner, attached, lineage
 from strandlake.plans.types import standard
-from strandlake.queries import _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
+from strandlake.queries import _CANON, _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
 from strandlake.sources import external, records, sinks, tables
+from strandlake.streaming import centroids as arriving
 
 # ---- readers ----------------------------------------------------------------------------------------------------
 
@@ -515,3 +516,20 @@ def sample_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = {v: str(k) for k, v in names.items()}
     rows = [(heads[min(i.id for i in v.instances() if i.id in heads)], i.id, i.type, len(i.ancestors)) for v in again.as_samples("sequences::read_metadata") for i in v.items()]
     return spark.createDataFrame(rows, "region string, id string, type string, ancestors bigint")
+
+
+@query(f"""
+with k as (select doc_id, seq, list_sort(list_distinct({_CANON.format(k=15)})) ks from (select doc_id, {_DNA} seq from documents)),
+g as (select doc_id, case when len(ks) > 0 then md5(array_to_string(ks, ',')) else 'short ' || seq end g from k),
+f as (select doc_id orf_id, min(doc_id) over (partition by g) centroid_id from g)
+select orf_id, centroid_id, case when orf_id = centroid_id then 'new_centroid' else 'matched' end status from f""")
+def stream_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents arrive in four files by their ids; a document whose k-mers are those of an earlier one finds it in the stream's state."""
+    d = sequences(spark, sf_dir).select(F.col("doc_id").alias("orf_id"), "seq")
+    at = workspace.folder(spark, "stream")
+    step = (d.agg(F.max("orf_id")).first()[0] or 0) // 4 + 1
+    for i in range(4):
+        d.where((F.col("orf_id") >= i * step) & (F.col("orf_id") < (i + 1) * step)).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    arriving.assign_stream(stream, f"{at}/out", f"{at}/checkpoint", k=15, least=1.0).awaitTermination()
+    return spark.read.schema("orf_id bigint, centroid_id bigint, status string").parquet(f"{at}/out")
