@@ -6,8 +6,7 @@ tables over byte pairs, so that a filter bank costs one or two row look-ups a po
 cut into windows from its first to its last byte; the logits of its windows are averaged by their
 bytes.
 
-Training takes a bounded sample: of the ``max_langs`` languages with the most texts, at most ``per_lang`` different texts
-each, those with the smallest seeded hashes, and ``total`` texts in all; of a text at most ``per_text`` windows, spread evenly over
+Training takes a bounded sample: of every language at most ``per_lang`` different texts, those with the smallest seeded hashes, and ``total`` texts in all; of a text at most ``per_text`` windows, spread evenly over
 it, which are cut where the text is. What reaches the driver is bounded by these parameters, however long texts are and however
 often an id or a text repeats.
 
@@ -37,6 +36,7 @@ FILTERS = 16
 EMBED = 8
 _VALID = WINDOW - max(WIDTHS) + 1
 _RUN = 64
+_TOGETHER = 8192
 UNKNOWN = "und"
 _RUN_BITS, _SLACK = 22, 24
 _KIND = np.full(256, 0x20, np.uint8)  # letters count as lower-case ones, other ASCII characters as a space
@@ -190,18 +190,17 @@ class Predictor:
         size = np.diff(off)
         n = -(-size // WINDOW)
         first = np.concatenate([[0], np.cumsum(n)])
-        x = np.zeros(int(first[-1]) * WINDOW, np.uint8)
-        for k in range(len(size)):
-            x[first[k] * WINDOW : first[k] * WINDOW + size[k]] = data[off[k] : off[k + 1]]
-        hidden = self.hidden(x.reshape(-1, WINDOW))
-        logits = hidden @ self.net.out + self.net.out_bias
-        doc = np.repeat(np.arange(len(size)), n)
-        weight = np.full(len(doc), float(WINDOW))
-        last = first[1:][n > 0] - 1
-        weight[last] = size[n > 0] - (n[n > 0] - 1) * WINDOW
-        total = np.zeros((len(size), logits.shape[1]))
-        for c in range(logits.shape[1]):
-            total[:, c] = np.bincount(doc, weight * logits[:, c], len(size))
+        total = np.zeros((len(size), len(self.net.out_bias)))
+        for s in range(0, int(first[-1]), _TOGETHER):  # windows of a long text are not all held at once
+            e = min(int(first[-1]), s + _TOGETHER)
+            x = np.zeros((e - s, WINDOW), np.uint8)
+            doc = np.searchsorted(first, np.arange(s, e), "right") - 1
+            weight = np.minimum(WINDOW, size[doc] - (np.arange(s, e) - first[doc]) * WINDOW)
+            for d in range(int(doc[0]), int(doc[-1]) + 1):
+                lo, hi = max(s, int(first[d])), min(e, int(first[d + 1]))
+                part = data[off[d] + (lo - first[d]) * WINDOW : min(off[d + 1], off[d] + (hi - first[d]) * WINDOW)]
+                x.reshape(-1)[(lo - s) * WINDOW : (lo - s) * WINDOW + len(part)] = part
+            np.add.at(total, doc, weight[:, None] * self.logits(x))
         total /= np.maximum(size, 1)[:, None]
         p = np.exp(total - total.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -241,23 +240,23 @@ def _cut(per_text: int):
 
 def fit(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 3, held: int = 1,
-    per_lang: int = 800, per_text: int = 6, max_langs: int = 500, total: int = 40_000, seed: int = 11,
+    per_lang: int = 800, per_text: int = 6, total: int = 40_000, seed: int = 11,
 ) -> Net:
     """Train on a bounded sample of the rows that have a text and a language and are not held out.
 
-    Equal texts of a language count once, whatever their ids; null or repeated ids are told apart by their texts. Of more
-    than ``max_langs`` languages those with the fewest texts are not learned. A null id counts as an empty name for the
+    Equal texts of a language count once, whatever their ids; null or repeated ids are told apart by their texts. Every language
+    gives a text at least, up to ``total`` languages. A null id counts as an empty name for the
     fold. Empty tables, or tables without labels, give a net without languages.
     """
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("y"))
     rows = rows.where(F.col("t").isNotNull() & F.col("y").isNotNull() & (remainder(F.col("k"), folds) != held))
     rows = rows.select("y", seeded(seed, F.col("t")).alias("h"), "t")
-    counts = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "y").limit(max_langs).collect()
+    counts = rows.groupBy("y").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "y").limit(total).collect()
     most = max(1, min(per_lang, total // max(1, len(counts))))
     # twice what is needed, as counts are approximate; the texts beyond are never cut
     share = [(r["y"], min(2**63 - 1, int((2 * most + 200) / max(1, r["n"]) * 2**63))) for r in counts]
     upto = docs.sparkSession.createDataFrame(share, f"y {docs.schema[lang].dataType.simpleString()}, upto bigint")
-    some = rows.join(F.broadcast(upto), "y").where("h <= upto").select("y", "h", "t")  # max_langs rows
+    some = rows.join(F.broadcast(upto), "y").where("h <= upto").select("y", "h", "t")  # ``total`` rows at most
     some = some.mapInArrow(_cut(per_text), "y string, h bigint, w binary").groupBy("y", "h").agg(F.first("w").alias("w"))
     some = some.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h"))).where(F.col("r") <= most)
     sample = sorted((r["y"], r["h"], bytes(r["w"])) for r in some.select("y", "h", "w").collect())  # total texts of per_text windows

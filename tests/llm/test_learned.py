@@ -54,6 +54,36 @@ def test_language(spark, spoken):
     assert language.predict(df.limit(0), net).count() == 0
 
 
+def test_whole_texts_against_a_plain_forward_pass(spark, spoken, monkeypatch):
+    """Every window of a text counts by its bytes, the last one by those that it has; in any number of windows at a time."""
+    df = spark.createDataFrame(spoken, "doc_id bigint, text string, lang string")
+    net = language.fit(df)
+    e = net.embed
+
+    def plain(text):
+        b, total = text.encode(), np.zeros(len(net.langs))
+        for at in range(0, len(b), language.WINDOW):
+            part = b[at : at + language.WINDOW]
+            x = part + bytes(language.WINDOW - len(part))
+            pooled = []
+            for w, f in zip(language.WIDTHS, net.filters, strict=True):
+                for c in range(language.FILTERS):
+                    pooled.append(max(sum(e[x[i + k]] @ f[k * language.EMBED : (k + 1) * language.EMBED, c] for k in range(w)) for i in range(language.WINDOW - max(language.WIDTHS) + 1)))
+            total += len(part) * (np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.out_bias)
+        p = np.exp(total / len(b) - (total / len(b)).max())
+        return p / p.sum()
+
+    texts = [t for _, t, _ in spoken if t][:6] + [spoken[3][1] * 4, "x"]
+    want = [plain(t) for t in texts]
+    model = language.Predictor(net)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for many in (8192, 3, 1):
+        monkeypatch.setattr(language, "_TOGETHER", many)
+        best, p = model.predict(data, off)
+        assert best.tolist() == [int(w.argmax()) for w in want] and np.allclose(p, [w.max() for w in want], atol=1e-4)
+
+
 def test_language_without_labels(spark, spoken):
     df = spark.createDataFrame([(i, t, None) for i, t, _ in spoken[:5]], "doc_id bigint, text string, lang string")
     assert {r["lang_pred"] for r in language.predict(df, language.fit(df)).collect()} == {"und"}
@@ -84,10 +114,10 @@ def test_sample_is_bounded(spark, spoken):
     language.train = lambda texts, labels: sent.append((Counter(labels), max(len(t) for t in texts))) or train(texts, labels)
     try:
         language.fit(df, per_lang=50)
-        language.fit(df, per_lang=50, max_langs=2, total=20)
+        language.fit(df, per_lang=50, total=20)
     finally:
         language.train = train
-    assert sent == [({"aa": 50, "bb": 50, "cc": 1}, 3), ({"aa": 10, "bb": 10}, sent[1][1])]
+    assert sent == [({"aa": 50, "bb": 50, "cc": 1}, 3), ({"aa": 6, "bb": 6, "cc": 1}, sent[1][1])]
 
 
 def test_tables_equal_the_network():
