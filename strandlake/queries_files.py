@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, kv, pangenome, proteins, reads, reports, sketches
+from strandlake.operators import centroids, intervals, kv, pangenome, proteins, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
 from strandlake.plans.planner import Item, Planner, attached, lineage
 from strandlake.plans.types import standard
 from strandlake.queries import _CANON, _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
-from strandlake.sources import external, records, sinks, tables
+from strandlake.sources import external, fastq, records, sinks, tables
 from strandlake.streaming import centroids as arriving
 
 # ---- readers ----------------------------------------------------------------------------------------------------
@@ -533,3 +533,32 @@ def stream_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
     arriving.assign_stream(stream, f"{at}/out", f"{at}/checkpoint", k=15, least=1.0).awaitTermination()
     return spark.read.schema("orf_id bigint, centroid_id bigint, status string").parquet(f"{at}/out")
+
+
+@query("""
+with i as (select l_linenumber::bigint contig, l_orderkey::bigint id, floor(l_extendedprice)::bigint as "start", floor(l_extendedprice)::bigint + (l_quantity * 40)::bigint as "end" from lineitem),
+r as (select n_nationkey region, (n_nationkey % 7 + 1)::bigint contig, n_nationkey * 4000 a, n_nationkey * 4000 + 1500 b from nation)
+select region, count(*) n, min(id) first_id, sum("end" - "start")::bigint bases from r join i on i.contig = r.contig and i."start" < r.b and i."end" > r.a group by region""")
+def region_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as alignments, written with their index; nations as regions."""
+    at = F.floor(F.col("l_extendedprice")).cast("bigint")
+    x = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("bigint").alias("contig"), F.col("l_orderkey").cast("bigint").alias("id"), at.alias("start"), (at + (F.col("l_quantity") * 40).cast("bigint")).alias("end"))
+    path = workspace.folder(spark, "index")
+    intervals.write(x, path)
+    n = F.col("n_nationkey").cast("bigint")
+    regions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("region"), (n % 7 + 1).alias("contig"), (n * 4000).alias("r_start"), (n * 4000 + 1500).alias("r_end"))
+    found = intervals.overlapping(spark.read.parquet(path), regions)
+    return found.groupBy("region").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.sum(F.col("end") - F.col("start")).alias("bases"))
+
+
+@query(f"""
+with d as (select doc_id, {_DNA} seq from documents)
+select '@' || doc_id header, length(seq)::bigint bases, md5(seq) seq, md5(repeat('@', length(seq)::int)) quality from d""")
+def fastq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as FASTQ files, whose headers and qualities begin with the mark of a record, read back in ranges of 64 kB."""
+    x = sequences(spark, sf_dir).select(F.concat(F.lit("@@"), "doc_id", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("@"), F.length("seq"))).alias("value"))
+    at = workspace.folder(spark, "fastq")
+    x.write.text(at)
+    paths = [r[0] for r in spark.read.format("binaryFile").load(at).select("path").where("path like '%.txt'").collect()]  # one a written part
+    y = fastq.read(spark, paths, 1 << 16)
+    return y.select("header", F.length("seq").cast("bigint").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("seq"), F.md5(F.col("quality").cast("binary")).alias("quality"))
