@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake import workspace
+from strandlake.functions.sequence import CODONS
 from strandlake.operators.mapping import Scoring, aligned, chains
 from strandlake.operators.sketches import kmer_rows
 
@@ -62,3 +67,93 @@ def search(queries: DataFrame, targets: DataFrame, *, k: int = 5, most: int = 50
     w = Window.partitionBy("query").orderBy(F.desc("score"), "subject")
     names = {"q0": "q_start", "q1": "q_end", "t0": "s_start", "t1": "s_end"}
     return best.withColumnsRenamed(names).withColumn("pos", F.row_number().over(w).cast("bigint"))
+
+
+# ---- genes ------------------------------------------------------------------------------------------------------
+
+_BASE = np.full(256, 64, np.int64)
+_BASE[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
+_AMINO = np.frombuffer("".join(CODONS["ACGT"[i // 16] + "ACGT"[i // 4 % 4] + "ACGT"[i % 4]] for i in range(64)).encode() + b"X", np.uint8)
+_TURN = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+
+
+def codons(seq: bytes, frame: int) -> np.ndarray:
+    """The number of each codon of a frame, 64 for those with other letters than ACGT."""
+    c = _BASE[np.frombuffer(seq, np.uint8)[frame:]]
+    c = c[: len(c) // 3 * 3].reshape(-1, 3)
+    return np.minimum(c @ np.array([16, 4, 1]), 64)
+
+
+def frames(seq: bytes, least: int) -> Iterator[tuple[str, int, int, np.ndarray]]:
+    """(strand, start, end, codons) of open frames on both strands: from the first start codon behind a stop up to and with the next stop, ``least`` codons before it. start and end run along the sequence."""
+    for strand, s in (("+", seq), ("-", seq.translate(_TURN)[::-1])):
+        for f in range(3):
+            c = codons(s, f)
+            for m in re.finditer(rb"M[^*]{%d,}\*" % (least - 1), _AMINO[c].tobytes()):
+                a, b = f + 3 * m.start(), f + 3 * m.end()
+                yield strand, *((a, b) if strand == "+" else (len(s) - b, len(s) - a)), c[m.start() : m.end() - 1]
+
+
+def choose(start: np.ndarray, end: np.ndarray, score: np.ndarray, overlap: int) -> list[int]:
+    """The compatible frames with the largest sum of scores: by their ends in order, each begins at most ``overlap`` bases before the one before it ends. O(n log n)."""
+    order = np.lexsort((start, end))
+    ends = end[order]
+    best, back = np.zeros(len(order) + 1), np.zeros(len(order) + 1, np.int64)  # of the first n frames; the frames left before the last one taken, -1 if it is not
+    for n, i in enumerate(order):
+        k = min(n, int(np.searchsorted(ends, start[i] + overlap, "right")))
+        taken = best[k] + score[i]
+        best[n + 1], back[n + 1] = (taken, k) if taken > best[n] else (best[n], -1)
+    out, n = [], len(order)
+    while n:
+        if back[n] < 0:
+            n -= 1
+        else:
+            out.append(int(order[n - 1]))
+            n = int(back[n])
+    return out[::-1]
+
+
+def coding_model(contigs: DataFrame, *, least: int = 30, long: int = 100) -> np.ndarray:
+    """The log-odds of each codon: its share among the codons of frames of ``long`` codons or more, over its share among all codons of all six frames, counts plus one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, 65), np.int64)
+        for batch in batches:
+            for seq in batch.column(0).to_pylist():
+                for s in (seq, seq.translate(_TURN)[::-1]):
+                    for f in range(3):
+                        n[0] += np.bincount(codons(s, f), minlength=65)
+                for *_, c in frames(seq, max(least, long)):
+                    n[1] += np.bincount(c, minlength=65)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], 64)), pa.array(np.tile(np.arange(64), 2)), pa.array(n[:, :64].ravel())], names=["side", "codon", "n"])
+
+    rows = contigs.where(F.col("seq") != "").select(F.col("seq").cast("binary").alias("s")).mapInArrow(run, "side bigint, codon bigint, n bigint")
+    n = np.zeros((2, 64))
+    for r in rows.groupBy("side", "codon").agg(F.sum("n").alias("n")).collect():  # 128 rows
+        n[r["side"], r["codon"]] = r["n"]
+    share = (n + 1) / (n + 1).sum(1, keepdims=True)
+    return np.append(np.log(share[1] / share[0]), 0.0)
+
+
+def genes(contigs: DataFrame, *, least: int = 30, long: int = 100, overlap: int = 60, model: np.ndarray | None = None) -> DataFrame:
+    """(contig, strand, start, end, score): the genes of contigs (contig, seq) on both strands.
+
+    A frame scores the log-odds of its codons (``coding_model``, learned from the contigs' own long frames unless given), and of each contig the compatible
+    frames with the largest sum are chosen, two neighbours with at most ``overlap`` bases in common. Null and short sequences have none. A contig is
+    one task's row; its frames are a small part of it.
+    """
+    odds = coding_model(contigs, least=least, long=long) if model is None else model
+    kind = contigs.schema["contig"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, seq in enumerate(batch.column(1).to_pylist()):
+                found = list(frames(seq, least))
+                score = np.array([odds[c].sum() for *_, c in found])
+                a, b = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
+                some = choose(a, b, score, overlap)
+                if some:
+                    cols = [batch.column(0).take(pa.array([i] * len(some))), pa.array([found[k][0] for k in some]), pa.array(a[some]), pa.array(b[some]), pa.array(score[some])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["contig", "strand", "start", "end", "score"])
+
+    return contigs.where(F.col("seq") != "").select("contig", F.col("seq").cast("binary").alias("s")).mapInArrow(run, f"contig {kind}, strand string, start bigint, end bigint, score double")

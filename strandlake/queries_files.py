@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from strandlake import workspace
 from strandlake.functions import colors, geometry, scalars
 from strandlake.functions import sequence as S
-from strandlake.operators import centroids, intervals, kv, pangenome, proteins, reads, reports, sketches
+from strandlake.operators import centroids, intervals, kv, mixture, pangenome, proteins, reads, reports, sketches
 from strandlake.plans import catalogue
 from strandlake.plans.library import DataLibrary
 from strandlake.plans.planner import Item, Planner, attached, lineage
 from strandlake.plans.types import standard
-from strandlake.queries import _CANON, _DNA, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
+from strandlake.queries import _CANON, _DNA, _matrix, _KM, _PIECES, _fasta, _flags, _pieces, _qualities, _QUAL, long, query, sequences, table
 from strandlake.sources import external, fastq, records, sinks, tables
 from strandlake.streaming import centroids as arriving
 
@@ -562,3 +562,17 @@ def fastq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [r[0] for r in spark.read.format("binaryFile").load(at).select("path").where("path like '%.txt'").collect()]  # one a written part
     y = fastq.read(spark, paths, 1 << 16)
     return y.select("header", F.length("seq").cast("bigint").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("seq"), F.md5(F.col("quality").cast("binary")).alias("quality"))
+
+
+@query()
+def gene_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as contigs, frames of 20 codons or more; no SQL, as the choice is a dynamic programme."""
+    x = proteins.genes(sequences(spark, sf_dir).select(F.col("doc_id").alias("contig"), "seq"), least=20, long=40)
+    return x.withColumn("score", F.round("score", 6))
+
+
+@query()
+def family_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of the families by expectation-maximisation, which SQL has no loop for."""
+    x = mixture.partition(_matrix(spark, sf_dir).where("n > 0"))
+    return x.withColumn("p", F.transform("p", lambda v: F.round(v, 4)))
