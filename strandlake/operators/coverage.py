@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake import workspace
 
-def depth_runs(intervals: DataFrame, contig: str = "contig", start: str = "start", end: str = "end") -> DataFrame:
+
+def depth_runs(intervals: DataFrame, contig: str = "contig", start: str = "start", end: str = "end", tile: int = 1 << 16) -> DataFrame:
     """(contig, start, end, depth), where contig may be a struct of keys: maximal runs of equal, non-zero depth of half-open intervals.
 
     Every interval is two events; events of a place are added before any window sees them, and places
-    where nothing changes are dropped, so that runs that touch at equal depth stay one.
+    where nothing changes are dropped, so that runs that touch at equal depth stay one. Windows run inside tiles of ``tile`` bases, into which the depth at
+    their begin is carried from one row for each tile; so a contig is as many tasks as it has tiles.
     """
     x = intervals.select(contig, F.explode(F.array(F.struct(F.col(start).alias("pos"), F.lit(1).alias("d")), F.struct(F.col(end).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     x = x.groupBy(contig, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).where("d <> 0")
-    w = Window.partitionBy(contig).orderBy("pos")
-    x = x.withColumn("depth", F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).withColumn("stop", F.lead("pos").over(w))
+    x = workspace.table(x.withColumn("tile", F.floor(F.col("pos") / tile)), "events")
+    per = x.groupBy(contig, "tile").agg(F.sum("d").alias("s"), F.min("pos").alias("first"))
+    line = Window.partitionBy(contig).orderBy("tile")
+    ahead = F.sum("s").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("s")
+    per = per.select(F.col(contig).alias("__c"), F.col("tile").alias("__t"), ahead.alias("ahead"), F.lead("first").over(line).alias("next"))
+    w = Window.partitionBy(contig, "tile").orderBy("pos")
+    x = x.join(per, F.col(contig).eqNullSafe(F.col("__c")) & F.col("tile").eqNullSafe(F.col("__t")))
+    x = x.withColumn("depth", (F.col("ahead") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("bigint")).withColumn("stop", F.coalesce(F.lead("pos").over(w), "next"))
     return x.where("depth > 0").select(contig, F.col("pos").alias(start), F.col("stop").alias(end), "depth")
 
 

@@ -104,6 +104,7 @@ def test_depth_does_not_split_touching_runs(spark):
     got = sorted(tuple(r) for r in coverage.depth_runs(iv).collect())
     assert got == [("c", 0, 7, 1), ("c", 7, 8, 2), ("c", 8, 9, 1)]
     contigs = spark.createDataFrame([("c", 10), ("e", 4)], "contig string, contig_length bigint")
+    assert sorted(tuple(r) for r in coverage.depth_runs(iv, tile=3).collect()) == got
     assert sorted(tuple(r) for r in coverage.mean_coverage(coverage.depth_runs(iv), contigs).collect()) == [("c", 1.0, 10), ("e", 0.0, 4)]
     with pytest.raises(Exception, match="unknown contig"):
         coverage.mean_coverage(coverage.depth_runs(iv), contigs.where("contig = 'e'")).collect()
