@@ -88,7 +88,7 @@ def test_shards_hold_all_rows(stages):
 def test_registered(spark):
     names = set(__spark_entry__.queries())
     assert {"pipeline", *QUERIES} <= names and set(ORACLES) <= names
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
