@@ -97,3 +97,19 @@ def test_sketches_by_prefixes(spark):
         exact = (len(truth[r["a"]] & truth[r["b"]]) / min(len(truth[r["a"]]), len(truth[r["b"]]))) ** (1 / k)
         inside += abs(r["identity"] - exact) <= r["error"] + 0.01
     assert inside >= 0.97 * len(got)
+
+
+def test_sketches_of_frequent_hashes_are_compared_without_a_shuffle_of_pairs(spark, monkeypatch):
+    """Small sketches that share a hash with nearly all others: pairs are counted in blocks, also when a block passes its bound."""
+    rng = random.Random(5)
+    by = {i: {1} | {rng.randrange(2, 400) for _ in range(rng.choice([0, 1, 3, 40]))} for i in range(300)} | {900: {10**12}, 901: set(range(2, 400))}
+    sketch = spark.createDataFrame([(i, h) for i, hs in by.items() for h in hs], "id int, h bigint")
+    want = {(a, b): len(by[a] & by[b]) for a in by for b in by if a < b and len(by[a] & by[b]) >= 0.9**15 * min(len(by[a]), len(by[b])) - 1e-9 and by[a] & by[b]}
+    for hashes, pairs in ((1 << 19, 1 << 21), (200, 50)):
+        monkeypatch.setattr(sketches, "_HASHES", hashes)
+        monkeypatch.setattr(sketches, "_PAIRS", pairs)
+        x = sketches.sketch_ani(sketch, 15, 0.9)
+        got = x.collect()
+        assert {(r["a"], r["b"]): r["shared"] for r in got} == want and len(got) == len(want) > 5000
+        assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
+    assert sketches.sketch_ani(sketch.limit(0), 15).count() == 0
