@@ -524,14 +524,14 @@ g as (select doc_id, case when len(ks) > 0 then md5(array_to_string(ks, ',')) el
 f as (select doc_id orf_id, min(doc_id) over (partition by g) centroid_id from g)
 select orf_id, centroid_id, case when orf_id = centroid_id then 'new_centroid' else 'matched' end status from f""")
 def stream_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents arrive in four files by their ids; a document whose k-mers are those of an earlier one finds it in the stream's state."""
+    """The documents arrive in four parts by their ids, each of as many files as tasks write; a document whose k-mers are those of an earlier one finds it in the stream's state, which the restarted stream has from its checkpoint."""
     d = sequences(spark, sf_dir).select(F.col("doc_id").alias("orf_id"), "seq")
     at = workspace.folder(spark, "stream")
     step = (d.agg(F.max("orf_id")).first()[0] or 0) // 4 + 1
     for i in range(4):
-        d.where((F.col("orf_id") >= i * step) & (F.col("orf_id") < (i + 1) * step)).coalesce(1).write.mode("append").parquet(f"{at}/in")
-    stream = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    arriving.assign_stream(stream, f"{at}/out", f"{at}/checkpoint", k=15, least=1.0).awaitTermination()
+        d.where((F.col("orf_id") >= i * step) & (F.col("orf_id") < (i + 1) * step)).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(d.schema).parquet(f"{at}/in")
+        arriving.assign_stream(stream, f"{at}/out", f"{at}/checkpoint", k=15, least=1.0).awaitTermination()
     return spark.read.schema("orf_id bigint, centroid_id bigint, status string").parquet(f"{at}/out")
 
 

@@ -8,6 +8,7 @@ started again goes on where it was, and a repeated micro-batch finds the state t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -22,18 +23,22 @@ from strandlake.operators.mapping import _CODE, _NONE, hashes
 _RESULT = "orf_id bigint, centroid_id bigint, status string"
 
 
-def _filed(rows: DataFrame, k: int) -> DataFrame:
-    """(file, orf_id, h): each sequence (orf_id, seq) with the hashes of its distinct k-mers, either strand, under the smallest; one without k-mers by the hash of itself."""
+def _filed(rows: DataFrame, k: int, least: float) -> DataFrame:
+    """(file, orf_id, h): each sequence (orf_id, seq) with the hashes of its distinct k-mers, either strand, under the smallest; one without k-mers by the hash of itself.
+
+    Where only equal sets match (``least`` 1) two numbers of 64 bits, a digest of all hashes, stand for the set, so that state does not grow with the length of sequences.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, files = [], []
             for seq, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h = np.unique(hashes(_CODE[np.frombuffer(seq, np.uint8)], k)[0])
                 h = h[h != _NONE].astype(np.int64)
-                found.append(h if len(h) else np.array([own]))
+                files.append(int(h[0]) if len(h) else own)
+                found.append(np.array([own]) if not len(h) else np.frombuffer(blake2b(h.tobytes(), digest_size=16).digest(), np.int64) if least >= 1 else h)
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-            yield pa.RecordBatch.from_arrays([pa.array([int(h[0]) for h in found], pa.int64()), batch.column(0), flat], names=["file", "orf_id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), batch.column(0), flat], names=["file", "orf_id", "h"])
 
     s = F.upper(F.coalesce("seq", F.lit("")))
     own = F.xxhash64(s, F.lit("short")).bitwiseOR(F.lit(-(1 << 63)))  # below the hashes of k-mers
@@ -54,8 +59,9 @@ def assigned(known: list[tuple[int, frozenset]], arriving: Iterator[tuple[int, f
 
 def _arriving(rows: list[pd.DataFrame]) -> Iterator[tuple[int, frozenset]]:
     """By id, as the order inside a micro-batch is not told."""
-    for r in pd.concat(rows).sort_values("orf_id", kind="stable").itertuples():
-        yield int(r.orf_id), frozenset(r.h)
+    ids, hs = np.concatenate([r["orf_id"].to_numpy() for r in rows]), [h for r in rows for h in r["h"]]
+    for i in np.argsort(ids, kind="stable"):
+        yield int(ids[i]), frozenset(hs[i].tolist())
 
 
 def packed(known: list[tuple[int, frozenset]]) -> tuple[bytes, bytes, bytes]:
@@ -75,7 +81,8 @@ def _keep(least: float):
         out, new = assigned(known, _arriving(list(rows)), least)
         if new:
             state.update(packed(known))
-        yield pd.DataFrame(out, columns=["orf_id", "centroid_id", "status"])
+        orf, centroid, status = zip(*out)
+        yield pd.DataFrame({"orf_id": orf, "centroid_id": centroid, "status": status})
 
     return run
 
@@ -86,13 +93,13 @@ def assign_stream(stream: DataFrame, out: str, checkpoint: str, *, k: int = 15,
     A sequence matches a centroid if ``least`` of their k-mers together are common. Those that came in earlier micro-batches are before, inside one
     the smaller id. Null and short sequences are alike if they are equal. k is at most 31.
     """
-    x = _filed(stream, k).groupBy("file").applyInPandasWithState(_keep(least), _RESULT, "ids binary, sizes binary, hashes binary", "append", GroupStateTimeout.NoTimeout)
+    x = _filed(stream, k, least).groupBy("file").applyInPandasWithState(_keep(least), _RESULT, "ids binary, sizes binary, hashes binary", "append", GroupStateTimeout.NoTimeout)
     return x.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def assign_batch(rows: DataFrame, order: str, *, k: int = 15, least: float = 0.9) -> DataFrame:
     """What the stream gives for rows (orf_id, seq) that arrive by a column ``order``."""
-    filed = _filed(rows, k).join(rows.select("orf_id", F.col(order).alias("at")), "orf_id")
+    filed = _filed(rows, k, least).join(rows.select("orf_id", F.col(order).alias("at")), "orf_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         known: list[tuple[int, frozenset]] = []

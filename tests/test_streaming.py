@@ -26,3 +26,16 @@ def test_state_survives_a_restart(spark, tmp_path):
     for batch in range(4):  # every call is a new query that goes on from the checkpoint
         run(batch)
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
+
+
+def test_state_of_equal_sets_does_not_grow_with_their_length(spark):
+    """Where only equal sets match, two numbers stand for a set of any size; same k-mers in another order are the same set."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (40, 400, 4000)]
+    unit = base[0] * 3
+    rows = [(i, s) for i, s in enumerate([*base, *base, unit, unit + base[0], base[2][:-1], "", None, "ACG", "acg"])]
+    df = spark.createDataFrame(rows, "orf_id bigint, seq string")
+    assert max(len(r["h"]) for r in centroids._filed(df, 11, 1.0).collect()) == 2
+    sets = {i: frozenset(min(s[j : j + 11], s[j : j + 11][::-1].translate(str.maketrans("ACGT", "TGCA"))) for j in range(len(s) - 10)) or (s or "").upper() for i, s in ((i, s or "") for i, s in rows)}
+    got = {r["orf_id"]: r["centroid_id"] for r in centroids.assign_batch(df.selectExpr("*", "0 at"), "at", k=11, least=1.0).collect()}
+    assert got == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets} and got[5] == 2 and got[7] == 6
