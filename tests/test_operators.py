@@ -311,3 +311,21 @@ def test_bars_as_outlines(spark):
     assert line[0]["path"] == "M -0.437500,-0.250000 L -0.437500,0.250000 L -0.062500,0.250000 L -0.062500,-0.250000 Z"
     ring = pangenome.categorical_bar(rows, "v", ["i"]).orderBy("l").collect()
     assert all(r["path"].startswith("M ") and r["path"].endswith(" Z") and r["path"].count(" L ") > 20 for r in ring)
+
+
+def test_nearest_vectors_hold_k_candidates_a_query_in_steps_of_any_size(spark, monkeypatch):
+    """Steps of a few rows give what all rows at once give; copies tie and go to the smaller key; a step keeps no more than k a query."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(-3, 4, (150, 6)).astype(float)
+    vectors = np.concatenate([base, base[::3], base[::5]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, [None] * 6)], "id int, v array<double>")
+    sim = vectors @ vectors.T
+    want = {(q, r + 1, int(j)) for q in range(0, len(vectors), 20) for r, j in enumerate([j for j in np.lexsort((np.arange(len(vectors)), -sim[:, q])) if j != q][:4])}
+    for cells in (1 << 20, 64):
+        monkeypatch.setattr(sketches, "_SIMILAR", cells)
+        got = sketches.top_similar(df, df.where("id % 20 = 0 and id < 900"), "id", "v", 4, block=5).collect()
+        assert {(r["query"], r["rank"], r["id"]) for r in got} == want and len(got) == len(want)
+    held, floor = None, np.full(10, -np.inf)
+    for at in range(0, len(vectors), 7):
+        held, floor = sketches._nearest(held, floor, np.arange(at, min(at + 7, len(vectors))), vectors[at : at + 7], np.arange(10), vectors[:10], 4)
+        assert len(held[0]) <= 40
