@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from strandlake.operators import sketches, taxonomy
 
 COMP = str.maketrans("ACGT", "TGCA")
@@ -113,3 +115,30 @@ def test_sketches_of_frequent_hashes_are_compared_without_a_shuffle_of_pairs(spa
         assert {(r["a"], r["b"]): r["shared"] for r in got} == want and len(got) == len(want) > 5000
         assert "Exchange" not in x._jdf.queryExecution().executedPlan().toString()
     assert sketches.sketch_ani(sketch.limit(0), 15).count() == 0
+
+
+def test_numbered_kmers_count_as_their_bytes(spark):
+    """Votes and contamination by numbers: other letters and cases as they are, names that repeat count once, k up to 31 and beyond; no k-mer is shuffled where names are a row's own."""
+    rng = random.Random(7)
+    letters = "ACGT" * 6 + "Nacé"
+    ref = [(i % 3, "".join(rng.choice(letters) for _ in range(90))) for i in range(12)]
+    cut = lambda: (lambda s, a: s[a : a + rng.randrange(5, 90)])(rng.choice(ref)[1], rng.randrange(40))
+    rows = [(i // 2, cut() + cut()) for i in range(60)] + [(90, None), (91, ""), (None, ref[0][1]), (None, ref[1][1])]
+    kms = lambda s, k: {s[i : i + k] for b in [(s or "").encode()] for s in [b] for i in range(len(b) - k + 1)}
+    reference = spark.createDataFrame(ref, "taxon int, seq string")
+    for own in (False, True):
+        some = [r for i, r in enumerate(rows) if not own or i % 2 == 0 and r[0] is not None]
+        df = spark.createDataFrame(some, "id int, seq string")
+        for k in (1, 4, 9, 31, 40):
+            by = defaultdict(set)
+            for i, s in some:
+                by[i] |= kms(s, k)
+            known = defaultdict(set)
+            for t, s in ref:
+                known[t] |= kms(s, k)
+            every = set().union(*known.values())
+            assert {r["id"]: r["hits"] for r in sketches.contaminated(df, reference, "id", "seq", k).collect()} == {i: len(x & every) for i, x in by.items() if x & every}
+            votes = {i: max((len(x & y), -t) for t, y in known.items()) for i, x in by.items() if x & every}
+            assert {r["id"]: (r["votes"], -r["taxon"]) for r in sketches.taxon_votes(df, reference, "id", "seq", "taxon", k).collect()} == votes
+    x = sketches.kmer_numbers(spark.createDataFrame([("AcGTN" * 3 + "ACGTA",)], "s string"), "s", 4, canonical=True).join(spark.createDataFrame([("ACGT",)], "w string").select(sketches.kmer_number(F.col("w")).alias("km")), "km")
+    assert x.count() == 4
