@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from strandlake import workspace
 from strandlake.functions import sequence as S
-from strandlake.operators.sketches import kmer_rows
+from strandlake.operators.sizes import broadcast_if_small
+from strandlake.operators.sketches import kmer_number, kmer_numbers, kmer_rows
 
 
 def closure(tree: DataFrame) -> DataFrame:
@@ -78,7 +79,12 @@ def classify(reads: DataFrame, known: DataFrame, tree: Tree, k: int) -> DataFram
     kmers counts its k-mers found, repeats included; the score of a taxon is how many of them lie on its way from the root. The best taxon wins; of several the
     lowest common ancestor is taken, with their score. Sequences of rows with one name count together.
     """
-    hits = canonical_kmers(reads, "seq", k, "read").groupBy("read", "km").agg(F.count("*").alias("n")).join(known, "km").groupBy("read", "taxon").agg(F.sum("n").alias("n"))
+    if k <= 31:  # numbers of k-mers meet a table that is broadcast if small, and are summed before any shuffle
+        numbers = workspace.table(known.select(kmer_number(F.col("km")).alias("km"), "taxon"), "known")
+        found = kmer_numbers(reads, "seq", k, "read", canonical=True).join(broadcast_if_small(numbers), "km").groupBy("read", "taxon")
+        hits = found.agg(F.count("*").alias("n"))
+    else:
+        hits = canonical_kmers(reads, "seq", k, "read").groupBy("read", "km").agg(F.count("*").alias("n")).join(known, "km").groupBy("read", "taxon").agg(F.sum("n").alias("n"))
     hits = workspace.table(hits, "hits")
     way = hits.select("read", "taxon").join(tree.above.select(F.col("node").alias("taxon"), "ancestor"), "taxon")
     score = way.join(hits.select("read", F.col("taxon").alias("ancestor"), "n"), ["read", "ancestor"]).groupBy("read", "taxon").agg(F.sum("n").alias("score"))
