@@ -254,13 +254,31 @@ def with_batches(x: DataFrame, size: int) -> DataFrame:
     return x.join(batches(x.select("sample").distinct(), "sample", size), "sample")
 
 
+def _ways(catalog: DataFrame, jump: DataFrame) -> DataFrame:
+    """The lineage of items with one parent each, from (id, ancestor) one level up: a round knows ways of twice as many levels, and jumps as far. A ring ends when a round finds nothing new."""
+    known = workspace.table(catalog.select("id", F.col("id").alias("ancestor")).distinct(), "lineage")
+    n = known.count()
+    while not jump.isEmpty():
+        # a parent that is no item of the catalog has no way of its own
+        further = jump.join(known.select(F.col("id").alias("m"), F.col("ancestor").alias("far")), F.col("ancestor") == F.col("m"), "left")
+        known = workspace.table(known.unionByName(further.select("id", F.coalesce("far", "ancestor").alias("ancestor"))).distinct(), "lineage")
+        n, before = known.count(), n
+        if n == before:
+            break
+        jump = workspace.table(jump.join(jump.select(F.col("id").alias("m"), F.col("ancestor").alias("far")), F.col("ancestor") == F.col("m")).select("id", F.col("far").alias("ancestor")), "jumps")
+    return known
+
+
 def lineage(catalog: DataFrame) -> DataFrame:
     """(id, ancestor) of a catalog (id, type, parents array): each item with itself and everything above it, however far.
 
     A round goes one level up from what the last one found and is written, so that the plan stays small; cycles end as
-    what is known is not followed again.
+    what is known is not followed again. Where no item has two parents rounds double the way instead, so that what is
+    known is shuffled as often as the logarithm of the longest way.
     """
-    up = workspace.table(catalog.select(F.col("id").alias("ancestor"), F.explode("parents").alias("parent")), "parents")
+    up = workspace.table(catalog.select(F.col("id").alias("ancestor"), F.explode("parents").alias("parent")).distinct(), "parents")
+    if up.groupBy("ancestor").count().where("count > 1").isEmpty():
+        return _ways(catalog, up.select(F.col("ancestor").alias("id"), F.col("parent").alias("ancestor")))
     front = workspace.table(catalog.select("id", F.col("id").alias("ancestor")).distinct(), "lineage")
     out = front
     while front.limit(1).count():

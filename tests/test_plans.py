@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,26 @@ def test_lineage_table(spark):
     assert got == sorted([(str(i), str(j)) for i in range(n) for j in range(i + 1)] + [(a, b) for a in "xy" for b in "xy"])
 
 
+def test_lineage_of_long_ways_takes_few_rounds(spark, monkeypatch):
+    """Items with one parent each: rounds are the logarithm of the longest way, rings and parents outside the catalog included."""
+    rng = random.Random(4)
+    parent = {i: i - 1 for i in range(1, 70)} | {i: rng.choice([rng.randrange(100, i), 999]) for i in range(101, 160)} | {200 + i: 200 + (i + 1) % 5 for i in range(5)} | {205: 201}
+    ids = [*range(70), *range(100, 160), *range(200, 206)]
+    want = set()
+    for i in ids:
+        at, seen = i, []
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = parent.get(at)
+        want |= {(i, a) for a in seen}
+    written, table = [], planner.workspace.table
+    monkeypatch.setattr(planner.workspace, "table", lambda df, name: written.append(name) or table(df, name))
+    c = spark.createDataFrame([(i, "t", [parent[i]] if i in parent else []) for i in ids], "id int, type string, parents array<int>")
+    got = planner.lineage(c).collect()
+    assert {(r["id"], r["ancestor"]) for r in got} == want and len(got) == len(want)
+    assert written.count("lineage") <= 9
+
+
 def test_stream(spark, tmp_path):
     from strandlake.streaming import records as st
 
