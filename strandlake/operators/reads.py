@@ -9,7 +9,7 @@ from strandlake import workspace
 from strandlake.functions import sequence as S
 from strandlake.operators.ordering import ranked, running
 from strandlake.operators.sizes import broadcast_if_small
-from strandlake.operators.sketches import kmer_rows
+from strandlake.operators.sketches import kmer_numbers, kmer_rows
 
 
 def n50(rows: DataFrame, length: str, *key: str) -> DataFrame:
@@ -117,16 +117,24 @@ def trim_adapters(reads: DataFrame, adapters: DataFrame, key: str, seq: str, k:
         raise ValueError("0 or 1 mismatches")
     near = (lambda c, n: _neighbours(c, n)) if mismatches else (lambda c, n: F.array(c))
     ad = adapters.select(F.upper("seq").alias("a"))
-    known = ad.select(F.explode(S.kmers(F.col("a"), k)).alias("km")).select(F.explode(near(F.col("km"), k)).alias("km"))
+    whole_km = ad.select(F.explode(S.kmers(F.col("a"), k)).alias("km")).select(F.explode(near(F.col("km"), k)).alias("km")).distinct()
+    short = None
     for n in range(shortest, k):
-        known = known.union(ad.where(F.length("a") >= n).select(F.explode(near(F.substring("a", 1, n), n)).alias("km")))
-    known = broadcast_if_small(known.distinct())  # some seventy times the adapters' bases
+        part = ad.where(F.length("a") >= n).select(F.explode(near(F.substring("a", 1, n), n)).alias("km"))
+        short = part if short is None else short.union(part)
     named = lambda c: F.md5(c.cast("binary"))
     own = reads.select(F.upper(seq).alias("s")).where(F.col("s").isNotNull()).distinct().select(named(F.col("s")).alias("__id"), "s")
-    whole = kmer_rows(own, "s", k, "__id").select("__id", F.col("pos").alias("p"), F.col("km").cast("string").alias("km"))
-    n = F.length("s")
-    ends = own.select("__id", F.explode(F.transform(F.filter(F.sequence(F.lit(shortest), F.lit(k)), lambda m: (m <= n) & (m < k)), lambda m: F.struct((n - m).alias("p"), F.expr("s").substr(n - m + 1, m).alias("km")))).alias("z"))
-    at = whole.unionByName(ends.select("__id", "z.p", "z.km")).join(known, "km", "left_semi").groupBy("__id").agg(F.min("p").alias("__at"))
+    small = lambda d: broadcast_if_small(workspace.table(d, "known"))  # noqa: E731  some seventy times the adapters' bases
+    if k <= 31:  # met as numbers
+        found = kmer_numbers(own, "s", k, "__id").join(small(kmer_numbers(whole_km, "km", k).select("km").distinct()), "km", "left_semi").select("__id", F.col("pos").alias("p"))
+    else:
+        whole = kmer_rows(own, "s", k, "__id").select("__id", F.col("pos").alias("p"), F.col("km").cast("string").alias("km"))
+        found = whole.join(small(whole_km), "km", "left_semi").select("__id", "p")
+    if short is not None:
+        n = F.length("s")
+        ends = own.select("__id", F.explode(F.transform(F.filter(F.sequence(F.lit(shortest), F.lit(k)), lambda m: (m <= n) & (m < k)), lambda m: F.struct((n - m).alias("p"), F.expr("s").substr(n - m + 1, m).alias("km")))).alias("z"))
+        found = found.unionByName(ends.select("__id", "z.p", "z.km").join(small(short.distinct()), "km", "left_semi").select("__id", "p"))
+    at = found.groupBy("__id").agg(F.min("p").alias("__at"))
     out = reads.join(at, named(F.upper(seq)) == F.col("__id"), "left")
     return out.withColumn("trimmed", F.substring(F.col(seq), F.lit(1), F.coalesce("__at", F.length(seq)))).drop("__id", "__at")
 

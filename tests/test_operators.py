@@ -329,3 +329,22 @@ def test_nearest_vectors_hold_k_candidates_a_query_in_steps_of_any_size(spark, m
     for at in range(0, len(vectors), 7):
         held, floor = sketches._nearest(held, floor, np.arange(at, min(at + 7, len(vectors))), vectors[at : at + 7], np.arange(10), vectors[:10], 4)
         assert len(held[0]) <= 40
+
+
+@pytest.mark.parametrize("k", [12, 31, 33])
+def test_adapters_are_met_as_numbers(spark, k, monkeypatch):
+    """Exact adapters of any length and with other letters, in reads of either case; up to 31 bases no k-mer is cut as a string."""
+    import random
+
+    rng = random.Random(k)
+    adapters = ["".join(rng.choice("ACGTACGTN") for _ in range(n)) for n in (34, 50, 20, 5)]
+    rows = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randrange(0, 30))) + rng.choice(adapters)[rng.randrange(3) :] + "acgt" * rng.randrange(3)) for i in range(80)] + [(90, None), (91, "")]
+    ends = {a.upper()[i : i + k] for a in adapters for i in range(len(a) - k + 1)}
+    want = {}
+    for i, s in rows:
+        s = s and s.upper()
+        want[i] = s and next((s[:p] for p in range(len(s)) if s[p : p + k] in ends), s)
+    if k <= 31:
+        monkeypatch.setattr(reads, "kmer_rows", None)
+    got = reads.trim_adapters(spark.createDataFrame(rows, "id int, seq string"), spark.createDataFrame([(a,) for a in adapters], "seq string"), "id", "seq", k, k, 0)
+    assert {r["id"]: r["trimmed"] and r["trimmed"].upper() for r in got.collect()} == want
