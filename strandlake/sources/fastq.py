@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _READ = 1 << 18
+_TASK = 64 << 20
 _MAGIC = b"\x1f\x8b\x08\x04"
 _SCHEMA = "source string, start bigint, header string, seq string, quality string"
 
@@ -97,7 +98,8 @@ def _pieces(part: _Range) -> Iterator[tuple[int, bytes]]:
             return
         file.seek(part.begin)
         at = part.begin
-        while data := file.read(_READ):
+        # no further than the range at first, then in small steps, as the last record ends soon
+        while data := file.read(min(_READ, part.end - at if at < part.end else 1 << 14)):
             yield at, data
             at += len(data)
 
@@ -145,9 +147,19 @@ def records(part: _Range) -> Iterator[tuple[int, bytes, bytes, bytes]]:
         raise ValueError(f"a record of {part.path} is cut off")
 
 
+@dataclass
+class _Task(InputPartition):
+    """Ranges that one task reads one after the other."""
+
+    ranges: list[_Range]
+
+    def __init__(self, ranges: list[_Range]):
+        self.ranges = ranges
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], size: int):
-        self.paths, self.size = paths, size
+    def __init__(self, paths: list[str], size: int, tasks: int = 0):
+        self.paths, self.size, self.tasks = paths, size, tasks
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -158,26 +170,37 @@ class _Reader(DataSourceReader):
             kind = "blocks" if _block_size(head) else "gzip" if head.startswith(b"\x1f\x8b") else "plain"
             step = n if kind == "gzip" else self.size
             out += [_Range(path, b, min(n, b + step), kind) for b in range(0, n, max(1, step))]
-        return out or [_Range("", 0, 0, "none")]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        if partition.kind == "none":
-            return
+        # small ranges share a task, up to _TASK bytes where that leaves work for all cores: a task costs more than a range
+        if not self.tasks:
+            return out or [_Range("", 0, 0, "none")]
+        most = min(_TASK, -(-sum(r.end - r.begin for r in out) // self.tasks))
+        tasks, held = [], _TASK
+        for r in out:
+            if held + r.end - r.begin > most:
+                tasks.append(_Task([]))
+                held = 0
+            tasks[-1].ranges.append(r)
+            held += r.end - r.begin
+        return tasks or [_Task([])]
+
+    def read(self, partition: _Range | _Task) -> Iterator[pa.RecordBatch]:
+        ranges = partition.ranges if isinstance(partition, _Task) else [partition] if partition.kind != "none" else []
         rows, size = [], 0
         names = ["source", "start", "header", "seq", "quality"]
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(zip(*rows))], names=names)
-        for place, *texts in records(partition):
-            rows.append((partition.path, place, *(t.decode("utf-8", "replace") for t in texts)))
-            size += len(texts[1])
-            if size > 1 << 22 or len(rows) >= 8192:
-                yield batch()
-                rows, size = [], 0
+        for part in ranges:
+            for place, *texts in records(part):
+                rows.append((part.path, place, *(t.decode("utf-8", "replace") for t in texts)))
+                size += len(texts[1])
+                if size > 1 << 22 or len(rows) >= 8192:
+                    yield batch()
+                    rows, size = [], 0
         if rows:
             yield batch()
 
 
 class FastqSource(DataSource):
-    """Format ``fastq-ranges``; options: paths, one a line, and bytes, the size of a range."""
+    """Format ``fastq-ranges``; options: paths, one a line, bytes, the size of a range, and tasks, how many there should be at least where small ranges share a task (0: one a range)."""
 
     @classmethod
     def name(cls) -> str:
@@ -187,10 +210,10 @@ class FastqSource(DataSource):
         return _SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], int(self.options.get("bytes", 64 << 20)))
+        return _Reader([p for p in self.options.get("paths", "").split("\n") if p], int(self.options.get("bytes", 64 << 20)), int(self.options.get("tasks", 0)))
 
 
 def read(spark: SparkSession, paths: list[str], size: int = 64 << 20) -> DataFrame:
     """(source, start, header, seq, quality) of FASTQ files, plain or compressed, in ranges of ``size`` bytes; start is the place of the record, in blocked gzip that of its block."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq-ranges").option("paths", "\n".join(paths)).option("bytes", size).load()
+    return spark.read.format("fastq-ranges").option("paths", "\n".join(paths)).option("bytes", size).option("tasks", 4 * spark.sparkContext.defaultParallelism).load()

@@ -65,3 +65,17 @@ def test_intervals(spark, tmp_path):
     assert "PartitionFilters: [slice" in plan._jdf.queryExecution().toString()
     files = lambda d: len({f for f in d.select("_metadata.file_path").distinct().toPandas()["file_path"]})
     assert files(index.where(index.slice.isin([-1, 3]))) < files(index) / 3
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges stay as small as asked for; the tasks follow the bytes and the cores."""
+    text = "".join(f"@@{i}\n{'ACGT' * 30}\n+\n{'@' * 120}\n" for i in range(3000)).encode()
+    for name in "ab":
+        (tmp_path / f"{name}.fq").write_bytes(text)
+    paths = [str(tmp_path / f"{n}.fq") for n in "ab"]
+    ranges, tasks = fastq._Reader(paths, 500).partitions(), fastq._Reader(paths, 500, 32).partitions()
+    assert len(ranges) > 2900 and [(r.path, r.begin, r.end) for t in tasks for r in t.ranges] == [(r.path, r.begin, r.end) for r in ranges] and 32 <= len(tasks) <= 34
+    df = fastq.read(spark, paths, 500)
+    assert df.rdd.getNumPartitions() < 8 * spark.sparkContext.defaultParallelism
+    assert sorted((r["source"][-4:], r["header"]) for r in df.select("source", "header").collect()) == sorted((f"{n}.fq", f"@{i}") for n in "ab" for i in range(3000))
+    assert [len(p.ranges) for p in fastq._Reader([], 500, 32).partitions()] == [0]
