@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from strandlake import workspace
 from strandlake.functions import sequence as S
-from strandlake.operators.sketches import kmer_rows
+from strandlake.operators.sizes import broadcast_if_small
+from strandlake.operators.sketches import kmer_rows, packed
+
+#: Most k-mers of ACGT whose hashes are kept in a table, 8 bytes each.
+_KNOWN = 1 << 20
+#: Bases whose k-mers are looked up at a time.
+_BLOCK = 1 << 18
+_BASES = np.full(256, 4, np.uint8)
+_BASES[list(b"ACGT")] = range(4)
 
 
 def centroid_records(records: DataFrame, clusters: DataFrame, name: str = "id", centroid: str = "centroid") -> DataFrame:
@@ -55,6 +67,53 @@ def identical(rows: DataFrame, signature: list[str], order: str, label: str) ->
     return x.select(*signature, "first", "n", F.when(F.col("n") > 1, F.concat(F.col("__l").cast("string"), F.lit("+"), (F.col("n") - 1).cast("string"))).otherwise(F.col("__l").cast("string")).alias("label"))
 
 
+def _hash_table(spark: SparkSession, k: int, hashed: Callable[[Column], Column]) -> np.ndarray:
+    """The hash of each k-mer of ACGT, by its number with the first base highest."""
+    letters = (F.substring(F.lit("ACGT"), (F.shiftright("id", 2 * (k - 1 - i)) % 4 + 1).cast("int"), F.lit(1)) for i in range(k))
+    got = spark.range(4**k).select("id", hashed(F.concat(*letters).cast("binary")).alias("h")).toArrow()
+    out = np.empty(4**k, np.int64)
+    out[got.column("id").to_numpy()] = got.column("h").to_numpy()
+    return out
+
+
+def _smallest(rows: DataFrame, k: int, hashes: int, hashed: Callable[[Column], Column]) -> DataFrame:
+    """(id, len, h): hashes of the k-mers of rows (id, s, len), with the smallest of each bucket among them.
+
+    The hash of a short k-mer of ACGT is looked up, and a task keeps the smallest of each bucket; other k-mers are hashed one by one.
+    """
+    if 4**k > _KNOWN:
+        return kmer_rows(rows, "s", k, "id", "len").select("id", "len", hashed(F.col("km")).alias("h"))
+    h = _hash_table(rows.sparkSession, k, hashed)
+    shared = rows.sparkSession.sparkContext.broadcast((h, h % hashes))  # 16 MB at most
+    x = rows.select("id", "len", F.col("s").cast("binary").alias("__raw"))
+    schema = StructType([*x.select("id", "len").schema.fields, StructField("__h", LongType()), StructField("__km", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bucket = shared.value
+        for batch in batches:
+            seqs = [s or b"" for s in batch.column(2).to_pylist()]
+            joined, stop = b"".join(seqs), np.cumsum([len(s) for s in seqs])
+            least, filled = np.full(len(seqs) * hashes, np.iinfo(np.int64).max), np.zeros(len(seqs) * hashes, bool)
+            others: set[tuple[int, bytes]] = set()
+            for at in range(0, len(joined) - k + 1, _BLOCK):
+                codes = _BASES[np.frombuffer(joined, np.uint8, min(_BLOCK + k - 1, len(joined) - at), at)]
+                number, upto = packed(codes & 3, k), np.concatenate([[0], np.cumsum(codes > 3)])
+                row = np.repeat(np.arange(len(seqs)), np.diff(np.clip(stop, at, at + len(number)), prepend=at))
+                inside, known = np.arange(at + k, at + k + len(number)) <= stop[row], upto[k:] == upto[:-k]
+                some = np.flatnonzero(inside & known)
+                key = row[some] * hashes + bucket[number[some]]
+                np.minimum.at(least, key, table[number[some]])
+                filled[key] = True
+                others.update((row[i], joined[at + i : at + i + k]) for i in np.flatnonzero(inside & ~known).tolist())
+            found = np.flatnonzero(filled)
+            of = pa.array(np.concatenate([found // hashes, np.fromiter((i for i, _ in others), np.int64, len(others))]))
+            h = pa.concat_arrays([pa.array(least[found]), pa.nulls(len(others), pa.int64())])
+            km = pa.concat_arrays([pa.nulls(len(found), pa.binary()), pa.array([m for _, m in others], pa.binary())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), h, km], names=["id", "len", "__h", "__km"])
+
+    return x.mapInArrow(run, schema).select("id", "len", F.coalesce("__h", hashed(F.col("__km"))).alias("h"))
+
+
 def minhash_clusters(rows: DataFrame, name: str, seq: str, k: int = 10, hashes: int = 8, hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(id, centroid): linear-time clustering in the manner of k-mer grouping; approximate.
 
@@ -62,10 +121,11 @@ def minhash_clusters(rows: DataFrame, name: str, seq: str, k: int = 10, hashes:
     longest sequence (ties by name) is the centre, and a sequence joins the centre that most of its files name. One pass,
     no pair is ever made. ``hashed`` gives a k-mer's hash, a long.
     """
-    x = kmer_rows(rows.select(F.col(name).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("len")), "s", k, "id", "len").withColumn("h", hashed(F.col("km")))
-    x = x.groupBy("id", F.pmod("h", F.lit(hashes)).alias("b")).agg(F.min("h").alias("h"), F.first("len").alias("len"))
-    centre = x.groupBy("h").agg(F.min(F.struct((-F.col("len")).alias("l"), "id")).alias("c"))
-    votes = x.join(centre, "h").groupBy("id", F.col("c.id").alias("centroid")).agg(F.count("*").alias("v"))
+    x = _smallest(rows.select(F.col(name).alias("id"), F.col(seq).alias("s"), F.length(seq).alias("len")), k, hashes, hashed)
+    x = workspace.table(x.groupBy("id", F.pmod("h", F.lit(hashes)).alias("b")).agg(F.min("h").alias("h"), F.max("len").alias("len")), "files")
+    longest = x.groupBy("h").agg(F.max("len").alias("len"))
+    centre = x.join(broadcast_if_small(workspace.table(longest, "longest")), ["h", "len"]).groupBy("h").agg(F.min("id").alias("centroid"))
+    votes = x.join(broadcast_if_small(workspace.table(centre, "centres")), "h").groupBy("id", "centroid").agg(F.count("*").alias("v"))
     best = votes.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("v"), "centroid"))).where("r = 1").select("id", "centroid")
     lone = rows.select(F.col(name).alias("id")).join(best, "id", "left_anti").withColumn("centroid", F.col("id"))
     return best.unionByName(lone)
