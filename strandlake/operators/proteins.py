@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,45 +70,66 @@ def search(queries: DataFrame, targets: DataFrame, *, k: int = 5, most: int = 50
 
 # ---- genes ------------------------------------------------------------------------------------------------------
 
-_BASE = np.full(256, 64, np.int64)
+_BASE = np.full(256, 4, np.uint8)
 _BASE[list(b"ACGTacgt")] = [0, 1, 2, 3] * 2
-_AMINO = np.frombuffer("".join(CODONS["ACGT"[i // 16] + "ACGT"[i // 4 % 4] + "ACGT"[i % 4]] for i in range(64)).encode() + b"X", np.uint8)
+_AMINO = np.frombuffer("".join(CODONS["ACGT"[i // 16] + "ACGT"[i // 4 % 4] + "ACGT"[i % 4]] for i in range(64)).encode() + b"X|", np.uint8)
 _TURN = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
-
-
-def codons(seq: bytes, frame: int) -> np.ndarray:
-    """The number of each codon of a frame, 64 for those with other letters than ACGT."""
-    c = _BASE[np.frombuffer(seq, np.uint8)[frame:]]
-    c = c[: len(c) // 3 * 3].reshape(-1, 3)
-    return np.minimum(c @ np.array([16, 4, 1]), 64)
-
-
-def frames(seq: bytes, least: int) -> Iterator[tuple[str, int, int, np.ndarray]]:
-    """(strand, start, end, codons) of open frames on both strands: from the first start codon behind a stop up to and with the next stop, ``least`` codons before it. start and end run along the sequence."""
-    for strand, s in (("+", seq), ("-", seq.translate(_TURN)[::-1])):
-        for f in range(3):
-            c = codons(s, f)
-            for m in re.finditer(rb"M[^*]{%d,}\*" % (least - 1), _AMINO[c].tobytes()):
-                a, b = f + 3 * m.start(), f + 3 * m.end()
-                yield strand, *((a, b) if strand == "+" else (len(s) - b, len(s) - a)), c[m.start() : m.end() - 1]
+#: The codon of three bases as digits of 6: 64 if one is another letter (4), 65 if one is behind a sequence (5).
+_CODON = np.array([64 + (5 in x) if max(x) > 3 else x[0] * 16 + x[1] * 4 + x[2] for x in np.ndindex(6, 6, 6)], np.uint8)
+#: Bases of the sequences that are searched at a time; a longer sequence is searched whole.
+_BLOCK = 1 << 18
+
+
+def blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The place of the first and the sequences of each block of rows; null is empty."""
+    seqs = [s or b"" for s in batch.column(column).to_pylist()]
+    size = np.cumsum([len(s) for s in seqs])
+    at = 0
+    while at < len(seqs):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _BLOCK, "right")))
+        yield at, seqs[at:end]
+        at = end
+
+
+def codons(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The codon that begins at each base, and where each sequence begins there: at multiples of 3, so that every third codon is of one frame."""
+    room = np.array([(len(s) // 3 + 1) * 3 for s in seqs], np.int64)
+    begin = np.cumsum(room) - room
+    b = np.concatenate([_BASE[np.frombuffer(b"".join(s.ljust(n) for s, n in zip(seqs, room.tolist())), np.uint8)], [np.uint8(5)] * 2])
+    for k in range(3):  # one to three places are behind a sequence
+        behind = begin + np.array([len(s) for s in seqs], np.int64) + k
+        b[behind[behind < begin + room]] = 5
+    return _CODON[b[:-2] * np.uint8(36) + b[1:-1] * np.uint8(6) + b[2:]], begin
+
+
+def frames(c: np.ndarray, frame: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codons, first, stop): the codons of a frame, and in them the places of the first start codon behind a stop and of the next stop, with ``least`` codons or more before it."""
+    c = c[frame::3]
+    amino = _AMINO[c]
+    end = np.flatnonzero((amino == ord("*")) | (amino == ord("|")))
+    start = np.append(np.flatnonzero(amino == ord("M")), len(c))
+    first = start[np.searchsorted(start, np.append(0, end[:-1] + 1)[: len(end)])]
+    open_ = (end - first >= least) & (amino[end] == ord("*"))
+    return c, first[open_], end[open_]
 
 
 def choose(start: np.ndarray, end: np.ndarray, score: np.ndarray, overlap: int) -> list[int]:
     """The compatible frames with the largest sum of scores: by their ends in order, each begins at most ``overlap`` bases before the one before it ends. O(n log n)."""
     order = np.lexsort((start, end))
-    ends = end[order]
-    best, back = np.zeros(len(order) + 1), np.zeros(len(order) + 1, np.int64)  # of the first n frames; the frames left before the last one taken, -1 if it is not
-    for n, i in enumerate(order):
-        k = min(n, int(np.searchsorted(ends, start[i] + overlap, "right")))
-        taken = best[k] + score[i]
-        best[n + 1], back[n + 1] = (taken, k) if taken > best[n] else (best[n], -1)
+    before = np.minimum(np.arange(len(order)), np.searchsorted(end[order], start[order] + overlap, "right"))
+    best, back = [0.0], [0]  # of the first n frames; the frames left before the last one taken, -1 if it is not
+    for k, x in zip(before.tolist(), score[order].tolist()):
+        taken = best[k] + x
+        more = taken > best[-1]
+        back.append(k if more else -1)
+        best.append(taken if more else best[-1])
     out, n = [], len(order)
     while n:
         if back[n] < 0:
             n -= 1
         else:
             out.append(int(order[n - 1]))
-            n = int(back[n])
+            n = back[n]
     return out[::-1]
 
 
@@ -117,17 +137,19 @@ def coding_model(contigs: DataFrame, *, least: int = 30, long: int = 100) -> np.
     """The log-odds of each codon: its share among the codons of frames of ``long`` codons or more, over its share among all codons of all six frames, counts plus one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 65), np.int64)
+        n = np.zeros((2, 66), np.int64)
         for batch in batches:
-            for seq in batch.column(0).to_pylist():
-                for s in (seq, seq.translate(_TURN)[::-1]):
+            for _, seqs in blocks(batch, 0):
+                for some in (seqs, [s.translate(_TURN)[::-1] for s in seqs]):
+                    c, _ = codons(some)
+                    n[0] += np.bincount(c, minlength=66)
                     for f in range(3):
-                        n[0] += np.bincount(codons(s, f), minlength=65)
-                for *_, c in frames(seq, max(least, long)):
-                    n[1] += np.bincount(c, minlength=65)
+                        own, first, stop = frames(c, f, max(least, long))
+                        for a, b in zip(first.tolist(), stop.tolist()):
+                            n[1] += np.bincount(own[a:b], minlength=66)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], 64)), pa.array(np.tile(np.arange(64), 2)), pa.array(n[:, :64].ravel())], names=["side", "codon", "n"])
 
-    rows = contigs.where(F.col("seq") != "").select(F.col("seq").cast("binary").alias("s")).mapInArrow(run, "side bigint, codon bigint, n bigint")
+    rows = contigs.select(F.col("seq").cast("binary").alias("s")).mapInArrow(run, "side bigint, codon bigint, n bigint")
     n = np.zeros((2, 64))
     for r in rows.groupBy("side", "codon").agg(F.sum("n").alias("n")).collect():  # 128 rows
         n[r["side"], r["codon"]] = r["n"]
@@ -142,18 +164,30 @@ def genes(contigs: DataFrame, *, least: int = 30, long: int = 100, overlap: int
     frames with the largest sum are chosen, two neighbours with at most ``overlap`` bases in common. Null and short sequences have none. A contig is
     one task's row; its frames are a small part of it.
     """
+    if model is None:  # they are read twice
+        contigs = workspace.table(contigs.select("contig", "seq"), "contigs")
     odds = coding_model(contigs, least=least, long=long) if model is None else model
     kind = contigs.schema["contig"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, seq in enumerate(batch.column(1).to_pylist()):
-                found = list(frames(seq, least))
-                score = np.array([odds[c].sum() for *_, c in found])
-                a, b = (np.array([f[k] for f in found], np.int64) for k in (1, 2))
-                some = choose(a, b, score, overlap)
-                if some:
-                    cols = [batch.column(0).take(pa.array([i] * len(some))), pa.array([found[k][0] for k in some]), pa.array(a[some]), pa.array(b[some]), pa.array(score[some])]
+            for at, seqs in blocks(batch, 1):
+                size, found = np.array([len(s) for s in seqs]), []
+                for minus, some in enumerate((seqs, [s.translate(_TURN)[::-1] for s in seqs])):
+                    c, begin = codons(some)
+                    for f in range(3):
+                        own, first, stop = frames(c, f, least)
+                        row = np.searchsorted(begin, 3 * first, "right") - 1
+                        a, b = f + 3 * first - begin[row], f + 3 * (stop + 1) - begin[row]
+                        score = np.array([odds[own[x:y]].sum() for x, y in zip(first.tolist(), stop.tolist())])
+                        found.append((row, np.full(len(row), minus), *((size[row] - b, size[row] - a) if minus else (a, b)), score))
+                row, minus, a, b, score = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(row, kind="stable")  # a contig's frames together, by strand, frame and place
+                ends = np.searchsorted(row[order], np.arange(len(seqs) + 1))
+                taken = [own[choose(a[own], b[own], score[own], overlap)] for own in (order[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist()) if x < y)]
+                if taken:
+                    k = np.concatenate(taken)
+                    cols = [batch.column(0).take(pa.array(at + row[k])), pa.array(np.array(["+", "-"])[minus[k]]), pa.array(a[k]), pa.array(b[k]), pa.array(score[k])]
                     yield pa.RecordBatch.from_arrays(cols, names=["contig", "strand", "start", "end", "score"])
 
-    return contigs.where(F.col("seq") != "").select("contig", F.col("seq").cast("binary").alias("s")).mapInArrow(run, f"contig {kind}, strand string, start bigint, end bigint, score double")
+    return contigs.select("contig", F.col("seq").cast("binary").alias("s")).mapInArrow(run, f"contig {kind}, strand string, start bigint, end bigint, score double")

@@ -36,3 +36,26 @@ def test_minhash_clusters_look_hashes_up(spark, monkeypatch):
     monkeypatch.setattr(centroids, "_BLOCK", 7)
     assert {r["id"]: r["centroid"] for r in centroids.minhash_clusters(df, "doc", "s", k=5, hashed=hashed).collect()} == want
     assert centroids.minhash_clusters(df.limit(0), "doc", "s", hashed=hashed).count() == 0
+
+
+def test_genes_read_contigs_once(spark, monkeypatch):
+    """The contigs are made once, not for the model and again for the genes, and blocks of any size find the same genes."""
+    from strandlake.operators import proteins
+
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("ACGTACGTACGTACGTacgtN") for _ in range(rng.randrange(900)))) for i in range(30)] + [(40, None), (41, ""), (42, "AT"), (43, "ATGTAA")]
+    made = spark.sparkContext.accumulator(0)
+
+    def same(s):
+        made.add(1)
+        return s
+
+    df = spark.createDataFrame(rows, "contig int, seq string").withColumn("seq", F.udf(same)("seq"))
+    got = sorted(map(tuple, proteins.genes(df, least=5, long=10).collect()))
+    assert got and made.value == len(rows)
+    plain = spark.createDataFrame(rows, "contig int, seq string")
+    model = proteins.coding_model(plain, least=5, long=10)
+    for size in (1, 700):
+        monkeypatch.setattr(proteins, "_BLOCK", size)
+        assert sorted(map(tuple, proteins.genes(plain, least=5, long=10).collect())) == got
+        assert sorted(map(tuple, proteins.genes(plain, least=5, long=10, model=model).collect())) == got
