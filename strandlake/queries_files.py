@@ -190,13 +190,11 @@ def written_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select l_suppkey contig, l_orderkey as "start", l_linenumber line from lineitem""")
 def sorted_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows out of order in their file would be lost."""
+    """Rows of files whose ranges overlap would be lost."""
     at = workspace.folder(spark, "sorted")
     sinks.write_sorted(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("contig"), F.col("l_orderkey").alias("start"), F.col("l_linenumber").alias("line")), at)
-    x = spark.read.parquet(at).withColumn("file", F.col("_metadata.file_path"))
-    ends = x.groupBy("file").agg(F.min(F.struct("contig", "start")).alias("lo"), F.max(F.struct("contig", "start")).alias("hi"))
-    lap = ends.alias("a").join(ends.alias("b"), (F.col("a.file") < F.col("b.file")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")))  # one row a file
-    return x.join(lap.select(F.col("a.file").alias("file")).distinct(), "file", "left_anti").select("contig", "start", "line")
+    x = spark.read.parquet(at).withColumn("file", F.col("_metadata.file_name"))
+    return x.join(F.broadcast(sinks.overlapping(x)), "file", "left_anti").select("contig", "start", "line")
 
 
 @query("""select 'in' part, count(*) n, sum(l_quantity) q from lineitem where l_quantity >= 25 union all select 'out', count(*), sum(l_quantity) from lineitem where l_quantity < 25""")

@@ -9,6 +9,11 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandlake import workspace
+
+#: Rows of a sorted file.
+_ROWS = 1 << 20
+
 
 def write_tsv(df: DataFrame, path: str, header: bool = True, gzip: bool = False) -> None:
     df.write.mode("overwrite").option("compression", "gzip" if gzip else "none").csv(path, sep="\t", header=header)
@@ -34,8 +39,19 @@ def write_by(df: DataFrame, path: str, *keys: str) -> None:
 
 
 def write_sorted(alignments: DataFrame, path: str) -> None:
-    """Alignments by contig and place; the statistics of the files stand for an index."""
-    alignments.repartitionByRange("contig", "start").sortWithinPartitions("contig", "start").write.mode("overwrite").parquet(path)
+    """Alignments by contig and place; the statistics of the files stand for an index. Files follow the rows, so that a task sorts some 2^20 of them; rows of one place may fill several files."""
+    files = max(1, -(-alignments.count() // _ROWS))
+    spread = F.xxhash64(*(c for c, kind in alignments.dtypes if "map<" not in kind and kind != "variant"))  # deals the rows of one place
+    alignments.repartitionByRange(files, "contig", "start", spread).sortWithinPartitions("contig", "start").write.mode("overwrite").parquet(path)
+
+
+def overlapping(sorted_rows: DataFrame, file: str = "file") -> DataFrame:
+    """(file): files of sorted rows (file, contig, start) whose range overlaps that of a later file; one row a file at most, for a broadcast."""
+    ends = sorted_rows.groupBy(file, "contig").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))  # numbers, which aggregate without a sort of the rows
+    ends = ends.groupBy(file).agg(F.min(F.struct("contig", F.col("lo").alias("start"))).alias("lo"), F.max(F.struct("contig", F.col("hi").alias("start"))).alias("hi"))
+    ends = workspace.table(ends, "ends")
+    a, b = ends.alias("a"), F.broadcast(ends).alias("b")
+    return a.join(b, (F.col(f"a.{file}") < F.col(f"b.{file}")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi"))).select(F.col(f"a.{file}")).distinct()
 
 
 def write_many(df: DataFrame, outputs: Mapping[str, DataFrame]) -> None:

@@ -59,3 +59,27 @@ def test_genes_read_contigs_once(spark, monkeypatch):
         monkeypatch.setattr(proteins, "_BLOCK", size)
         assert sorted(map(tuple, proteins.genes(plain, least=5, long=10).collect())) == got
         assert sorted(map(tuple, proteins.genes(plain, least=5, long=10, model=model).collect())) == got
+
+
+def test_sorted_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """More rows make more files, not larger ones, even of one place; files whose ranges overlap are found."""
+    from strandlake.sources import sinks
+
+    monkeypatch.setattr(sinks, "_ROWS", 100, raising=False)
+    rng = random.Random(5)
+    rows = [(rng.randrange(5), rng.randrange(50), i) for i in range(800)] + [(2, 25, 800 + i) for i in range(1200)]
+    sinks.write_sorted(spark.createDataFrame(rows, "contig int, start int, line int"), str(tmp_path / "a"))
+    x = spark.read.parquet(str(tmp_path / "a")).withColumn("file", F.col("_metadata.file_name"))
+    got = x.collect()
+    assert sorted((r["contig"], r["start"], r["line"]) for r in got) == sorted(rows)
+    files = {}
+    for r in got:
+        files.setdefault(r["file"], []).append((r["contig"], r["start"]))
+    assert len(files) > 10 and max(map(len, files.values())) <= 300
+    assert all(f == sorted(f) for f in files.values())
+    assert sinks.overlapping(x).count() == 0
+    some = [("a", 1, 1), ("a", 1, 5), ("b", 1, 5), ("b", 2, 3), ("c", 2, 2), ("c", 2, 9), ("d", 2, 9), ("e", 3, 1), ("e", 5, 1), ("f", 4, 7)]
+    lap = sinks.overlapping(spark.createDataFrame(some, "file string, contig int, start int"))
+    assert sorted(r["file"] for r in lap.collect()) == ["b", "e"]
+    sinks.write_sorted(spark.createDataFrame([], "contig int, start int"), str(tmp_path / "b"))
+    assert spark.read.parquet(str(tmp_path / "b")).count() == 0
