@@ -1,8 +1,11 @@
 """Trees, taxa of reads and sketches against plain versions."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandlake.operators import sketches, taxonomy
@@ -117,6 +120,51 @@ def test_sketches_of_frequent_hashes_are_compared_without_a_shuffle_of_pairs(spa
     assert sketches.sketch_ani(sketch.limit(0), 15).count() == 0
 
 
+def test_hashes_of_most_sketches_are_met_only_by_those_that_need_them(monkeypatch):
+    """Sketches of 40 hashes that share four with all others are no pairs: hardly any meeting is counted; those of 12 are, and some share more."""
+    rng = random.Random(8)
+    by = {i: {1, 2, 3, 4, *rng.sample(range(10, 10**6), 36 if i % 100 else 8)} for i in range(1500)}
+    for i in range(0, 1500, 50):
+        by[i + 1] |= set(list(by[i])[:9])
+    need = lambda a, b: 0.9**15 * min(len(by[a]), len(by[b])) - 1e-9
+    want = {(a, b): len(by[a] & by[b]) for a in by for b in by if a < b and len(by[a] & by[b]) >= need(a, b)}
+    monkeypatch.setattr(sketches, "_PAIRS", 1000)
+    blocks = []
+    for part in (0, 1):
+        ids = [i for i in by if i % 2 == part]
+        t = sketches._block(part, pa.table({"id": ids, "hs": [sorted(by[i]) for i in ids]}), 0.9**15, np.array([3, 1, 2, 4], np.int64)).combine_chunks()
+        blocks.append(sketches._Block(*(t.column(j)[0] for j in range(1, t.num_columns))))
+    got, steps = {}, 0
+    for a, b, same in ((0, 0, True), (1, 1, True), (0, 1, False), (1, 0, False)):
+        a, b = blocks[a], blocks[b]
+        start = np.arange(1, len(a.n) + 1) if same else np.searchsorted(b.n, a.n, "left" if a is blocks[0] else "right")
+        common = np.intersect1d(a.u, b.u)
+        for l, r, count in sketches._met(a, b, a.rows(np.searchsorted(a.u, common)), b.rows(np.searchsorted(b.u, common)), start, 0.9**15):
+            steps += 1
+            for x, y, n in zip(a.ids.take(pa.array(l)).to_pylist(), b.ids.take(pa.array(r)).to_pylist(), count.tolist()):
+                assert got.setdefault((min(x, y), max(x, y)), n) == n
+    assert got == want and len(want) > 15000
+    assert steps < 200  # of 1,000 meetings; all pairs meet 4.5 million times
+
+
+def test_sketches_by_numbers_are_those_by_bytes(spark):
+    """MD5 of many k-mers at a time, other letters, cases, null, short and equal sequences, and names that occur twice."""
+    rng = random.Random(9)
+    for k in (1, 4, 11, 15, 23, 31):
+        numbers = [rng.randrange(4**k) for _ in range(9000 if k == 15 else 50)]
+        kms = ["".join("ACGT"[n >> 2 * (k - 1 - i) & 3] for i in range(k)) for n in numbers]
+        assert sketches.md5_numbers(np.array(numbers, np.int64), k).tolist() == [int(hashlib.md5(x.encode()).hexdigest()[:15], 16) * 8 for x in kms]
+    long = dna(rng, 70000)
+    seqs = [(1, long), (1, long[::-1]), (2, long[:200] + "N" + long[200:400].lower()), (3, None), (4, ""), (5, "ACG"), (6, long[:15]), (7, "é" + long[:60]), *((i, long[i : i + 90]) for i in range(10, 600))]
+    df = spark.createDataFrame(seqs, "id int, s string").repartition(3)
+    md5 = lambda km: F.shiftleft(F.conv(F.substring(F.md5(km.cast("binary")), 1, 15), 16, 10).cast("bigint"), 3)
+    for scaled in (1, 5):
+        got = [tuple(r) for r in sketches.frac_sketch(df, "id", "s", 15, scaled, numbers=sketches.md5_numbers).collect()]
+        assert sorted(got) == sorted(tuple(r) for r in sketches.frac_sketch(df, "id", "s", 15, scaled, md5).collect()) and len(got) == len(set(got)) > 1000
+    exact, rounded = (sorted(map(tuple, sketches.sketch_ani(spark.createDataFrame(got, "id int, h bigint"), 15, 0.9, d).collect())) for d in (None, 6))
+    assert len(exact) > 1000 and all(x[:3] == y[:3] and all(abs(v - w) <= 5.001e-7 and round(w, 6) == w for v, w in zip(x[3:], y[3:])) for x, y in zip(exact, rounded, strict=True))
+
+
 def test_numbered_kmers_count_as_their_bytes(spark):
     """Votes and contamination by numbers: other letters and cases as they are, names that repeat count once, k up to 31 and beyond; no k-mer is shuffled where names are a row's own."""
     rng = random.Random(7)
